@@ -11,8 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read_table
+
 from ..sources import standins as S
-from . import diner
+from . import cleaning, couriers, diner, ingredients, order_metrics, pricing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,10 +22,35 @@ Query = Callable[[SparkSession, str], DataFrame]
 PARAMS = {
     "double_item": "Brand#1",        # the item that earns double points
     "points_until": "1998-12-31",    # points counted up to this date
+    "prices": {"PROMO": 12},         # pizza price by name ...
+    "default_price": 10,             # ... and for every other name
+    "extra_price": 1,                # charge per extra topping
+    "fee_per_km": "0.30",            # courier fee per km
+    "week_anchor": "1995-01-01",     # first day of the sign-up weeks
 }
 
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.clean_customer_orders(S.customer_orders(spark, d), with_key=False)
+
+
+def _keyed_items(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.clean_customer_orders(S.customer_orders(spark, d), with_key=True)
+
+
+def _deliveries(spark: SparkSession, d: str) -> DataFrame:
+    return cleaning.clean_runner_orders(S.runner_orders(spark, d))
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "events").select("event_id", "ts")
+
+
 _TABLES = {
     "sales": S.sales, "menu": S.menu, "members": S.members,
+    "customer_orders": S.customer_orders, "runner_orders": S.runner_orders,
+    "runners": S.runners, "names": S.pizza_names, "recipes": S.pizza_recipes,
+    "toppings": S.pizza_toppings, "ratings": S.order_ratings,
+    "items": _items, "keyed_items": _keyed_items, "deliveries": _deliveries, "events": _events,
 }
 
 
@@ -35,6 +62,29 @@ def _job(fn: Callable[..., DataFrame], *tables: str, **params) -> Query:
     return run
 
 
+# Types of the cleaned stand-in tables (ids are bigint in the driver's tables).
+CLEAN_TYPES = {
+    "clean_customer_orders": {"order_item_id": "bigint", "order_id": "bigint", "customer_id": "bigint",
+                              "pizza_id": "bigint", "exclusions": "string", "extras": "string",
+                              "order_time": "timestamp_ntz"},
+    "clean_runner_orders": {"order_id": "bigint", "runner_id": "bigint", "pickup_time": "timestamp_ntz",
+                            "distance_km": "decimal(10,2)", "duration_mins": "decimal(10,2)",
+                            "cancellation": "string"},
+}
+
+
+def _with_changes(spark: SparkSession, d: str, fn, *tables: str) -> DataFrame:
+    """Jobs that read the ingredient multiset: the keyed items and the multiset
+    are built (and written) once, then shared by the job."""
+    items = _keyed_items(spark, d)
+    changed = ingredients.item_toppings(items, S.pizza_recipes(spark, d))
+    return fn(items, changed, *[_TABLES[t](spark, d) for t in tables])
+
+
+def _usage(items, changed, deliveries, toppings):
+    return ingredients.ingredient_usage(items, deliveries, changed, toppings)
+
+
 QUERIES: dict[str, Query] = {
     # case 1: sales, menu, members
     "J01_spend_per_customer": _job(diner.spend_per_customer, "sales", "menu"),
@@ -50,4 +100,56 @@ QUERIES: dict[str, Query] = {
                               until=PARAMS["points_until"], double_item=PARAMS["double_item"]),
     "J11_joined_table": _job(diner.joined_table, "sales", "menu", "members"),
     "J12_ranked_table": _job(diner.ranked_table, "sales", "menu", "members"),
+    # case 2: cleaning
+    "J13_profile_missing": _job(cleaning.profile_missing, "customer_orders"),
+    "J13_missing_counts": _job(cleaning.missing_profile_counts, "customer_orders"),
+    "J14_clean_customer_orders": _job(lambda co: cleaning.clean_customer_orders(co), "customer_orders"),
+    "J15_clean_runner_orders": _job(cleaning.clean_runner_orders, "runner_orders"),
+    "J16_distance_by_replace": _job(cleaning.distance_by_replace, "runner_orders"),
+    "J17_duration_by_prefix": _job(cleaning.duration_by_prefix, "runner_orders"),
+    "J18_column_types": lambda spark, d: cleaning.column_types(spark, {
+        "clean_customer_orders": _keyed_items(spark, d),
+        "clean_runner_orders": _deliveries(spark, d)}, CLEAN_TYPES),
+    # case 2: order metrics
+    "J19_pizzas_ordered": _job(order_metrics.pizzas_ordered, "items"),
+    "J20_orders_made": _job(order_metrics.orders_made, "items"),
+    "J21_delivered_per_runner": _job(order_metrics.delivered_per_runner, "deliveries"),
+    "J22_delivered_per_type": _job(order_metrics.delivered_per_type, "items", "deliveries", "names"),
+    "J23_per_customer_type": _job(order_metrics.per_customer_type, "items", "names"),
+    "J24_biggest_orders": _job(order_metrics.biggest_orders, "items", "deliveries"),
+    "J25_changes_per_customer": _job(order_metrics.changes_per_customer, "items", "deliveries"),
+    "J26_both_changes": _job(order_metrics.both_changes, "items", "deliveries"),
+    "J27_volume_by_hour": _job(order_metrics.volume_by_hour, "events", ts="ts", counted="event_id"),
+    "J28_volume_by_weekday": _job(order_metrics.volume_by_weekday, "events", ts="ts", counted="event_id"),
+    "J28_volume_by_weekday_number": _job(order_metrics.volume_by_weekday, "events", ts="ts",
+                                         counted="event_id", as_number=True),
+    # case 2: couriers
+    "J29_signups_per_period": _job(couriers.signups_per_period, "runners", anchor=PARAMS["week_anchor"]),
+    "J30_avg_wait_per_runner": _job(couriers.avg_wait_per_runner, "items", "deliveries"),
+    "J31_prep_time_by_size": _job(couriers.prep_time_by_size, "items", "deliveries"),
+    "J32_avg_distance_per_runner": _job(couriers.avg_distance_per_runner, "deliveries"),
+    "J33_delivery_time_spread": _job(couriers.delivery_time_spread, "deliveries"),
+    "J34_speed_per_delivery": _job(couriers.speed_per_delivery, "items", "deliveries"),
+    "J35_success_rate": _job(couriers.success_rate, "deliveries"),
+    # case 2: ingredients
+    "J36_recipe_toppings": _job(ingredients.recipe_toppings, "recipes"),
+    "J37_standard_toppings": _job(ingredients.standard_toppings, "recipes", "names", "toppings"),
+    "J38_most_common_extra": _job(ingredients.most_common, "items", "toppings", column="extras", label="extra"),
+    "J39_most_common_exclusion": _job(ingredients.most_common, "items", "toppings",
+                                      column="exclusions", label="exclusion"),
+    "J40_order_item_text": _job(ingredients.order_item_text, "keyed_items", "names", "toppings"),
+    "J41_item_toppings": _job(ingredients.item_toppings, "keyed_items", "recipes"),
+    "J42_ingredient_lists": lambda spark, d: _with_changes(spark, d, ingredients.ingredient_lists,
+                                                           "names", "toppings"),
+    "J43_ingredient_usage": lambda spark, d: _with_changes(spark, d, _usage, "deliveries", "toppings"),
+    # case 2: pricing and ratings
+    "J44_revenue": _job(pricing.revenue, "items", "deliveries", "names",
+                        prices=PARAMS["prices"], default=PARAMS["default_price"]),
+    "J45_revenue_with_extras": _job(pricing.revenue_with_extras, "keyed_items", "deliveries", "names", "toppings",
+                                    prices=PARAMS["prices"], default=PARAMS["default_price"],
+                                    extra_price=PARAMS["extra_price"]),
+    "J46_ratings_check": _job(pricing.ratings_check, "ratings", "deliveries"),
+    "J47_delivery_facts": _job(pricing.delivery_facts, "items", "deliveries", "ratings"),
+    "J48_profit": _job(pricing.profit, "items", "deliveries", "names", prices=PARAMS["prices"],
+                       default=PARAMS["default_price"], fee_per_km=PARAMS["fee_per_km"]),
 }
