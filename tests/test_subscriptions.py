@@ -1,0 +1,92 @@
+"""Case 3 jobs on the eight published sample journeys (answers tallied by hand),
+plus edge cases: repeated plans, day-0 upgrades, ties on the latest date."""
+
+import datetime as dt
+
+import pytest
+
+from conftest import rows
+from fixtures import subscriptions
+from tillroll.plans import subscriptions as S
+
+
+@pytest.fixture(scope="module")
+def t(spark):
+    return subscriptions(spark)
+
+
+def test_j49_journey_of_one_customer(t):
+    out = S.plan_journey(t["subscriptions"], t["plans"], [13])
+    assert [(r.plan_name, r.start_date.isoformat()) for r in out.collect()] == [
+        ("trial", "2020-12-15"), ("basic monthly", "2020-12-22"), ("pro monthly", "2021-03-29")]
+
+
+def test_j50_j51_counts(t):
+    assert rows(S.customer_count(t["subscriptions"])) == [(8,)]
+    got = rows(S.trials_per_month(t["subscriptions"]))
+    assert got == [(dt.date(2020, m, 1), n) for m, n in
+                   [(3, 1), (5, 1), (6, 1), (7, 1), (8, 1), (9, 1), (11, 1), (12, 1)]]
+
+
+def test_j52_events_after(t):
+    assert rows(S.events_after(t["subscriptions"], t["plans"], "2020-12-31")) == [("pro monthly", 1)]
+
+
+def test_j53_churn_share(t):
+    # customers 11 and 15 churned: 2 of 8 = 25.0 %
+    assert rows(S.churn_share(t["subscriptions"], t["plans"])) == [(2, 25.0)]
+
+
+def test_j54_immediate_churn(t):
+    # only customer 11 churned 7 days after the trial: 1 of 8 = 12.5 -> 13
+    assert rows(S.immediate_churn(t["subscriptions"])) == [(1, 13.0)]
+
+
+def test_j55_next_plan(t):
+    assert rows(S.next_plan_after_trial(t["subscriptions"], t["plans"])) == [
+        ("basic monthly", 3, 38.0), ("pro annual", 1, 13.0), ("pro monthly", 3, 38.0)]
+
+
+def test_j56_plan_mix(t):
+    assert rows(S.plan_mix_at(t["subscriptions"], t["plans"], "2020-12-31")) == [
+        ("basic monthly", 2, 25.0), ("churn", 2, 25.0), ("pro annual", 3, 38.0), ("pro monthly", 1, 13.0)]
+
+
+def test_j56_ties_on_latest_date_are_all_kept(spark, t):
+    subs = spark.createDataFrame([(1, 0, dt.date(2020, 1, 1)), (1, 1, dt.date(2020, 1, 8)),
+                                  (1, 2, dt.date(2020, 1, 8))], "customer_id int, plan_id int, start_date date")
+    assert rows(S.plan_mix_at(subs, t["plans"], "2020-12-31")) == [("basic monthly", 1, 100.0),
+                                                                   ("pro monthly", 1, 100.0)]
+
+
+def test_j57_annual_upgrades(t):
+    assert rows(S.annual_upgrades(t["subscriptions"], "2020-01-01", "2020-12-31")) == [(3,)]
+
+
+def test_j58_j59_days_to_annual(t):
+    # customers 2 (0 days), 16 (136 days), 19 (61 days) -> mean 65.67 -> 66
+    assert rows(S.avg_days_to_annual(t["subscriptions"])) == [(66.0,)]
+    out = S.days_to_annual_periods(t["subscriptions"]).collect()
+    assert [(r.period_group, r.customers_count, r.avg_days_to_upgrade) for r in out] == [
+        ("0-30 days", 1, 0.0), ("61-90 days", 1, 61.0), ("121-150 days", 1, 136.0)]
+
+
+def test_j59_boundaries(spark):
+    subs = spark.createDataFrame(
+        [(c, 0, dt.date(2020, 1, 1)) for c in range(4)] +
+        [(0, 3, dt.date(2020, 1, 8)), (1, 3, dt.date(2020, 2, 7)), (2, 3, dt.date(2020, 2, 8)),
+         (3, 3, dt.date(2020, 1, 8)), (3, 3, dt.date(2020, 6, 1))],
+        "customer_id int, plan_id int, start_date date")
+    out = S.days_to_annual_periods(subs).collect()
+    # day 0 and day 30 fall in 0-30, day 31 in 31-60; a repeated annual plan counts once
+    assert [(r.period_group, r.customers_count) for r in out] == [("0-30 days", 3), ("31-60 days", 1)]
+
+
+def test_j60_downgrades(spark, t):
+    assert rows(S.downgrades(t["subscriptions"], "2020-01-01", "2020-12-31")) == [(0,)]
+    subs = spark.createDataFrame(
+        [(1, 2, dt.date(2020, 3, 1)), (1, 1, dt.date(2020, 1, 1)), (1, 1, dt.date(2020, 5, 1)),
+         (2, 1, dt.date(2020, 1, 1)), (2, 2, dt.date(2020, 5, 1))],
+        "customer_id int, plan_id int, start_date date")
+    # customer 1 went pro -> basic on 2020-05-01; customer 2 only upgraded
+    assert rows(S.downgrades(subs, "2020-01-01", "2020-12-31")) == [(1,)]

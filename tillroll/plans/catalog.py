@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import read_table
 
 from ..sources import standins as S
-from . import cleaning, couriers, diner, ingredients, order_metrics, pricing
+from . import cleaning, couriers, diner, ingredients, order_metrics, pricing, subscriptions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,10 @@ PARAMS = {
     "extra_price": 1,                # charge per extra topping
     "fee_per_km": "0.30",            # courier fee per km
     "week_anchor": "1995-01-01",     # first day of the sign-up weeks
+    "starts_after": "2000-12-31",    # plan starts counted after this date
+    "mix_at": "1998-12-31",          # plan mix as of this date
+    "year_from": "1998-01-01",       # window of annual upgrades and downgrades
+    "year_to": "1998-12-31",
 }
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
@@ -51,6 +55,8 @@ _TABLES = {
     "runners": S.runners, "names": S.pizza_names, "recipes": S.pizza_recipes,
     "toppings": S.pizza_toppings, "ratings": S.order_ratings,
     "items": _items, "keyed_items": _keyed_items, "deliveries": _deliveries, "events": _events,
+    "subs": S.subscriptions, "plans": lambda spark, d: S.plans(spark),
+    "daily": S.daily_states, "daily_plans": S.state_names,
 }
 
 
@@ -152,4 +158,18 @@ QUERIES: dict[str, Query] = {
     "J47_delivery_facts": _job(pricing.delivery_facts, "items", "deliveries", "ratings"),
     "J48_profit": _job(pricing.profit, "items", "deliveries", "names", prices=PARAMS["prices"],
                        default=PARAMS["default_price"], fee_per_km=PARAMS["fee_per_km"]),
+    # case 3: subscriptions (orders as plan changes; events as daily states)
+    "J49_plan_journey": _job(subscriptions.plan_journey, "subs", "plans"),
+    "J50_customer_count": _job(subscriptions.customer_count, "subs"),
+    "J51_trials_per_month": _job(subscriptions.trials_per_month, "subs"),
+    "J52_events_after": _job(subscriptions.events_after, "subs", "plans", after=PARAMS["starts_after"]),
+    "J53_churn_share": _job(subscriptions.churn_share, "subs", "plans"),
+    "J54_immediate_churn": _job(subscriptions.immediate_churn, "daily"),
+    "J55_next_plan_after_trial": _job(subscriptions.next_plan_after_trial, "daily", "daily_plans"),
+    "J56_plan_mix_at": _job(subscriptions.plan_mix_at, "subs", "plans", at=PARAMS["mix_at"]),
+    "J57_annual_upgrades": _job(subscriptions.annual_upgrades, "subs",
+                                start=PARAMS["year_from"], end=PARAMS["year_to"]),
+    "J58_avg_days_to_annual": _job(subscriptions.avg_days_to_annual, "subs"),
+    "J59_days_to_annual_periods": _job(subscriptions.days_to_annual_periods, "subs"),
+    "J60_downgrades": _job(subscriptions.downgrades, "subs", start=PARAMS["year_from"], end=PARAMS["year_to"]),
 }
