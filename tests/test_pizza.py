@@ -21,8 +21,7 @@ def t(spark):
     raw = pizza(spark)
     items = C.clean_customer_orders(raw["customer_orders"])
     deliveries = C.clean_runner_orders(raw["runner_orders"])
-    changed = I.item_toppings(items, raw["pizza_recipes"])
-    return dict(raw, items=items, deliveries=deliveries, changed=changed)
+    return dict(raw, items=items, deliveries=deliveries)
 
 
 # ---- cleaning ----------------------------------------------------------------
@@ -172,9 +171,25 @@ def test_j40_order_item_text(t):
     assert one[7] == "Vegetarian - Exclude Cheese"
 
 
-def test_j41_j42_ingredient_lists(t):
+def test_j41_item_toppings_multiset(t):
+    got = rows(I.item_toppings(t["items"], t["pizza_recipes"]))
+    item14 = sorted(tp for i, tp in got if i == 14)
+    # recipe 1,2,3,4,5,6,8,10 minus 2,6 plus extras 1,4
+    assert item14 == [1, 1, 3, 4, 4, 5, 8, 10]
+    # 10 meat x 8 + 4 veggie x 6, minus 6 excluded, plus 6 extras
+    assert len(got) == 10 * 8 + 4 * 6 - 6 + 6
+
+
+def test_j41_no_recipe_keeps_a_null_topping(spark):
+    items = spark.createDataFrame([(1, 9, "", "3")], "order_item_id long, pizza_id int, exclusions string, extras string")
+    recipes = spark.createDataFrame([(1, "1, 2")], "pizza_id int, toppings string")
+    got = [r.topping_id for r in I.item_toppings(items, recipes).collect()]
+    assert sorted(got, key=lambda x: -1 if x is None else x) == [None, 3]
+
+
+def test_j42_ingredient_lists(t):
     got = dict((r.order_item_id, r.ingredient_list) for r in
-               I.ingredient_lists(t["items"], t["changed"], t["pizza_names"], t["pizza_toppings"]).collect())
+               I.ingredient_lists(t["items"], t["pizza_recipes"], t["pizza_names"], t["pizza_toppings"]).collect())
     assert got[1] == "Meatlovers: Bacon, BBQ Sauce, Beef, Cheese, Chicken, Mushrooms, Pepperoni, Salami"
     assert got[4] == "Vegetarian: Cheese, Mushrooms, Onions, Peppers, Tomato Sauce, Tomatoes"
     assert got[7] == "Vegetarian: Mushrooms, Onions, Peppers, Tomato Sauce, Tomatoes"
@@ -185,7 +200,7 @@ def test_j41_j42_ingredient_lists(t):
 
 
 def test_j43_ingredient_usage(t):
-    got = rows(I.ingredient_usage(t["items"], t["deliveries"], t["changed"], t["pizza_toppings"]))
+    got = rows(I.ingredient_usage(t["items"], t["deliveries"], t["pizza_recipes"], t["pizza_toppings"]))
     assert got == sorted([("Bacon", 12), ("Mushrooms", 11), ("Cheese", 10), ("Beef", 9), ("Chicken", 9),
                           ("Pepperoni", 9), ("Salami", 9), ("BBQ Sauce", 8), ("Onions", 3), ("Peppers", 3),
                           ("Tomato Sauce", 3), ("Tomatoes", 3)])

@@ -79,18 +79,6 @@ CLEAN_TYPES = {
 }
 
 
-def _with_changes(spark: SparkSession, d: str, fn, *tables: str) -> DataFrame:
-    """Jobs that read the ingredient multiset: the keyed items and the multiset
-    are built (and written) once, then shared by the job."""
-    items = _keyed_items(spark, d)
-    changed = ingredients.item_toppings(items, S.pizza_recipes(spark, d))
-    return fn(items, changed, *[_TABLES[t](spark, d) for t in tables])
-
-
-def _usage(items, changed, deliveries, toppings):
-    return ingredients.ingredient_usage(items, deliveries, changed, toppings)
-
-
 QUERIES: dict[str, Query] = {
     # case 1: sales, menu, members
     "J01_spend_per_customer": _job(diner.spend_per_customer, "sales", "menu"),
@@ -145,13 +133,12 @@ QUERIES: dict[str, Query] = {
                                       column="exclusions", label="exclusion"),
     "J40_order_item_text": _job(ingredients.order_item_text, "keyed_items", "names", "toppings"),
     "J41_item_toppings": _job(ingredients.item_toppings, "keyed_items", "recipes"),
-    "J42_ingredient_lists": lambda spark, d: _with_changes(spark, d, ingredients.ingredient_lists,
-                                                           "names", "toppings"),
-    "J43_ingredient_usage": lambda spark, d: _with_changes(spark, d, _usage, "deliveries", "toppings"),
+    "J42_ingredient_lists": _job(ingredients.ingredient_lists, "keyed_items", "recipes", "names", "toppings"),
+    "J43_ingredient_usage": _job(ingredients.ingredient_usage, "items", "deliveries", "recipes", "toppings"),
     # case 2: pricing and ratings
     "J44_revenue": _job(pricing.revenue, "items", "deliveries", "names",
                         prices=PARAMS["prices"], default=PARAMS["default_price"]),
-    "J45_revenue_with_extras": _job(pricing.revenue_with_extras, "keyed_items", "deliveries", "names", "toppings",
+    "J45_revenue_with_extras": _job(pricing.revenue_with_extras, "items", "deliveries", "names", "toppings",
                                     prices=PARAMS["prices"], default=PARAMS["default_price"],
                                     extra_price=PARAMS["extra_price"]),
     "J46_ratings_check": _job(pricing.ratings_check, "ratings", "deliveries"),

@@ -1,21 +1,30 @@
 """Recipes, extras, exclusions and ingredient lists.
 
-``recipes(pizza_id, toppings)`` and the ``extras`` / ``exclusions`` columns of
-cleaned order items hold comma-separated topping ids; ``toppings`` maps
-topping_id -> topping_name.  Lists are exploded to rows, and every per-item or
-per-recipe text is an ordered concatenation over a group bounded by the length
-of one list.
+``recipes(pizza_id, toppings)`` (one row per pizza) and the ``extras`` /
+``exclusions`` columns of cleaned order items hold comma-separated topping ids;
+``toppings`` maps topping_id -> topping_name.
+
+An item's toppings are "(recipe EXCEPT exclusions) UNION ALL extras".  That set
+algebra is evaluated per item row with array functions --
+``concat(array_except(recipe, exclusions), extras)``; ``array_except`` is distinct
+and null-safe exactly like SQL EXCEPT -- so nothing is shuffled per topping: the
+only exchanges are the recipe lookup by pizza and, where names are needed, one
+aggregation of the exploded rows back to the item.  Every per-item text is built
+from a group bounded by the length of one item's lists.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.agg import name_order, ordered_concat
-from ..operators import apply_changes, explode_list, top_n
+from ..functions.text import split_list
+from ..operators import explode_list, top_n
 from ..sources.sinks import materialize
 
+ITEM_COLUMNS = ["order_item_id", "order_id", "customer_id"]
+
 
 def recipe_toppings(recipes: DataFrame) -> DataFrame:
     """J36 -> pizza_id, topping_id: one row per topping of each recipe."""
@@ -41,67 +50,103 @@ def most_common(items: DataFrame, toppings: DataFrame, column: str, label: str)
     return top_n(counts, [F.col("pizza_count").desc(), F.col(label).asc()], 1)
 
 
-def _named_list(items: DataFrame, toppings: DataFrame, column: str) -> DataFrame:
-    """order_item_id -> the names in ``column``, alphabetical (case-insensitive)."""
-    rows = explode_list(items, column, "topping_id", keep=["order_item_id"]).join(toppings, "topping_id")
-    return rows.groupBy("order_item_id").agg(
-        ordered_concat("topping_name", *name_order("topping_name")).alias("_names"))
+def _changed_toppings(items: DataFrame, recipes: DataFrame) -> DataFrame:
+    """``items`` plus ``_toppings``: the item's topping ids after its changes, as a
+    multiset array.  A pizza without a recipe contributes one NULL topping, as
+    the left join of the relational form does."""
+    r = recipes.select("pizza_id", split_list("toppings").alias("_recipe"))
+    base = F.coalesce(F.col("_recipe"), F.array(F.lit(None).cast("int")))
+    changed = F.concat(F.array_except(base, split_list("exclusions")), split_list("extras"))
+    return items.join(r, "pizza_id", "left").withColumn("_toppings", changed).drop("_recipe")
+
+
+def _names_or_null(pairs: Column) -> Column:
+    """array_join of the ``n`` fields in (lower(name), name) order; NULL if empty."""
+    joined = F.array_join(F.transform(F.array_sort(pairs), lambda p: p["n"]), ", ")
+    return F.when(F.size(pairs) > 0, joined)
 
 
 def order_item_text(items: DataFrame, names: DataFrame, toppings: DataFrame,
                     single_blank: bool = False) -> DataFrame:
     """J40 -> order_item_id, order_id, customer_id, order_item:
-    'Name - Exclude a, b - Extra c, d', parts left out when empty.
+    'Name - Exclude a, b - Extra c, d', parts left out when empty, names in
+    alphabetical order.
 
     By default the text matches the published one, which has two blanks before
     '- Exclude'; ``single_blank=True`` gives one.
     """
-    excl = _named_list(items, toppings, "exclusions").select(
-        "order_item_id",
-        F.concat(F.lit("- Exclude " if single_blank else " - Exclude "), F.col("_names")).alias("_excl"))
-    extra = _named_list(items, toppings, "extras").select(
-        "order_item_id", F.concat(F.lit("- Extra "), F.col("_names")).alias("_extra"))
-    j = (items.join(names, "pizza_id")
-              .join(excl, "order_item_id", "left")
-              .join(extra, "order_item_id", "left"))
-    return j.select("order_item_id", "order_id", "customer_id",
-                    F.concat_ws(" ", "pizza_name", "_excl", "_extra").alias("order_item"))
-
-
-def item_toppings(items: DataFrame, recipes: DataFrame, persist: bool = True) -> DataFrame:
+    tagged = F.concat(
+        F.transform(split_list("exclusions"), lambda x: F.struct(F.lit(0).alias("tag"), x.alias("id"))),
+        F.transform(split_list("extras"), lambda x: F.struct(F.lit(1).alias("tag"), x.alias("id"))))
+    rows = (items.join(names, "pizza_id")
+                 .select(*ITEM_COLUMNS, "pizza_name", F.explode_outer(tagged).alias("_t"))
+                 .join(toppings, F.col("_t.id") == F.col("topping_id"), "left"))
+    entry = F.when(F.col("topping_name").isNotNull(),
+                   F.struct(F.col("_t.tag").alias("tag"), F.lower("topping_name").alias("k"),
+                            F.col("topping_name").alias("n")))
+    per_item = rows.groupBy(*ITEM_COLUMNS, "pizza_name").agg(F.collect_list(entry).alias("_e"))
+
+    def part(tag: int) -> Column:
+        picked = F.transform(F.filter("_e", lambda e: e["tag"] == tag),
+                             lambda e: F.struct(e["k"].alias("k"), e["n"].alias("n")))
+        return _names_or_null(picked)
+
+    excl_prefix = "- Exclude " if single_blank else " - Exclude "
+    return per_item.select(*ITEM_COLUMNS, F.concat_ws(
+        " ", "pizza_name",
+        F.concat(F.lit(excl_prefix), part(0)),
+        F.concat(F.lit("- Extra "), part(1))).alias("order_item"))
+
+
+def item_toppings(items: DataFrame, recipes: DataFrame, persist: bool = False) -> DataFrame:
     """J41 -> order_item_id, topping_id: the recipe's toppings minus the item's
-    exclusions (EXCEPT, distinct), plus its extras (UNION ALL, each extra adds
-    one serving).  Written once to the checkpoint folder, as two jobs read it."""
-    base = items.select("order_item_id", "pizza_id").join(recipe_toppings(recipes), "pizza_id", "left") \
-                .select("order_item_id", "topping_id")
-    removed = explode_list(items, "exclusions", "topping_id", keep=["order_item_id"])
-    added = explode_list(items, "extras", "topping_id", keep=["order_item_id"])
-    out = apply_changes(base, removed, added)
+    exclusions (distinct), plus its extras (each extra adds one serving).
+    ``persist=True`` writes it once to the checkpoint folder for several readers."""
+    out = _changed_toppings(items, recipes).select(
+        "order_item_id", F.explode("_toppings").alias("topping_id"))
     return materialize(out) if persist else out
 
 
-def ingredient_lists(items: DataFrame, changed: DataFrame, names: DataFrame,
+def ingredient_lists(items: DataFrame, recipes: DataFrame, names: DataFrame,
                      toppings: DataFrame) -> DataFrame:
     """J42 -> order_item_id, order_id, customer_id, ingredient_list:
     'Name: 2xBacon, Beef, ...' -- alphabetical, 'Nx' before toppings used N > 1
-    times."""
-    qty = changed.join(toppings, "topping_id").groupBy("order_item_id", "topping_name").agg(
-        F.count(F.lit(1)).alias("_q"))
-    label = F.when(F.col("_q") > 1, F.concat(F.col("_q").cast("string"), F.lit("x"), F.col("topping_name"))) \
-             .otherwise(F.col("topping_name"))
-    lists = qty.groupBy("order_item_id").agg(
-        ordered_concat(label, *name_order("topping_name")).alias("_list"))
-    j = items.join(names, "pizza_id").join(lists, "order_item_id", "left")
-    return j.select("order_item_id", "order_id", "customer_id",
-                    F.concat(F.col("pizza_name"), F.lit(": "), F.col("_list")).alias("ingredient_list"))
-
-
-def ingredient_usage(items: DataFrame, deliveries: DataFrame, changed: DataFrame,
+    times.
+
+    Quantities per topping id are counted inside each item's array; after the
+    name lookup the quantities are summed per name inside the item's group.
+    """
+    ids = F.col("_toppings")
+    counted = F.transform(F.array_distinct(ids), lambda x: F.struct(
+        x.alias("id"), F.size(F.filter(ids, lambda y: y == x)).alias("q")))
+    rows = (_changed_toppings(items.join(names, "pizza_id"), recipes)
+            .select(*ITEM_COLUMNS, "pizza_name", F.explode_outer(counted).alias("_c"))
+            .join(toppings, F.col("_c.id") == F.col("topping_id"), "left"))
+    entry = F.when(F.col("topping_name").isNotNull(),
+                   F.struct(F.col("topping_name").alias("n"), F.col("_c.q").alias("q")))
+    per_item = rows.groupBy(*ITEM_COLUMNS, "pizza_name").agg(F.collect_list(entry).alias("_p"))
+
+    pairs = F.col("_p")
+    by_name = F.transform(F.array_distinct(F.transform(pairs, lambda p: p["n"])), lambda n: F.struct(
+        F.lower(n).alias("k"), n.alias("name"),
+        F.aggregate(F.filter(pairs, lambda p: p["n"] == n), F.lit(0), lambda acc, p: acc + p["q"]).alias("q")))
+    labelled = F.transform(by_name, lambda s: F.struct(
+        s["k"].alias("k"), s["name"].alias("name2"),
+        F.when(s["q"] > 1, F.concat(s["q"].cast("string"), F.lit("x"), s["name"]))
+         .otherwise(s["name"]).alias("n")))
+    text = _names_or_null(labelled)
+    return per_item.select(*ITEM_COLUMNS, F.concat(F.col("pizza_name"), F.lit(": "), text).alias("ingredient_list"))
+
+
+def ingredient_usage(items: DataFrame, deliveries: DataFrame, recipes: DataFrame,
                      toppings: DataFrame) -> DataFrame:
-    """J43 -> topping_name, quantity_used over delivered pizzas."""
-    delivered_orders = deliveries.filter(F.col("pickup_time").isNotNull()).select("order_id")
-    delivered_items = items.join(delivered_orders, "order_id", "left_semi").select("order_item_id")
-    per_id = changed.join(delivered_items, "order_item_id", "left_semi").groupBy("topping_id").agg(
-        F.count(F.lit(1)).alias("_n"))
+    """J43 -> topping_name, quantity_used over delivered pizzas.  Counted per
+    topping id with map-side partial aggregation, names joined at the end; no
+    item key is needed."""
+    delivered = deliveries.filter(F.col("pickup_time").isNotNull()).select("order_id")
+    d_items = items.join(delivered, "order_id", "left_semi")
+    per_id = (_changed_toppings(d_items, recipes)
+              .select(F.explode("_toppings").alias("topping_id"))
+              .groupBy("topping_id").agg(F.count(F.lit(1)).alias("_n")))
     return per_id.join(toppings, "topping_id").groupBy("topping_name").agg(
         F.sum("_n").alias("quantity_used"))

@@ -31,13 +31,17 @@ def revenue(items: DataFrame, deliveries: DataFrame, names: DataFrame,
 
 def revenue_with_extras(items: DataFrame, deliveries: DataFrame, names: DataFrame,
                         toppings: DataFrame, prices: dict, default=10, extra_price=1) -> DataFrame:
-    """J45 -> total_price: J44 plus ``extra_price`` for every known extra topping."""
-    extras = explode_list(items, "extras", "topping_id", keep=["order_item_id"]) \
-        .join(toppings.select("topping_id"), "topping_id") \
-        .groupBy("order_item_id").agg((F.count(F.lit(1)) * F.lit(extra_price)).alias("_extra"))
-    priced = _delivered_priced(items, deliveries, names, prices, default).join(extras, "order_item_id", "left")
-    return priced.agg(F.sum(F.col("_price") + F.coalesce(F.col("_extra"), F.lit(0)))
-                      .cast("double").alias("total_price"))
+    """J45 -> total_price: J44 plus ``extra_price`` for every known extra topping
+    of a delivered pizza.
+
+    The sum over pizzas of (price + extras) is the price total plus the number of
+    (delivered pizza, known extra) rows, so the extras are counted by one
+    exploded aggregate (a scalar subquery) and no per-pizza key is needed.
+    """
+    priced = _delivered_priced(items, deliveries, names, prices, default)
+    extras = explode_list(priced, "extras", "topping_id").join(toppings.select("topping_id"), "topping_id")
+    extra_total = extras.agg(F.count(F.lit(1)) * F.lit(extra_price)).scalar()
+    return priced.agg((F.sum("_price") + extra_total).cast("double").alias("total_price"))
 
 
 def ratings_check(ratings: DataFrame, deliveries: DataFrame, lo: int = 1, hi: int = 5) -> DataFrame:
