@@ -9,7 +9,7 @@ algebra is evaluated per item row with array functions --
 ``concat(array_except(recipe, exclusions), extras)``; ``array_except`` is distinct
 and null-safe exactly like SQL EXCEPT -- so nothing is shuffled per topping: the
 only exchanges are the recipe lookup by pizza and, where names are needed, one
-aggregation of the exploded rows back to the item.  Every per-item text is built
+hash partitioning of the items by their key before the lists are exploded.  Every per-item text is built
 from a group bounded by the length of one item's lists.
 """
 
@@ -78,7 +78,7 @@ def order_item_text(items: DataFrame, names: DataFrame, toppings: DataFrame,
     tagged = F.concat(
         F.transform(split_list("exclusions"), lambda x: F.struct(F.lit(0).alias("tag"), x.alias("id"))),
         F.transform(split_list("extras"), lambda x: F.struct(F.lit(1).alias("tag"), x.alias("id"))))
-    rows = (items.join(names, "pizza_id")
+    rows = (items.join(names, "pizza_id").repartition("order_item_id")
                  .select(*ITEM_COLUMNS, "pizza_name", F.explode_outer(tagged).alias("_t"))
                  .join(toppings, F.col("_t.id") == F.col("topping_id"), "left"))
     entry = F.when(F.col("topping_name").isNotNull(),
@@ -113,29 +113,21 @@ def ingredient_lists(items: DataFrame, recipes: DataFrame, names: DataFrame,
     'Name: 2xBacon, Beef, ...' -- alphabetical, 'Nx' before toppings used N > 1
     times.
 
-    Quantities per topping id are counted inside each item's array; after the
-    name lookup the quantities are summed per name inside the item's group.
+    Items are hash-partitioned by their key once, before the lists are exploded;
+    both aggregations (quantity per item and name, then the list per item) group
+    by that key and so run without another exchange of the exploded rows.
     """
-    ids = F.col("_toppings")
-    counted = F.transform(F.array_distinct(ids), lambda x: F.struct(
-        x.alias("id"), F.size(F.filter(ids, lambda y: y == x)).alias("q")))
-    rows = (_changed_toppings(items.join(names, "pizza_id"), recipes)
-            .select(*ITEM_COLUMNS, "pizza_name", F.explode_outer(counted).alias("_c"))
-            .join(toppings, F.col("_c.id") == F.col("topping_id"), "left"))
-    entry = F.when(F.col("topping_name").isNotNull(),
-                   F.struct(F.col("topping_name").alias("n"), F.col("_c.q").alias("q")))
-    per_item = rows.groupBy(*ITEM_COLUMNS, "pizza_name").agg(F.collect_list(entry).alias("_p"))
-
-    pairs = F.col("_p")
-    by_name = F.transform(F.array_distinct(F.transform(pairs, lambda p: p["n"])), lambda n: F.struct(
-        F.lower(n).alias("k"), n.alias("name"),
-        F.aggregate(F.filter(pairs, lambda p: p["n"] == n), F.lit(0), lambda acc, p: acc + p["q"]).alias("q")))
-    labelled = F.transform(by_name, lambda s: F.struct(
-        s["k"].alias("k"), s["name"].alias("name2"),
-        F.when(s["q"] > 1, F.concat(s["q"].cast("string"), F.lit("x"), s["name"]))
-         .otherwise(s["name"]).alias("n")))
-    text = _names_or_null(labelled)
-    return per_item.select(*ITEM_COLUMNS, F.concat(F.col("pizza_name"), F.lit(": "), text).alias("ingredient_list"))
+    changed = _changed_toppings(items.join(names, "pizza_id"), recipes).repartition("order_item_id")
+    rows = (changed.select(*ITEM_COLUMNS, "pizza_name", F.explode_outer("_toppings").alias("topping_id"))
+                   .join(toppings, "topping_id", "left"))
+    qty = rows.groupBy(*ITEM_COLUMNS, "pizza_name", "topping_name").agg(F.count(F.lit(1)).alias("_q"))
+    label = F.when(F.col("_q") > 1, F.concat(F.col("_q").cast("string"), F.lit("x"), F.col("topping_name"))) \
+             .otherwise(F.col("topping_name"))
+    lists = qty.groupBy(*ITEM_COLUMNS, "pizza_name").agg(
+        ordered_concat(label, *name_order("topping_name")).alias("_list"),
+        F.count("topping_name").alias("_known"))
+    text = F.when(F.col("_known") > 0, F.concat(F.col("pizza_name"), F.lit(": "), F.col("_list")))
+    return lists.select(*ITEM_COLUMNS, text.alias("ingredient_list"))
 
 
 def ingredient_usage(items: DataFrame, deliveries: DataFrame, recipes: DataFrame,
