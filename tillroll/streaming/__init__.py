@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analyses this package re-creates read static tables only: there is no
+stream, watermark, windowed aggregation over event time or stateful operator
+among them, so nothing is built here.  The batch jobs in ``tillroll.plans`` are
+plain DataFrame plans and can be run per micro-batch (``foreachBatch``) by a
+caller that needs it.
+"""
