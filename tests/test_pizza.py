@@ -222,6 +222,15 @@ def test_j46_ratings_check(t):
     assert all(r.rating_in_range == "Y" and r.unique_order == "Y" for r in got.values())
 
 
+def test_j46_save_ratings(spark, t, tmp_path):
+    path = str(tmp_path / "order_ratings")
+    assert P.save_ratings(t["order_ratings"], t["deliveries"], path) == 2
+    assert spark.read.parquet(path).count() == 10
+    bad = spark.createDataFrame([(1, 6), (2, 4), (2, 5)], "order_id int, rating int")
+    with pytest.raises(ValueError, match="1 out of .* 2 duplicated"):
+        P.save_ratings(bad, t["deliveries"], str(tmp_path / "bad"))
+
+
 def test_j47_delivery_facts(t):
     got = {r.order_id: r for r in P.delivery_facts(t["items"], t["deliveries"], t["order_ratings"]).collect()}
     assert len(got) == 8

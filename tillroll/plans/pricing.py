@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import seconds_between
 from ..operators import check_ratings, explode_list, price_of
+from ..sources.sinks import write_table
 
 
 def _delivered_priced(items: DataFrame, deliveries: DataFrame, names: DataFrame,
@@ -51,6 +52,24 @@ def ratings_check(ratings: DataFrame, deliveries: DataFrame, lo: int = 1, hi: in
     return check_ratings(ratings, deliveries, lo=lo, hi=hi)
 
 
+def save_ratings(ratings: DataFrame, deliveries: DataFrame, path: str, lo: int = 1, hi: int = 5) -> int:
+    """J46 (create the table) -> write ``ratings`` as Parquet at ``path`` after the
+    checks; raises if a rating is out of range or an order is rated twice.
+    Returns the number of ratings given to orders that were not delivered
+    (kept, and reported, as the case's own ratings for cancelled orders are).
+
+    The checks are one aggregate over the check rows (a single small action).
+    """
+    checks = check_ratings(ratings, deliveries, lo=lo, hi=hi)
+    r = checks.agg(F.count(F.when(F.col("rating_in_range") == "N", 1)).alias("bad_range"),
+                   F.count(F.when(F.col("unique_order") == "N", 1)).alias("duplicates"),
+                   F.count(F.when(F.col("delivered") == "N", 1)).alias("undelivered")).first()
+    if r.bad_range or r.duplicates:
+        raise ValueError(f"ratings rejected: {r.bad_range} out of [{lo}, {hi}], {r.duplicates} duplicated")
+    write_table(ratings, path)
+    return r.undelivered
+
+
 def delivery_facts(items: DataFrame, deliveries: DataFrame, ratings: DataFrame) -> DataFrame:
     """J47 -> one row per successful delivery: customer_id, order_id, runner_id,
     rating, order_time, pickup_time, time_to_pickup_secs, duration_mins,
