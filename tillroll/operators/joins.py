@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 _OPS = {
     ">=": lambda a, b: a >= b,
@@ -25,12 +24,3 @@ def join_relative_to(df: DataFrame, ref: DataFrame, key: str, date: str, ref_dat
     """
     cond = _OPS[op](df[date], ref[ref_date])
     return df.join(ref, on=[df[key] == ref[key]], how="inner").filter(cond).drop(ref[key])
-
-
-def left_flag_join(df: DataFrame, ref: DataFrame, key: str) -> DataFrame:
-    """Left join that keeps every row of ``df`` (presence test through a left join)."""
-    return df.join(ref, on=key, how="left")
-
-
-def lit_date(d: str):
-    return F.lit(d).cast("date")

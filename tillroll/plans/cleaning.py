@@ -9,7 +9,6 @@ cancellation.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions.text import FAKE_NULLS, parse_measure, parse_timestamp, replace_fake_null
 from ..operators import assert_schema, missing_counts, missing_rows, schema_of, surrogate_key
@@ -81,7 +80,3 @@ def column_types(spark: SparkSession, tables: dict[str, DataFrame],
             assert_schema(df, expected[name], name)
         out.extend((name, c, t) for c, t in schema_of(df))
     return spark.createDataFrame(out, "table_name string, column_name string, data_type string")
-
-
-def delivered(runner_orders_clean: DataFrame) -> F.Column:
-    return runner_orders_clean["pickup_time"].isNotNull()
