@@ -78,3 +78,12 @@ def test_apply_changes_is_except_distinct_then_union_all(spark):
     added = spark.createDataFrame([(1, 1), (1, 1)], "item int, t int")
     got = sorted((r.t if r.t is not None else -1) for r in apply_changes(base, removed, added).collect())
     assert got == [-1, 1, 1, 1]
+
+
+def test_surrogate_key_splits_a_large_group_of_copies(spark):
+    # a third of the rows are copies of one row; chunks of 7 split them
+    df = spark.range(0, 300).selectExpr("CASE WHEN id < 100 THEN 0 ELSE id END AS v")
+    keyed = surrogate_key(df, ["v"], "k", partitions=4, chunk=7).collect()
+    assert sorted(r.k for r in keyed) == list(range(1, 301))
+    by_key = sorted(keyed, key=lambda r: r.k)
+    assert [r.v for r in by_key] == sorted(r.v for r in keyed)

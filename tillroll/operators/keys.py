@@ -4,43 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
+# Largest number of identical rows numbered by one output row of the expansion.
+COPY_CHUNK = 100_000
 
-def surrogate_key(df: DataFrame, order: Sequence[str | Column], name: str,
-                  start: int = 1, partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 1, 2, 3, ... following ``order`` (ROW_NUMBER() OVER (ORDER BY
-    order)) as an ``int``-free bigint, computed in parallel.
 
-    1. range-partition on the order columns and sort inside each partition, so
-       partition i holds a contiguous slice of the order;
-    2. write that once to the shared checkpoint folder -- the key must not change
-       if a task is re-run or the frame is read twice;
-    3. count rows per partition (one row per partition), turn the counts into
-       running offsets and add each row's position inside its partition.
+def surrogate_key(df: DataFrame, order: Sequence[str], name: str, start: int = 1,
+                  partitions: int | None = None, chunk: int = COPY_CHUNK) -> DataFrame:
+    """Add ``name`` = start, start+1, ... following ``order`` (ROW_NUMBER() OVER
+    (ORDER BY order)), as bigint, computed in parallel and stable once built.
 
-    ``order`` should make rows unique; rows equal on every order column may swap
-    numbers, which only matters if they differ elsewhere.
+    Identical rows are legitimate (two equal pizzas of one order) and may be a
+    large share of the table, which range partitioning alone cannot split.  So:
+
+    1. copies are counted first (group by every column; the partial aggregate
+       collapses a hot group on the map side) and each count is cut into chunks
+       of at most ``chunk`` rows;
+    2. the chunk rows are range-partitioned and sorted on ``order`` (then the
+       other columns and the chunk index, so ties are ordered deterministically)
+       and written once to the shared checkpoint folder -- the key must not
+       change if a task is re-run;
+    3. every chunk's first id is the sum of the chunk sizes before it: a running
+       sum inside each range partition plus the partition's offset (one row per
+       partition, so the offsets' small window and broadcast are bounded);
+    4. each chunk expands back into its rows with consecutive ids.
+
+    Rows equal on every ``order`` column but different elsewhere are numbered in
+    the order of their other columns.
     """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    placed = (df.repartitionByRange(n, *cols)
-                .sortWithinPartitions(*cols)
-                .withColumn("_part", F.spark_partition_id())
-                .withColumn("_pos", F.monotonically_increasing_id()
-                            - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
+    cols = df.columns
+    sort_cols = list(order) + [c for c in cols if c not in order] + ["_c"]
+
+    copies = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
+    chunks = (copies
+              .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                                     ((F.col("_copies") - 1) / chunk).cast("bigint"))))
+              .withColumn("_n", F.least(F.lit(chunk).cast("bigint"), F.col("_copies") - F.col("_c") * chunk))
+              .drop("_copies"))
+    placed = (chunks.repartitionByRange(n, *sort_cols)
+                    .sortWithinPartitions(*sort_cols)
+                    .withColumn("_part", F.spark_partition_id())
+                    .withColumn("_pos", F.monotonically_increasing_id()
+                                - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
     placed = placed.checkpoint(eager=True)
-    # One row per partition: bounded by the partition count, so the running sum
-    # over it (a single small window) and its broadcast are both safe.
-    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
+
+    before = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    sizes = placed.groupBy("_part").agg(F.sum("_n").alias("_size"))
+    offsets = sizes.select(
         "_part",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
+        F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)).alias("_off"))
-    keyed = placed.join(F.broadcast(offsets), "_part")
-    return keyed.withColumn(name, F.col("_off") + F.col("_pos") + F.lit(start)).drop("_part", "_pos", "_off")
+    first = F.col("_off") + F.col("_before") + F.lit(start)
+    keyed = local.join(F.broadcast(offsets), "_part").withColumn("_first", first)
+    ids = F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1))
+    return keyed.select(*cols, ids.alias(name))
