@@ -6,25 +6,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _col(c: str | Column) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def ordered_concat(value: str, *order: str, sep: str = ", ") -> Column:
+    """string_agg(value, sep) in a stated order: the ``order`` columns, then the
+    value itself (``listagg ... WITHIN GROUP (ORDER BY ...)``).  NULL values are
+    skipped; a group without values gives NULL.
 
-
-def ordered_concat(value: str | Column, *order: str | Column, sep: str = ", ") -> Column:
-    """string_agg(value, sep) with a stated order (``order`` keys, then the value).
-
-    Used only on groups whose size is bounded by construction (the items of one
-    order, the toppings of one recipe): the group's values are gathered into one
-    array before they are sorted and joined.  NULL values are skipped.
+    Arguments are column names.  Used on groups whose size is bounded by
+    construction (the toppings of one recipe or one order item).
     """
-    v = _col(value)
-    keys = [_col(k).alias(f"k{i}") for i, k in enumerate(order)]
-    packed = F.collect_list(F.when(v.isNotNull(), F.struct(*keys, v.alias("v"))))
-    return F.array_join(F.transform(F.array_sort(packed), lambda s: s["v"]), sep)
+    if "'" in sep:
+        raise ValueError("separator may not contain a quote")
+    keys = ", ".join(f"`{k}`" for k in (*order, value))
+    return F.expr(f"listagg(`{value}`, '{sep}') WITHIN GROUP (ORDER BY {keys})")
 
 
-def name_order(value: str | Column) -> list[Column]:
-    """Case-insensitive alphabetical order with a binary tie-break
-    ('Bacon' < 'BBQ Sauce' < 'Beef'; 'Tomato Sauce' < 'Tomatoes')."""
-    v = _col(value)
-    return [F.lower(v), v]
+def name_key(value: str | Column) -> Column:
+    """Case-insensitive sort key for names ('Bacon' < 'BBQ Sauce' < 'Beef';
+    'Tomato Sauce' < 'Tomatoes'); the name itself breaks ties."""
+    v = F.col(value) if isinstance(value, str) else value
+    return F.lower(v)

@@ -15,10 +15,10 @@ from a group bounded by the length of one item's lists.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.agg import name_order, ordered_concat
+from ..functions.agg import name_key, ordered_concat
 from ..functions.text import split_list
 from ..operators import explode_list, top_n
 from ..sources.sinks import materialize
@@ -60,12 +60,6 @@ def _changed_toppings(items: DataFrame, recipes: DataFrame) -> DataFrame:
     return items.join(r, "pizza_id", "left").withColumn("_toppings", changed).drop("_recipe")
 
 
-def _names_or_null(pairs: Column) -> Column:
-    """array_join of the ``n`` fields in (lower(name), name) order; NULL if empty."""
-    joined = F.array_join(F.transform(F.array_sort(pairs), lambda p: p["n"]), ", ")
-    return F.when(F.size(pairs) > 0, joined)
-
-
 def order_item_text(items: DataFrame, names: DataFrame, toppings: DataFrame,
                     single_blank: bool = False) -> DataFrame:
     """J40 -> order_item_id, order_id, customer_id, order_item:
@@ -80,22 +74,17 @@ def order_item_text(items: DataFrame, names: DataFrame, toppings: DataFrame,
         F.transform(split_list("extras"), lambda x: F.struct(F.lit(1).alias("tag"), x.alias("id"))))
     rows = (items.join(names, "pizza_id").repartition("order_item_id")
                  .select(*ITEM_COLUMNS, "pizza_name", F.explode_outer(tagged).alias("_t"))
-                 .join(toppings, F.col("_t.id") == F.col("topping_id"), "left"))
-    entry = F.when(F.col("topping_name").isNotNull(),
-                   F.struct(F.col("_t.tag").alias("tag"), F.lower("topping_name").alias("k"),
-                            F.col("topping_name").alias("n")))
-    per_item = rows.groupBy(*ITEM_COLUMNS, "pizza_name").agg(F.collect_list(entry).alias("_e"))
-
-    def part(tag: int) -> Column:
-        picked = F.transform(F.filter("_e", lambda e: e["tag"] == tag),
-                             lambda e: F.struct(e["k"].alias("k"), e["n"].alias("n")))
-        return _names_or_null(picked)
-
+                 .join(toppings, F.col("_t.id") == F.col("topping_id"), "left")
+                 .select(*ITEM_COLUMNS, "pizza_name", name_key("topping_name").alias("_k"),
+                         F.when(F.col("_t.tag") == 0, F.col("topping_name")).alias("_excluded"),
+                         F.when(F.col("_t.tag") == 1, F.col("topping_name")).alias("_added")))
+    per_item = rows.groupBy(*ITEM_COLUMNS, "pizza_name").agg(
+        ordered_concat("_excluded", "_k").alias("_x"), ordered_concat("_added", "_k").alias("_e"))
     excl_prefix = "- Exclude " if single_blank else " - Exclude "
     return per_item.select(*ITEM_COLUMNS, F.concat_ws(
         " ", "pizza_name",
-        F.concat(F.lit(excl_prefix), part(0)),
-        F.concat(F.lit("- Extra "), part(1))).alias("order_item"))
+        F.concat(F.lit(excl_prefix), F.col("_x")),
+        F.concat(F.lit("- Extra "), F.col("_e"))).alias("order_item"))
 
 
 def item_toppings(items: DataFrame, recipes: DataFrame, persist: bool = False) -> DataFrame:
@@ -123,10 +112,10 @@ def ingredient_lists(items: DataFrame, recipes: DataFrame, names: DataFrame,
     qty = rows.groupBy(*ITEM_COLUMNS, "pizza_name", "topping_name").agg(F.count(F.lit(1)).alias("_q"))
     label = F.when(F.col("_q") > 1, F.concat(F.col("_q").cast("string"), F.lit("x"), F.col("topping_name"))) \
              .otherwise(F.col("topping_name"))
+    qty = qty.withColumn("_label", label).withColumn("_k", name_key("topping_name"))
     lists = qty.groupBy(*ITEM_COLUMNS, "pizza_name").agg(
-        ordered_concat(label, *name_order("topping_name")).alias("_list"),
-        F.count("topping_name").alias("_known"))
-    text = F.when(F.col("_known") > 0, F.concat(F.col("pizza_name"), F.lit(": "), F.col("_list")))
+        ordered_concat("_label", "_k", "topping_name").alias("_list"))
+    text = F.concat(F.col("pizza_name"), F.lit(": "), F.col("_list"))
     return lists.select(*ITEM_COLUMNS, text.alias("ingredient_list"))
 
 

@@ -189,8 +189,9 @@ def pizza_recipes(spark: SparkSession, d: str) -> DataFrame:
     # distinct first: a part's list has at most one entry per nation, however
     # many lines the part has, so the per-part concatenation is bounded.
     pairs = li.join(s, li.l_suppkey == s.s_suppkey).select("l_partkey", "s_nationkey").distinct()
+    pairs = pairs.withColumn("_id", F.col("s_nationkey").cast("string"))
     return pairs.groupBy(F.col("l_partkey").alias("pizza_id")).agg(
-        ordered_concat(F.col("s_nationkey").cast("string"), F.col("s_nationkey")).alias("toppings"))
+        ordered_concat("_id", "s_nationkey").alias("toppings"))
 
 
 def pizza_toppings(spark: SparkSession, d: str) -> DataFrame:
