@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Spellings of "no value" that arrive as text in raw tables.
@@ -65,11 +66,24 @@ def parse_timestamp(c: str | Column, sentinels: Iterable[str] = FAKE_NULLS) -> C
 
 
 def split_list(c: str | Column, sep: str = ",", element_type: str | None = "int") -> Column:
-    """'1, 5' -> [1, 5].  '' and NULL give an empty array (no element), and each
-    element is trimmed before the cast, so a blank after the separator is fine."""
+    """'1, 5' -> [1, 5].  '' and NULL give an empty array (no element).  Blanks
+    around the separators and at the ends are dropped (the separator is matched
+    with the blanks around it), and the whole array is cast at once -- no
+    per-element lambda."""
     c = _col(c)
-    parts = F.transform(F.split(c, sep), lambda x: F.trim(x))
+    pattern = r"\s*" + re.escape(sep) + r"\s*"
+    parts = F.split(F.trim(c), pattern)
     if element_type:
-        parts = F.transform(parts, lambda x: x.try_cast(element_type))
+        parts = parts.try_cast(f"array<{element_type}>")
     empty = F.array().cast(f"array<{element_type or 'string'}>")
     return F.when(c.isNull() | (F.trim(c) == ""), empty).otherwise(parts)
+
+
+def clean_sentinels(df: DataFrame, rules: dict[str, tuple[Iterable[str], str | None]],
+                    blank: bool = False) -> DataFrame:
+    """Apply ``replace_fake_null`` to several columns at once:
+    ``{"extras": (("null", "NaN"), ""), "cancellation": (("null", "NaN"), None)}``."""
+    out = df
+    for col, (sentinels, replacement) in rules.items():
+        out = out.withColumn(col, replace_fake_null(col, replacement, sentinels, blank))
+    return out

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.text import FAKE_NULLS, parse_measure, parse_timestamp, replace_fake_null
+from ..functions.text import (FAKE_NULLS, clean_sentinels, parse_measure, parse_timestamp,
+                              replace_fake_null)
 from ..operators import assert_schema, missing_counts, missing_rows, schema_of, surrogate_key
 
 ORDER_COLUMNS = ["order_id", "customer_id", "pizza_id", "exclusions", "extras", "order_time"]
@@ -37,11 +38,8 @@ def clean_customer_orders(customer_orders: DataFrame, with_key: bool = True) ->
     time) order; identical pizzas of one order are separate items.  Jobs that do
     not need the key pass ``with_key=False`` and skip its write.
     """
-    clean = customer_orders.select(
-        "order_id", "customer_id", "pizza_id",
-        replace_fake_null("exclusions", "").alias("exclusions"),
-        replace_fake_null("extras", "").alias("extras"),
-        "order_time")
+    clean = clean_sentinels(customer_orders, {"exclusions": (FAKE_NULLS, ""), "extras": (FAKE_NULLS, "")}) \
+        .select(*ORDER_COLUMNS)
     if not with_key:
         return clean
     keyed = surrogate_key(clean, ORDER_COLUMNS, "order_item_id")
