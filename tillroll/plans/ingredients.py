@@ -51,13 +51,17 @@ def most_common(items: DataFrame, toppings: DataFrame, column: str, label: str)
 
 
 def _changed_toppings(items: DataFrame, recipes: DataFrame) -> DataFrame:
-    """``items`` plus ``_toppings``: the item's topping ids after its changes, as a
-    multiset array.  A pizza without a recipe contributes one NULL topping, as
-    the left join of the relational form does."""
+    """``items`` plus ``_kept`` (recipe toppings left after the exclusions, distinct),
+    ``_extras`` and ``_toppings`` = ``_kept`` ++ ``_extras``, the item's multiset.
+    A pizza without a recipe contributes one NULL topping, as the left join of
+    the relational form does."""
     r = recipes.select("pizza_id", split_list("toppings").alias("_recipe"))
     base = F.coalesce(F.col("_recipe"), F.array(F.lit(None).cast("int")))
-    changed = F.concat(F.array_except(base, split_list("exclusions")), split_list("extras"))
-    return items.join(r, "pizza_id", "left").withColumn("_toppings", changed).drop("_recipe")
+    return (items.join(r, "pizza_id", "left")
+                 .withColumn("_kept", F.array_except(base, split_list("exclusions")))
+                 .withColumn("_extras", split_list("extras"))
+                 .withColumn("_toppings", F.concat("_kept", "_extras"))
+                 .drop("_recipe"))
 
 
 def order_item_text(items: DataFrame, names: DataFrame, toppings: DataFrame,
@@ -102,21 +106,28 @@ def ingredient_lists(items: DataFrame, recipes: DataFrame, names: DataFrame,
     'Name: 2xBacon, Beef, ...' -- alphabetical, 'Nx' before toppings used N > 1
     times.
 
-    Items are hash-partitioned by their key once, before the lists are exploded;
-    both aggregations (quantity per item and name, then the list per item) group
-    by that key and so run without another exchange of the exploded rows.
+    The kept recipe toppings are distinct, so a topping's quantity is computed in
+    the row: 1 if kept, plus its occurrences among the extras.  Only the distinct
+    toppings of each item are exploded; items are hash-partitioned by their key
+    before that, so the one aggregation (the list per item) needs no further
+    exchange.  Topping names are taken to be unique per id (a dimension).
     """
     changed = _changed_toppings(items.join(names, "pizza_id"), recipes).repartition("order_item_id")
-    rows = (changed.select(*ITEM_COLUMNS, "pizza_name", F.explode_outer("_toppings").alias("topping_id"))
+    t = F.col("_t")
+    qty = (F.when(F.array_contains("_kept", t), 1).otherwise(0)
+           + F.size("_extras") - F.size(F.array_remove("_extras", t)))
+    rows = (changed.select(*ITEM_COLUMNS, "pizza_name", "_kept", "_extras",
+                           F.explode_outer(F.array_distinct("_toppings")).alias("_t"))
+                   .select(*ITEM_COLUMNS, "pizza_name", F.col("_t").alias("topping_id"), qty.alias("_q"))
                    .join(toppings, "topping_id", "left"))
-    qty = rows.groupBy(*ITEM_COLUMNS, "pizza_name", "topping_name").agg(F.count(F.lit(1)).alias("_q"))
     label = F.when(F.col("_q") > 1, F.concat(F.col("_q").cast("string"), F.lit("x"), F.col("topping_name"))) \
              .otherwise(F.col("topping_name"))
-    qty = qty.withColumn("_label", label).withColumn("_k", name_key("topping_name"))
-    lists = qty.groupBy(*ITEM_COLUMNS, "pizza_name").agg(
+    rows = rows.select(*ITEM_COLUMNS, "pizza_name", "topping_name", label.alias("_label"),
+                       name_key("topping_name").alias("_k"))
+    lists = rows.groupBy(*ITEM_COLUMNS, "pizza_name").agg(
         ordered_concat("_label", "_k", "topping_name").alias("_list"))
-    text = F.concat(F.col("pizza_name"), F.lit(": "), F.col("_list"))
-    return lists.select(*ITEM_COLUMNS, text.alias("ingredient_list"))
+    return lists.select(*ITEM_COLUMNS, F.concat(F.col("pizza_name"), F.lit(": "), F.col("_list"))
+                        .alias("ingredient_list"))
 
 
 def ingredient_usage(items: DataFrame, deliveries: DataFrame, recipes: DataFrame,
