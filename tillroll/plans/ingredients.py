@@ -9,8 +9,8 @@ algebra is evaluated per item row with array functions --
 ``concat(array_except(recipe, exclusions), extras)``; ``array_except`` is distinct
 and null-safe exactly like SQL EXCEPT -- so nothing is shuffled per topping: the
 only exchanges are the recipe lookup by pizza and, where names are needed, one
-hash partitioning of the items by their key before the lists are exploded.  Every per-item text is built
-from a group bounded by the length of one item's lists.
+hash partitioning of the items by their key before the lists are exploded.
+Every per-item text is built from a group bounded by one item's lists.
 """
 
 from __future__ import annotations
