@@ -108,6 +108,8 @@ def test_j27_j28_timing(t):
     assert rows(M.volume_by_weekday(t["items"])) == [
         ("Friday", 1), ("Saturday", 5), ("Thursday", 3), ("Wednesday", 5)]
     assert rows(M.volume_by_weekday(t["items"], as_number=True)) == [(3, 5), (4, 3), (5, 1), (6, 5)]
+    assert rows(M.volume_by_weekday(t["items"], padded=True)) == [
+        ("Friday   ", 1), ("Saturday ", 5), ("Thursday ", 3), ("Wednesday", 5)]
 
 
 # ---- couriers --------------------------------------------------------------------

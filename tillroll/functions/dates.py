@@ -49,9 +49,11 @@ def weekday_number(ts: str | Column) -> Column:
     return (F.dayofweek(_col(ts)) - 1).cast("bigint")
 
 
-def weekday_name(ts: str | Column) -> Column:
-    """Full English day name, not blank-padded."""
-    return F.date_format(_col(ts), "EEEE")
+def weekday_name(ts: str | Column, padded: bool = False) -> Column:
+    """Full English day name; ``padded=True`` blank-pads it to 9 characters
+    ('Friday   '), as a 'Day' picture in to_char does."""
+    name = F.date_format(_col(ts), "EEEE")
+    return F.rpad(name, 9, " ") if padded else name
 
 
 def month_start(d: str | Column) -> Column:

@@ -82,8 +82,9 @@ def volume_by_hour(df: DataFrame, ts: str = "order_time", counted: str = "pizza_
 
 
 def volume_by_weekday(df: DataFrame, ts: str = "order_time", counted: str = "pizza_id",
-                      as_number: bool = False) -> DataFrame:
-    """J28 -> day_of_week, pizzas_ordered.  The day is the English name, or with
-    ``as_number`` 0 = Sunday .. 6 = Saturday."""
-    day = weekday_number(ts) if as_number else weekday_name(ts)
+                      as_number: bool = False, padded: bool = False) -> DataFrame:
+    """J28 -> day_of_week, pizzas_ordered.  The day is the English name (blank-
+    padded to 9 characters with ``padded``), or with ``as_number`` 0 = Sunday ..
+    6 = Saturday."""
+    day = weekday_number(ts) if as_number else weekday_name(ts, padded)
     return df.groupBy(day.alias("day_of_week")).agg(F.count(counted).alias("pizzas_ordered"))
