@@ -44,6 +44,7 @@ def test_minute_field_cuts_whole_hours(spark):
         [(1, 7, dt.datetime(2020, 1, 1, 11, 15, 30))], "order_id int, runner_id int, pickup_time timestamp_ntz")
     assert rows(R.avg_wait_per_runner(items, deliveries)) == [(7, 15)]
     assert rows(R.avg_wait_per_runner(items, deliveries, unit="total")) == [(7, 75)]
+    assert rows(R.avg_wait_per_runner(items, deliveries, unit="seconds")) == [(7, 4530.0)]
 
 
 def test_extra_equal_to_excluded_topping_counts_once(spark):

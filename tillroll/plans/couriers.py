@@ -1,8 +1,8 @@
 """Courier sign-ups, waiting, distance, speed and success.
 
 Times are measured in whole seconds; "minutes" results are the minute field of
-the average interval (whole hours cut off), or total minutes with
-``unit='total'``.  Decimal inputs stay exact until the final rounding.
+the average interval (whole hours cut off), total minutes with ``unit='total'``,
+or the average interval in seconds with ``unit='seconds'``.  Decimal inputs stay exact until the final rounding.
 """
 
 from __future__ import annotations
@@ -17,7 +17,15 @@ from ..operators import share
 
 
 def _minutes(avg_seconds, unit: str):
-    return minute_field(avg_seconds) if unit == "field" else total_minutes(avg_seconds)
+    """``field``: minute field of the average (0-59); ``total``: whole minutes;
+    ``seconds``: the average interval itself, in seconds."""
+    if unit == "field":
+        return minute_field(avg_seconds)
+    if unit == "total":
+        return total_minutes(avg_seconds)
+    if unit == "seconds":
+        return avg_seconds.cast("double")
+    raise ValueError(f"unknown unit {unit!r}")
 
 
 def signups_per_period(runners: DataFrame, anchor: str | dt.date, days: int = 7) -> DataFrame:
