@@ -2,7 +2,8 @@
 
 Times are measured in whole seconds; "minutes" results are the minute field of
 the average interval (whole hours cut off), total minutes with ``unit='total'``,
-or the average interval in seconds with ``unit='seconds'``.  Decimal inputs stay exact until the final rounding.
+or the average interval in seconds with ``unit='seconds'``.  Decimal inputs stay
+exact until the final rounding.
 """
 
 from __future__ import annotations
