@@ -245,3 +245,9 @@ def test_j47_delivery_facts(t):
 
 def test_j48_profit(t):
     assert rows(P.profit(t["items"], t["deliveries"], t["pizza_names"], PRICES, 10, "0.30")) == [(94.44,)]
+
+
+def test_j41_persisted_multiset_is_the_same(t):
+    lazy = rows(I.item_toppings(t["items"], t["pizza_recipes"]))
+    kept = rows(I.item_toppings(t["items"], t["pizza_recipes"], persist=True))
+    assert lazy == kept
