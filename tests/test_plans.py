@@ -3,6 +3,7 @@ no Cartesian product or nested-loop join anywhere, rank filters cut before the
 shuffle, filters and column pruning pushed into the Parquet scans."""
 
 import os
+import re
 
 import pytest
 
@@ -31,6 +32,18 @@ def test_no_cartesian_or_nested_loop_join(plans):
     assert not bad
 
 
+def test_no_single_partition_window_over_data(plans):
+    # an unpartitioned window prints its spec starting with a sort key; the only
+    # one allowed is the surrogate key's offsets (one row per partition, over _size)
+    for name, plan in plans.items():
+        for spec in re.findall(r"windowspecdefinition\(([^,)]*)", plan):
+            if re.search(r"\b(ASC|DESC)\b", spec):
+                assert spec.startswith("_part"), (name, spec)
+        for line in plan.splitlines():
+            if "windowspecdefinition(_part" in line and re.search(r"windowspecdefinition\(_part#\d+ (ASC|DESC)", line):
+                assert "sum(_size" in line, (name, line)
+
+
 @pytest.mark.parametrize("name", ["J03_first_purchase", "J05_favourite_items", "J06_first_after_joining",
                                   "J07_last_before_joining"])
 def test_rank_filters_use_window_group_limit(plans, name):
