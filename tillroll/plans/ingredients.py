@@ -73,9 +73,10 @@ def order_item_text(items: DataFrame, names: DataFrame, toppings: DataFrame,
     By default the text matches the published one, which has two blanks before
     '- Exclude'; ``single_blank=True`` gives one.
     """
-    tagged = F.concat(
-        F.transform(split_list("exclusions"), lambda x: F.struct(F.lit(0).alias("tag"), x.alias("id"))),
-        F.transform(split_list("extras"), lambda x: F.struct(F.lit(1).alias("tag"), x.alias("id"))))
+    def tag(ids, t: int):
+        return F.arrays_zip(ids.alias("id"), F.array_repeat(F.lit(t), F.size(ids)).alias("tag"))
+
+    tagged = F.concat(tag(split_list("exclusions"), 0), tag(split_list("extras"), 1))
     rows = (items.join(names, "pizza_id").repartition("order_item_id")
                  .select(*ITEM_COLUMNS, "pizza_name", F.explode_outer(tagged).alias("_t"))
                  .join(toppings, F.col("_t.id") == F.col("topping_id"), "left")
