@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import exact_dedup, language_id, mixing, packing
+from tillroll.llm import exact_dedup, language_id, minhash_dedup, mixing, packing
 from tillroll.llm.queries import MIX_SEED, MIX_WEIGHTS, TOKENIZER
 from tillroll.llm.support import table
 
@@ -26,6 +26,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    return minhash_dedup.drop_near_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or dropped to meet the target weights of their sources."""
     return mixing.mix(docs, MIX_WEIGHTS, seed=MIX_SEED).select(*docs.columns)
@@ -39,6 +44,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("language_id", identify_language),
     ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
     ("mix_sources", mix_sources),
     ("packing", pack_sequences),
 ]

@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import exact_dedup, language_id, mixing, packing, sharding, url_filter
+from tillroll.llm import (embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, packing, sharding,
+                          url_filter)
 from tillroll.llm.support import table, text_of
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -37,11 +38,19 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copies", "copy", "shuffle_key")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = language_id.predict(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.minhash_dedup(table(spark, sf_dir, "documents"), words=2)
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
@@ -56,8 +65,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_mix_sources, op5_language_id, op9_packing,
-                                   op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_mix_sources, op4_embedding_dedup,
+                                   op5_language_id, op7_minhash_dedup, op9_packing, op10_sharding)}
 
 OP1_SQL = r"""
 WITH d AS (
