@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm import (embedding_dedup, exact_dedup, language_id, minhash_dedup, mixing, packing, sharding,
-                          url_filter)
+from tillroll.llm import (embedding_dedup, exact_dedup, html_extract, language_id, license_scan, minhash_dedup, mixing,
+                          packing, sharding, url_filter)
 from tillroll.llm.support import table, text_of
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -47,10 +47,18 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.minhash_dedup(table(spark, sf_dir, "documents"), words=2)
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
@@ -66,7 +74,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_mix_sources, op4_embedding_dedup,
-                                   op5_language_id, op7_minhash_dedup, op9_packing, op10_sharding)}
+                                   op5_language_id, op6_license_scan, op7_minhash_dedup, op8_html_extract,
+                                   op9_packing, op10_sharding)}
 
 OP1_SQL = r"""
 WITH d AS (
