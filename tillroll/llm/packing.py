@@ -1,15 +1,15 @@
 """Packing token sequences by Karmarkar-Karp multiway differencing.
 
-Each document becomes its token ids and one end id, and is cut at multiples of the window's
-capacity.  The pieces are dealt evenly to groups by a hash of row and start.  In a group, a full
-piece is a window of its own.  The remainders are split into windows of near-equal length: every
-remainder starts as a partial partition with one filled part, and the two partitions with the
-largest imbalance are merged again and again, the fullest part of one with the emptiest of the
-other, until one is left.  If a part exceeds the capacity, the group is split anew with one window
-more.
-
-There are enough groups that each holds about ``GROUP`` remainders and the tokens of about
-``GROUP_BYTES`` of text at most, so neither a hot document or source nor very long texts make a
+Each document becomes its token ids and one end id.  Full windows are cut off first, and the rest
+of the document is cut into parts of ``PART`` ids at most: two or three large parts a window could
+not be balanced.  The pieces are dealt evenly to groups by a hash of row and start.  In a group, a
+full piece is a window of its own.  The parts are split into windows of near-equal length: every
+part starts as a partial partition with one filled place, and the two partitions with the largest
+imbalance are merged again and again, the fullest place of one with the emptiest of the other,
+until one is left.  If a place exceeds the capacity, the group is split anew with one window more.
+
+There are enough groups that each holds the parts of about ``GROUP`` documents and the tokens of
+about ``GROUP_BYTES`` of text at most, so neither a hot document or source nor very long texts make a
 large group.  The number of windows is at least the group's tokens divided by the capacity, and
 what is missing to fill the last one spreads over all windows of the group.
 
@@ -20,7 +20,8 @@ packed one by one; an empty table gives an empty result; columns besides id and
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,53 +29,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-CAPACITY, END = 2048, 1
+CAPACITY, END, PART = 2048, 1, 512
 GROUP, GROUP_BYTES = 1024, 16 << 20
-#: Words whose ids a task remembers; their number is bounded, the answers are the same without.
-REMEMBERED = 300_000
+#: Units whose ids a task remembers; their number is bounded, the answers are the same without.
+REMEMBERED = 400_000
+#: Fixed value: the tokenizer's units between white space, for texts that ``PLAIN`` matches, in lower case.
+LETTERS = "a-z\xdf-\xf6\xf8-\xff"
+UNIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
+#: Texts that the tokenizer's normalisation only puts into lower case: ASCII and U+00C0 to U+00FF.
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xc0-\xff]*")
+ASCII_WORD, ODD = re.compile(r"[^\x20\x09-\x0D]+"), "\0"
 #: Sequence numbers: group, then the place in the group.
 PLACES = 1 << 32
 PIECE = "_row long, _known boolean, doc_id long, start long, length long, doc_tokens long, ids binary"
 PLACED = "_known boolean, doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
 
-class Words(dict):
-    """Token ids, as bytes, of text between ASCII white space; worked out once per word.
+class Units(dict):
+    """Token ids, as bytes, of the tokenizer's units; worked out once per unit.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are the ids of its
-    words in a row.
+    The tokenizer drops white space and encodes each unit by itself, so a text's ids are the ids of
+    its units in a row.  Texts of ASCII and Latin-1 letters and signs are cut into units here (see
+    ``UNIT``), and the units not met before are encoded together: a unit ends where a token closes
+    a word.  A word with any other character is a unit of its own, encoded by itself.
     """
 
     def __init__(self, path: str) -> None:
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        names = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(names.values()) + 1, dtype=bool)
+        self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        ids = self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        found = self[word] = np.array(ids, dtype="<u4").tobytes()
-        return found
-
-    def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").encode("utf-8", "replace").split()))
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END,
+    def learn(self, units: set[str]) -> None:
+        if len(self) + len(units) > REMEMBERED:
+            self.clear()
+        units = units - self.keys()
+        fresh = [unit for unit in units if unit[0] != ODD]
+        ids = self.encode(" ".join(fresh))
+        ends = np.flatnonzero(self.closes[ids]) + 1
+        if len(ends) == len(fresh):
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            self.update(zip(fresh, (data[i:j] for i, j in zip([0, *ends[:-1]], ends))))
+        else:
+            self.update((unit, self.encode(unit).tobytes()) for unit in fresh)
+        self.update((unit, self.encode(unit[1:]).tobytes()) for unit in units if unit[0] == ODD)
+
+    def ids(self, texts: Iterable[str | None]) -> list[bytes]:
+        found = [units_of(text or "") for text in texts]
+        self.learn(set().union(*found))
+        return [b"".join(map(self.__getitem__, units)) for units in found]
+
+
+def units_of(text: str) -> list[str]:
+    """The tokenizer's units of a text; words that it may treat in another way are marked as odd."""
+    if PLAIN.fullmatch(text) and "<|" not in text:
+        return UNIT.findall(text.lower())
+    units: list[str] = []
+    for word in ASCII_WORD.findall(text):
+        units.extend(UNIT.findall(word.lower()) if PLAIN.fullmatch(word) and "<|" not in word else [ODD + word])
+    return units
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, part_size: int = PART,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every document's ids, cut at multiples of the capacity: ``PIECE`` columns (id 0 where null)."""
+    """Every document's ids in pieces: ``PIECE`` columns (id 0 where null)."""
     closing = np.array([end], dtype="<u4").tobytes()
     most = 4 * capacity
     names = ["_row", "_known", "doc_id", "start", "length", "doc_tokens", "ids"]
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = Words(tokenizer)
+        units = Units(tokenizer)
         for batch in batches:
             for at in range(0, len(batch), 500):  # a few texts at a time: ids are larger than text
                 part, rows = batch.iloc[at:at + 500], []
-                for row, known, doc, text in zip(part["_row"], part["_known"], part["doc_id"], part["t"]):
-                    data = words.ids(text) + closing
-                    rows += [(row, known, doc, i // 4, min(most, len(data) - i) // 4, len(data) // 4,
-                              data[i:i + most]) for i in range(0, len(data), most)]
+                for row, known, doc, data in zip(part["_row"], part["_known"], part["doc_id"], units.ids(part["t"])):
+                    data += closing
+                    whole = len(data) // most * most  # full windows, then smaller pieces
+                    cuts = [*range(0, whole, most), *range(whole, len(data), 4 * part_size)]
+                    rows += [(row, known, doc, i // 4, (j - i) // 4, len(data) // 4, data[i:j])
+                             for i, j in zip(cuts, [*cuts[1:], len(data)])]
                 yield pd.DataFrame(rows, columns=names)
 
     known = F.col(id_col).isNotNull()
@@ -140,7 +176,7 @@ def place(batch: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return batch[["_known", "doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"]]
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END,
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, part_size: int = PART,
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, ids, sequence_id, offset.
 
@@ -149,7 +185,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     """
     size = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
     groups = max(1, size["rows"] // GROUP, (size["bytes"] or 0) // GROUP_BYTES)
-    placed = (pieces(docs, tokenizer, capacity, end, id_col, text_col)
+    placed = (pieces(docs, tokenizer, capacity, end, part_size, id_col, text_col)
               .withColumn("_group", F.pmod(F.xxhash64("_row", "start"), F.lit(groups)))
               .groupBy("_group").applyInPandas(lambda batch: place(batch, capacity), PLACED))
     return placed.select(F.when(F.col("_known"), F.col("doc_id")).alias(id_col), "start", "length", "doc_tokens",
