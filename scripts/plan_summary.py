@@ -43,8 +43,7 @@ def main() -> None:
     print("# Physical plans of the registered jobs\n")
     print(f"Generated by `scripts/plan_summary.py` on `{sf_dir}`; static plans before adaptive re-planning,")
     print("so a shuffle join may still become a broadcast at run time when its side is small.")
-    print("Jobs with a surrogate key (J14, J18, J40, J41, J42) also run the key's own write-once job,")
-    print("not counted here. Jobs with a scalar subquery (J24, J45, J53-J56) list the subquery's exchanges")
+    print("Jobs with a scalar subquery (J14, J24, J40-J42, J53-J56) list the subquery's exchanges")
     print("too; in the final adaptive plan they are `ReusedExchange`s of the main query's, so the input is")
     print("not computed twice.\n")
     print("| job | shuffles | by | broadcasts | joins | window |")

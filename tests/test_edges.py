@@ -4,12 +4,14 @@ malformed numbers, keys across many partitions, relational EXCEPT/UNION ALL."""
 import datetime as dt
 
 from conftest import rows
+from pyspark.sql import functions as F
 from tillroll.functions import parse_measure, split_list
-from tillroll.operators import apply_changes, surrogate_key
+from tillroll.operators import apply_changes, round_ratio, surrogate_key
 from tillroll.plans import couriers as R
 from tillroll.plans import diner as D
 from tillroll.plans import ingredients as I
 from tillroll.plans import order_metrics as M
+from tillroll.plans import subscriptions as S
 
 ITEMS = "order_item_id long, order_id int, customer_id int, pizza_id int, exclusions string, " \
         "extras string, order_time timestamp_ntz"
@@ -67,7 +69,7 @@ def test_item_without_known_toppings_has_no_list(spark):
 
 def test_surrogate_key_is_consecutive_across_partitions(spark):
     df = spark.range(0, 1000).selectExpr("id * 7 % 1000 AS v", "id % 3 AS g")
-    keyed = surrogate_key(df, ["g", "v"], "k", partitions=5).collect()
+    keyed = surrogate_key(df, ["g", "v"], "k", buckets=5).collect()
     ordered = sorted(keyed, key=lambda r: r.k)
     assert [r.k for r in ordered] == list(range(1, 1001))
     assert [(r.g, r.v) for r in ordered] == sorted((r.g, r.v) for r in keyed)
@@ -84,7 +86,44 @@ def test_apply_changes_is_except_distinct_then_union_all(spark):
 def test_surrogate_key_splits_a_large_group_of_copies(spark):
     # a third of the rows are copies of one row; chunks of 7 split them
     df = spark.range(0, 300).selectExpr("CASE WHEN id < 100 THEN 0 ELSE id END AS v")
-    keyed = surrogate_key(df, ["v"], "k", partitions=4, chunk=7).collect()
+    keyed = surrogate_key(df, ["v"], "k", buckets=4, chunk=7).collect()
     assert sorted(r.k for r in keyed) == list(range(1, 301))
     by_key = sorted(keyed, key=lambda r: r.k)
     assert [r.v for r in by_key] == sorted(r.v for r in keyed)
+
+
+def test_leading_number_of_any_length_is_read(spark):
+    df = spark.createDataFrame([("2447 minutes",), ("15mins",), ("null",), (" 7",), ("x9",), (None,)], "x string")
+    got = [r.v for r in df.select(parse_measure("x", mode="left").alias("v")).collect()]
+    assert [None if v is None else float(v) for v in got] == [2447.0, 15.0, None, 7.0, None, None]
+
+
+def test_large_and_fine_measures_keep_their_value(spark):
+    df = spark.createDataFrame([("123456789012.345678 km",)], "x string")
+    assert str(df.select(parse_measure("x").alias("v")).first().v) == "123456789012.345678"
+
+
+def test_mean_distance_is_rounded_once(spark):
+    # 399 x 1.00 and one 2.999: the mean 1.0049975 rounds to 1.00, its six-place form 1.004998 too;
+    # 4,000,000-fold groups are stood in for by the ratio itself
+    one = spark.createDataFrame([(1,)], "x int")
+    ratio = round_ratio(F.lit("401999999").cast("decimal(24,6)"), F.lit(400000000), 2)
+    assert one.select(ratio.alias("v")).first().v == 1.0
+    half = round_ratio(F.lit("2.01").cast("decimal(24,6)"), F.lit(2), 2)
+    assert one.select(half.alias("v")).first().v == 1.01
+    minus = round_ratio(F.lit("-2.01").cast("decimal(24,6)"), F.lit(2), 2)
+    assert one.select(minus.alias("v")).first().v == -1.01
+
+
+def test_surrogate_key_orders_nulls_text_and_times(spark):
+    df = spark.createDataFrame([(None, 1), ("b", 1), ("a", 2), ("a", 1), ("ab", 1), ("", 1)], "v string, w int")
+    got = sorted(surrogate_key(df, ["v", "w"], "k", buckets=3).collect(), key=lambda r: r.k)
+    assert [(r.v, r.w) for r in got] == [(None, 1), ("", 1), ("a", 1), ("a", 2), ("ab", 1), ("b", 1)]
+
+
+def test_upgrades_before_the_trial_ends_count_with_negative_days(spark):
+    subs = spark.createDataFrame([(1, 0, dt.date(2020, 1, 1)), (1, 3, dt.date(2020, 1, 4)), (2, 0, dt.date(2020, 1, 1)),
+                                  (2, 3, dt.date(2020, 2, 27)), (3, 0, dt.date(2020, 1, 1))],
+                                 "customer_id int, plan_id int, start_date date")
+    assert rows(S.avg_days_to_annual(subs)) == [(23.0,)]
+    assert rows(S.days_to_annual_periods(subs)) == [("0-30 days", 1, -4.0), ("31-60 days", 1, 50.0)]

@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tillroll.operators import dense_rank_by, latest_as_of, moved_after, moved_between, surrogate_key
+from tillroll.operators import latest_as_of, moved_after, moved_between, surrogate_key
+from tillroll.plans import diner, subscriptions
 
 D0 = dt.date(2020, 1, 1)
 events = st.lists(st.tuples(st.integers(0, 3), st.integers(0, 4), st.integers(0, 40)), min_size=0, max_size=40)
@@ -61,14 +62,37 @@ def test_latest_as_of_equals_max_join(spark, rows):
     assert got == sorted(r for r in upto if r[2] == last[r[0]])
 
 
+@SETTINGS
+@given(rows=events, joins=st.dictionaries(st.integers(0, 3), st.integers(0, 40)))
+def test_member_jobs_equal_join_and_window(spark, rows, joins):
+    sales = spark.createDataFrame([(c, D0 + dt.timedelta(days=d), p) for c, p, d in rows],
+                                  "customer_id int, order_date date, product_id int")
+    menu = spark.createDataFrame([(p, f"item {p}", 10 + p) for p in range(5)], "product_id int, product_name string, price int")
+    members = spark.createDataFrame([(c, D0 + dt.timedelta(days=d)) for c, d in joins.items()], "customer_id int, join_date date")
+    j = sales.join(menu, "product_id").join(members, "customer_id", "left")
+    member = F.coalesce(F.col("order_date") >= F.col("join_date"), F.lit(False))
+    bag = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    for job, mine, desc in ((diner.first_after_joining, member, False),
+                            (diner.last_before_joining, F.col("order_date") < F.col("join_date"), True)):
+        order = F.col("order_date").desc() if desc else F.col("order_date")
+        want = j.where(mine).withColumn("r", F.rank().over(Window.partitionBy("customer_id").orderBy(order)))
+        assert bag(job(sales, members, menu)) == bag(want.where("r = 1").select("customer_id", "product_name"))
+    ranks = F.dense_rank().over(Window.partitionBy("customer_id", "m").orderBy("order_date"))
+    want = j.withColumn("m", member).withColumn("r", F.when(F.col("m"), ranks.cast("bigint")))
+    want = want.select("customer_id", "order_date", "product_name", "price", F.when(F.col("m"), "Y").otherwise("N"), "r")
+    assert bag(diner.ranked_table(sales, menu, members)) == bag(want)
+
+
 @SETTINGS
 @given(rows=events)
-def test_dense_rank_by_equals_window(spark, rows):
-    df = _df(spark, rows).withColumn("member", F.when(F.col("plan_id") > 1, "Y").otherwise("N"))
-    got = sorted(tuple(r) for r in dense_rank_by(df, ["customer_id", "member"], "start_date", "r").collect())
-    w = Window.partitionBy("customer_id", "member").orderBy("start_date")
-    want = sorted(tuple(r) for r in df.withColumn("r", F.dense_rank().over(w)).collect())
-    assert got == want
+def test_upgrade_days_equal_the_self_join(spark, rows):
+    """On one row per customer and plan, as the published answers have it."""
+    once = list({(c, p): (c, p, d) for c, p, d in rows}.values())
+    df = _df(spark, once)
+    a, b = df.where("plan_id = 0").alias("a"), df.where("plan_id = 3").alias("b")
+    days = F.datediff("b.start_date", "a.start_date") - 7
+    want = a.join(b, F.col("a.customer_id") == F.col("b.customer_id")).agg(F.round(F.avg(days)).cast("double")).first()[0]
+    assert subscriptions.avg_days_to_annual(df).first()[0] == want
 
 
 @SETTINGS
@@ -76,7 +100,7 @@ def test_dense_rank_by_equals_window(spark, rows):
 def test_surrogate_key_equals_row_number(spark, rows):
     df = _df(spark, rows)
     got = sorted(tuple(r) for r in surrogate_key(df, ["customer_id", "start_date", "plan_id"], "k",
-                                                 partitions=3, chunk=2).collect())
+                                                 buckets=3, chunk=2).collect())
     w = Window.orderBy("customer_id", "start_date", "plan_id")
     want = sorted(tuple(r) for r in df.withColumn("k", F.row_number().over(w)).collect())
     assert got == want

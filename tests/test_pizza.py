@@ -63,15 +63,22 @@ def test_j16_j17_alternative_parsers(t):
 
 
 def test_j18_types(spark, t):
-    out = C.column_types(spark, {"clean_runner_orders": t["deliveries"]},
-                         {"clean_runner_orders": {"order_id": "int", "runner_id": "int",
-                                                  "pickup_time": "timestamp_ntz",
-                                                  "distance_km": "decimal(10,2)",
-                                                  "duration_mins": "decimal(10,2)",
-                                                  "cancellation": "string"}})
-    assert len(out.collect()) == 6
+    out = C.column_types(t["deliveries"], {"order_id": "int", "runner_id": "int", "pickup_time": "timestamp_ntz",
+                                           "distance_km": "decimal(24,6)", "duration_mins": "decimal(24,6)",
+                                           "cancellation": "string"})
+    assert len(out) == 6
     with pytest.raises(AssertionError):
-        C.column_types(spark, {"x": t["deliveries"]}, {"x": {"order_id": "bigint"}})
+        C.column_types(t["deliveries"], {"order_id": "bigint"})
+
+
+def test_j18_counts_what_the_parsers_cannot_read(spark):
+    orders = spark.createDataFrame([("1, 2", "x"), ("", None), ("1, y", "3"), ("null", "4,"), ("5", "NaN")],
+                                   "exclusions string, extras string")
+    runs = spark.createDataFrame([("2020-01-01 10:00:00", "12km", "1.2.3"), ("soon", "null", "20 mins"), (None, "km", "")],
+                                 "pickup_time string, distance string, duration string")
+    assert rows(C.unparseable_counts(orders, runs), "column_name", "rows", "missing", "unparseable") == [
+        ("distance", 3, 1, 1), ("duration", 3, 1, 1), ("exclusions", 5, 2, 1), ("extras", 5, 2, 2),
+        ("pickup_time", 3, 1, 1)]
 
 
 # ---- order metrics -------------------------------------------------------------
@@ -247,7 +254,14 @@ def test_j48_profit(t):
     assert rows(P.profit(t["items"], t["deliveries"], t["pizza_names"], PRICES, 10, "0.30")) == [(94.44,)]
 
 
-def test_j41_persisted_multiset_is_the_same(t):
-    lazy = rows(I.item_toppings(t["items"], t["pizza_recipes"]))
-    kept = rows(I.item_toppings(t["items"], t["pizza_recipes"], persist=True))
-    assert lazy == kept
+def test_j41_as_relations_is_the_same(t):
+    arrays = rows(I.item_toppings(t["items"], t["pizza_recipes"]))
+    assert arrays == rows(I.item_toppings_by_sets(t["items"], t["pizza_recipes"]))
+
+
+def test_j46_table_is_written_and_read_back(spark, t, tmp_path):
+    got = P.ratings_table(t["order_ratings"], t["deliveries"], str(tmp_path / "ratings"))
+    assert rows(got, "order_id", "rating") == rows(t["order_ratings"], "order_id", "rating")
+    twice = t["order_ratings"].unionByName(t["order_ratings"])
+    with pytest.raises(ValueError):
+        P.ratings_table(twice, t["deliveries"], str(tmp_path / "again"))

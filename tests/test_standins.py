@@ -40,3 +40,10 @@ def test_every_fake_null_spelling_occurs_and_is_cleaned(spark):
 def test_subscription_plans_cover_all_five(spark):
     subs = S.subscriptions(spark, SF)
     assert sorted(r[0] for r in subs.select("plan_id").distinct().collect()) == [0, 1, 2, 3, 4]
+
+
+def test_the_two_duration_parsers_agree_on_every_row(spark):
+    raw = S.runner_orders(spark, SF)
+    both = C.clean_runner_orders(raw).join(C.duration_by_prefix(raw), "order_id")
+    assert both.count() > 0
+    assert both.where(~F.col("duration_mins").eqNullSafe(F.col("duration"))).count() == 0

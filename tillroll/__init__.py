@@ -8,8 +8,8 @@ Layout
 - ``plans``      the analysis jobs, one module per business domain, plus the
                  registry that wires them to the driver's tables
 - ``sources``    table readers, stand-in tables derived from the driver's
-                 tables, literal fixtures and sinks
-- ``streaming``  incremental runs of the batch jobs
+                 tables, and sinks
+- ``llm``        operators of a training-data pipeline (stands alone)
 """
 
 __version__ = "0.1.0"

@@ -63,7 +63,7 @@ def month_start(d: str | Column) -> Column:
 def period_index(days: str | Column, width: int = 30) -> Column:
     """(days - 1) div width, cut toward zero, so day 0 and day ``width`` both fall
     in period 0 and period k covers days k*width+1 .. (k+1)*width."""
-    return ((_col(days) - 1) / F.lit(width)).cast("bigint")
+    return F.call_function("div", _col(days) - 1, F.lit(width)).cast("bigint")
 
 
 def period_label(index: str | Column, width: int = 30) -> Column:

@@ -35,16 +35,20 @@ def replace_fake_null(c: str | Column, replacement: str | None,
     return F.when(is_fake_null(c, sentinels, blank), repl).otherwise(c)
 
 
-def parse_measure(c: str | Column, precision: int = 10, scale: int = 2,
-                  mode: str = "digits", unit: str = "km", keep: int = 3) -> Column:
+# Numbers read from text: room for 18 digits before and 6 after the point.
+MEASURE_PRECISION, MEASURE_SCALE = 24, 6
+
+
+def parse_measure(c: str | Column, precision: int = MEASURE_PRECISION, scale: int = MEASURE_SCALE,
+                  mode: str = "digits", unit: str = "km") -> Column:
     """Turn text such as '13.4km', '20 mins' or 'null' into decimal(precision, scale).
 
     ``mode``:
       - ``digits``: keep digits and dots only, '' -> NULL, then cast (the main parser);
       - ``replace``: drop the unit text, 'null' -> NULL, then cast;
-      - ``left``: keep the first ``keep`` characters, drop 'm', then cast.  Kept for
-        parity with the short-cut parse; it is wrong for values of ``keep``+1 digits.
-    Unparseable text becomes NULL (``try_cast``), so a stray '1.2.3' cannot fail a job.
+      - ``left``: keep the characters of the leading number, however long it is, then cast.
+    Unparseable text becomes NULL (``try_cast``), so a stray '1.2.3' cannot fail a job;
+    ``operators.quality.parse_counts`` counts such values.
     """
     c = _col(c)
     dtype = f"decimal({precision},{scale})"
@@ -53,8 +57,7 @@ def parse_measure(c: str | Column, precision: int = 10, scale: int = 2,
     elif mode == "replace":
         text = F.when(c == "null", F.lit(None).cast("string")).otherwise(F.replace(c, F.lit(unit), F.lit("")))
     elif mode == "left":
-        text = F.when(c == "null", F.lit(None).cast("string")).otherwise(
-            F.replace(F.left(c, F.lit(keep)), F.lit("m"), F.lit("")))
+        text = F.nullif(F.left(c, F.length(F.regexp_extract(c, r"^\s*[0-9.]*", 0))), F.lit(""))
     else:
         raise ValueError(f"unknown parse mode {mode!r}")
     return F.trim(text).try_cast(dtype)
@@ -79,6 +82,12 @@ def split_list(c: str | Column, sep: str = ",", element_type: str | None = "int"
     return F.when(c.isNull() | (F.trim(c) == ""), empty).otherwise(parts)
 
 
+def list_is_bad(c: str | Column, sep: str = ",", element_type: str = "int") -> Column:
+    """True if an entry of the list cannot be read as ``element_type`` (an empty entry included)."""
+    entries = split_list(c, sep, None)
+    return F.exists(entries, lambda x: x.try_cast(element_type).isNull())
+
+
 def clean_sentinels(df: DataFrame, rules: dict[str, tuple[Iterable[str], str | None]],
                     blank: bool = False) -> DataFrame:
     """Apply ``replace_fake_null`` to several columns at once:

@@ -4,65 +4,65 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+# Buckets of the leading order column, and the largest number of identical rows numbered by one
+# output row of the expansion.
+BUCKETS, COPY_CHUNK = 4096, 100_000
 
-# Largest number of identical rows numbered by one output row of the expansion.
-COPY_CHUNK = 100_000
+
+def _as_number(df: DataFrame, col: str) -> Column:
+    """A number that orders like the column (numbers, dates and timestamps; text by its first six bytes)."""
+    kind = df.schema[col].dataType.typeName()
+    if kind == "date":
+        return F.unix_date(col).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    if kind == "string":
+        head = F.rpad(F.hex(F.substring(F.col(col).cast("binary"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    return F.col(col).cast("double")
 
 
 def surrogate_key(df: DataFrame, order: Sequence[str], name: str, start: int = 1,
-                  partitions: int | None = None, chunk: int = COPY_CHUNK) -> DataFrame:
+                  buckets: int = BUCKETS, chunk: int = COPY_CHUNK) -> DataFrame:
     """Add ``name`` = start, start+1, ... following ``order`` (ROW_NUMBER() OVER
-    (ORDER BY order)), as bigint, computed in parallel and stable once built.
-
-    Identical rows are legitimate (two equal pizzas of one order) and may be a
-    large share of the table, which range partitioning alone cannot split.  So:
+    (ORDER BY order)), as bigint, computed in parallel.  Lazy: nothing runs here.
 
-    1. copies are counted first (group by every column; the partial aggregate
-       collapses a hot group on the map side) and each count is cut into chunks
-       of at most ``chunk`` rows;
-    2. the chunk rows are range-partitioned and sorted on ``order`` (then the
-       other columns and the chunk index, so ties are ordered deterministically)
-       and written once to the shared checkpoint folder -- the key must not
-       change if a task is re-run;
-    3. every chunk's first id is the sum of the chunk sizes before it: a running
-       sum inside each range partition plus the partition's offset (one row per
-       partition, so the offsets' small window and broadcast are bounded);
-    4. each chunk expands back into its rows with consecutive ids.
+    1. Identical rows are counted first (the partial aggregate collapses a hot group
+       on the map side) and expand again at the end, in chunks of ``chunk``.
+    2. Each distinct row falls in one of ``buckets`` equal stretches between the least
+       and the largest value of the leading order column.  The bucket depends on the
+       row and two exact numbers alone, so every evaluation agrees and nothing has to
+       be written.
+    3. A row's first id is the sum of the earlier buckets (a window over at most
+       ``buckets`` sums) plus a running sum inside its bucket.
 
-    Rows equal on every ``order`` column but different elsewhere are numbered in
-    the order of their other columns.
+    Two shuffles carry rows: the count and the running sum.  Rows equal on every
+    ``order`` column but different elsewhere are numbered in the order of their other
+    columns.  The leading column should spread over its range: distinct rows that all
+    share one leading value are numbered in one task (with spilling).
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = df.columns
-    sort_cols = list(order) + [c for c in cols if c not in order] + ["_c"]
-
-    copies = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
-    chunks = (copies
-              .withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                                     ((F.col("_copies") - 1) / chunk).cast("bigint"))))
-              .withColumn("_n", F.least(F.lit(chunk).cast("bigint"), F.col("_copies") - F.col("_c") * chunk))
-              .drop("_copies"))
-    placed = (chunks.repartitionByRange(n, *sort_cols)
-                    .sortWithinPartitions(*sort_cols)
-                    .withColumn("_part", F.spark_partition_id())
-                    .withColumn("_pos", F.monotonically_increasing_id()
-                                - F.shiftleft(F.spark_partition_id().cast("bigint"), 33)))
-    placed = placed.checkpoint(eager=True)
-
-    before = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, -1)
+    sort_cols = list(order) + [c for c in cols if c not in order]
+    copies = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+    lead = _as_number(df, order[0])
+    ends = df.agg(F.min(lead).alias("lo"), F.max(lead).alias("hi"))
+    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    width = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
+    bucket = F.least(F.lit(buckets - 1), F.floor((lead - lo) / width * buckets).cast("int"))
+    placed = copies.withColumn("_b", F.when(lead.isNull(), -1).otherwise(bucket))  # NULL comes first
+    before = Window.partitionBy("_b").orderBy(*sort_cols).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    sizes = placed.groupBy("_part").agg(F.sum("_n").alias("_size"))
+    sizes = placed.groupBy("_b").agg(F.sum("_n").alias("_size"))
     offsets = sizes.select(
-        "_part",
-        F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    first = F.col("_off") + F.col("_before") + F.lit(start)
-    keyed = local.join(F.broadcast(offsets), "_part").withColumn("_first", first)
-    ids = F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_n") - 1))
-    return keyed.select(*cols, ids.alias(name))
+        "_b", F.coalesce(F.sum("_size").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
+                         F.lit(0)).alias("_off"))
+    # at most ``buckets`` rows
+    keyed = local.join(F.broadcast(offsets), "_b").withColumn("_first", F.col("_off") + F.col("_before") + F.lit(start))
+    last = F.call_function("div", F.col("_n") - 1, F.lit(chunk))
+    chunks = keyed.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    first = F.col("_first") + F.col("_c") * chunk
+    end = F.least(first + chunk, F.col("_first") + F.col("_n")) - 1
+    return chunks.select(*cols, F.explode(F.sequence(first, end)).alias(name))

@@ -34,6 +34,22 @@ def share(part: Column, total: Column, scale: int = 0, integer: bool = False) ->
     """
     hundred = F.lit(100).cast("bigint") * part.cast("bigint")
     if integer:
-        return F.round((hundred / total.cast("bigint")).cast("bigint"), 0).cast("double")
+        return F.call_function("div", hundred, total.cast("bigint")).cast("double")
     q = hundred.cast("decimal(20,0)") / total.cast("decimal(20,0)")  # decimal(38,18)
     return F.round(q, scale).cast("double")
+
+
+def round_ratio(part: Column, whole: Column, scale: int) -> Column:
+    """part / whole rounded half-up (away from zero) to ``scale`` places, once.
+
+    A decimal quotient has already been rounded to the places its type has room for, and rounding
+    it again can cross a half.  So the hundredths (say) are found by integer division: both numbers
+    are scaled to whole numbers first.  NULL if either is NULL or ``whole`` is 0.
+    """
+    exact = "decimal(38,0)"
+    top = F.abs(part.cast("decimal(32,6)") * 1_000_000).cast(exact)
+    bottom = F.abs(whole.cast("decimal(32,6)") * 1_000_000).cast(exact)
+    bottom = F.when(bottom != 0, bottom)
+    steps = F.call_function("div", top * (2 * 10 ** scale) + bottom, bottom * 2)
+    sign = F.when((part < 0) != (whole < 0), -1).otherwise(1)
+    return (sign * steps).cast("double") / F.lit(float(10 ** scale))

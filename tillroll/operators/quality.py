@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import FAKE_NULLS, is_fake_null
@@ -32,6 +32,22 @@ def missing_counts(df: DataFrame, cols: Sequence[str], text_cols: Sequence[str]
     return df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
 
 
+def parse_counts(df: DataFrame, unreadable: dict[str, Column], table: str,
+                 sentinels: Iterable[str] = FAKE_NULLS) -> DataFrame:
+    """table_name, column_name, rows, missing, unparseable: a row per column of ``unreadable``, which
+    says when a value that is not missing cannot be read.  One aggregate over the table."""
+    sentinels = list(sentinels)
+    aggs = []
+    for c, bad in unreadable.items():
+        gone = is_fake_null(c, sentinels, blank=True)
+        aggs += [F.count(F.when(gone, 1)).alias(f"{c}_missing"), F.count(F.when(~gone & bad, 1)).alias(f"{c}_bad")]
+    counts = df.agg(F.count(F.lit(1)).alias("rows"), *aggs)
+    per_column = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"{c}_missing").alias("missing"),
+                                    F.col(f"{c}_bad").alias("unparseable")) for c in unreadable])
+    return counts.select("rows", F.explode(per_column).alias("x")).select(
+        F.lit(table).alias("table_name"), "x.column_name", "rows", "x.missing", "x.unparseable")
+
+
 def schema_of(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
 

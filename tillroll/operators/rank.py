@@ -17,9 +17,11 @@ def top_ranked(df: DataFrame, by: Sequence[str], order: Sequence[str | Column],
     """Rows ranked within ``n`` places per ``by`` group (``rank()``, so ties are all
     kept; ``ties=False`` uses ``row_number()``).
 
-    The filter on the rank lets Catalyst insert a partial WindowGroupLimit before
-    the shuffle: every map task keeps only the leading rows of each group, so a
-    group holding a third of all rows is cut down before it reaches one task.
+    The filter on the rank lets Catalyst insert a WindowGroupLimit.  Where ``df`` is
+    not yet partitioned by ``by``, a partial one runs before the shuffle: every map
+    task keeps only the leading rows of each group, so a group holding a third of
+    all rows is cut down before it reaches one task.  After a join on ``by`` there
+    is no such shuffle; reduce the rows before the join instead.
     """
     w = Window.partitionBy(*by).orderBy(*_cols(order))
     fn = F.rank() if ties else F.row_number()
@@ -41,19 +43,3 @@ def keep_max(df: DataFrame, col: str) -> DataFrame:
     window over the whole table."""
     top = df.agg(F.max(col)).scalar()
     return df.filter(F.col(col) == top)
-
-
-def dense_rank_by(df: DataFrame, by: Sequence[str], order_col: str, out: str) -> DataFrame:
-    """``dense_rank() over (partition by by order by order_col)`` for every row.
-
-    Dense rank only depends on the distinct values of ``order_col`` in a group, so
-    it is computed on distinct (by, order_col) keys -- at most the number of
-    distinct dates per customer, however many rows a customer has -- and joined
-    back on those keys (null-safe).
-    """
-    keys = df.select(*by, order_col).distinct()
-    ranked = keys.withColumn(out, F.dense_rank().over(Window.partitionBy(*by).orderBy(order_col)))
-    r = ranked.alias("_r")
-    l = df.alias("_l")
-    cond = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in [*by, order_col]]
-    return l.join(r, cond, "left").select("_l.*", F.col(f"_r.{out}"))

@@ -8,11 +8,11 @@ cancellation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from ..functions.text import (FAKE_NULLS, clean_sentinels, parse_measure, parse_timestamp,
+from ..functions.text import (FAKE_NULLS, clean_sentinels, list_is_bad, parse_measure, parse_timestamp,
                               replace_fake_null)
-from ..operators import assert_schema, missing_counts, missing_rows, schema_of, surrogate_key
+from ..operators import assert_schema, missing_counts, missing_rows, parse_counts, schema_of, surrogate_key
 
 ORDER_COLUMNS = ["order_id", "customer_id", "pizza_id", "exclusions", "extras", "order_time"]
 
@@ -36,7 +36,7 @@ def clean_customer_orders(customer_orders: DataFrame, with_key: bool = True) ->
 
     ``order_item_id`` numbers the pizzas 1..n in (order, customer, pizza, lists,
     time) order; identical pizzas of one order are separate items.  Jobs that do
-    not need the key pass ``with_key=False`` and skip its write.
+    not need the key pass ``with_key=False``.
     """
     clean = clean_sentinels(customer_orders, {"exclusions": (FAKE_NULLS, ""), "extras": (FAKE_NULLS, "")}) \
         .select(*ORDER_COLUMNS)
@@ -48,7 +48,7 @@ def clean_customer_orders(customer_orders: DataFrame, with_key: bool = True) ->
 
 def clean_runner_orders(runner_orders: DataFrame) -> DataFrame:
     """J15 -> order_id, runner_id, pickup_time timestamp_ntz, distance_km and
-    duration_mins decimal(10,2) (digits and dots kept, units dropped),
+    duration_mins decimal(24,6) (digits and dots kept, units dropped),
     cancellation (NULL for '', 'null', 'NaN')."""
     return runner_orders.select(
         "order_id", "runner_id",
@@ -64,17 +64,21 @@ def distance_by_replace(runner_orders: DataFrame) -> DataFrame:
 
 
 def duration_by_prefix(runner_orders: DataFrame) -> DataFrame:
-    """J17 -> order_id, duration: first three characters, 'm' removed."""
-    return runner_orders.select("order_id", parse_measure("duration", mode="left", keep=3).alias("duration"))
-
-
-def column_types(spark: SparkSession, tables: dict[str, DataFrame],
-                 expected: dict[str, dict[str, str]] | None = None) -> DataFrame:
-    """J18 -> table_name, column_name, data_type of the cleaned tables, after
-    asserting them against ``expected`` when given."""
-    out = []
-    for name, df in tables.items():
-        if expected and name in expected:
-            assert_schema(df, expected[name], name)
-        out.extend((name, c, t) for c, t in schema_of(df))
-    return spark.createDataFrame(out, "table_name string, column_name string, data_type string")
+    """J17 -> order_id, duration: the leading number, of any length."""
+    return runner_orders.select("order_id", parse_measure("duration", mode="left").alias("duration"))
+
+
+def column_types(df: DataFrame, expected: dict[str, str], table: str = "table") -> list[tuple[str, str]]:
+    """J18 -> (column, type) of a cleaned table, after asserting them against ``expected``."""
+    return schema_of(assert_schema(df, expected, table))
+
+
+def unparseable_counts(customer_orders: DataFrame, runner_orders: DataFrame) -> DataFrame:
+    """J18 on the raw rows -> table_name, column_name, rows, missing, unparseable: for every dirty
+    column how many values are missing, and how many hold text that its parser cannot read (and
+    the cleaning jobs therefore turn into NULL)."""
+    lists = {c: list_is_bad(c) for c in ("exclusions", "extras")}
+    bad = {"pickup_time": parse_timestamp("pickup_time").isNull(), "distance": parse_measure("distance").isNull(),
+           "duration": parse_measure("duration").isNull()}
+    return parse_counts(customer_orders, lists, "customer_orders").unionByName(
+        parse_counts(runner_orders, bad, "runner_orders"))

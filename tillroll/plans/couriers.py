@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import minute_field, period_start, seconds_between, total_minutes
-from ..operators import share
+from ..operators import round_ratio, share
 
 
 def _minutes(avg_seconds, unit: str):
@@ -40,16 +40,18 @@ def avg_wait_per_runner(items: DataFrame, deliveries: DataFrame, unit: str = "fi
                         per: str = "item") -> DataFrame:
     """J30 -> runner_id, avg_arrival_minutes: average time from order to pickup.
 
-    ``per='item'`` weighs each order by its pizzas (the average runs over the
-    item-level join); ``per='order'`` counts each order once.  Cancelled orders
+    ``per='item'`` weighs each order by its pizzas (which are counted before the
+    join); ``per='order'`` counts each order once.  Cancelled orders
     (no pickup) are skipped by the average.
     """
-    orders = items.select("order_id", "order_time")
     if per == "order":
-        orders = orders.groupBy("order_id").agg(F.min("order_time").alias("order_time"))
+        orders = items.groupBy("order_id").agg(F.min("order_time").alias("order_time"), F.lit(1).cast("bigint").alias("_n"))
+    else:
+        orders = items.groupBy("order_id", "order_time").agg(F.count(F.lit(1)).alias("_n"))
     j = deliveries.select("order_id", "runner_id", "pickup_time").join(orders, "order_id")
     secs = seconds_between("pickup_time", "order_time")
-    return j.groupBy("runner_id").agg(_minutes(F.avg(secs), unit).alias("avg_arrival_minutes"))
+    mean = F.sum(secs * F.col("_n")) / F.sum(F.when(secs.isNotNull(), F.col("_n")))
+    return j.groupBy("runner_id").agg(_minutes(mean, unit).alias("avg_arrival_minutes"))
 
 
 def prep_time_by_size(items: DataFrame, deliveries: DataFrame, unit: str = "field") -> DataFrame:
@@ -63,8 +65,8 @@ def prep_time_by_size(items: DataFrame, deliveries: DataFrame, unit: str = "fiel
 
 def avg_distance_per_runner(deliveries: DataFrame) -> DataFrame:
     """J32 -> runner_id, avg_distance_km rounded to 2 places (NULLs skipped)."""
-    return deliveries.groupBy("runner_id").agg(
-        F.round(F.avg("distance_km"), 2).cast("double").alias("avg_distance_km"))
+    per_runner = deliveries.groupBy("runner_id").agg(F.sum("distance_km").alias("_km"), F.count("distance_km").alias("_n"))
+    return per_runner.select("runner_id", round_ratio(F.col("_km"), F.col("_n"), 2).alias("avg_distance_km"))
 
 
 def delivery_time_spread(deliveries: DataFrame) -> DataFrame:
@@ -79,7 +81,7 @@ def speed_per_delivery(items: DataFrame, deliveries: DataFrame) -> DataFrame:
     sizes = items.groupBy("order_id").agg(F.count("pizza_id").alias("pizzas_ordered"))
     d = deliveries.filter(F.col("pickup_time").isNotNull())
     j = d.join(sizes, "order_id")
-    speed = F.round(F.lit(60) * F.col("distance_km") / F.col("duration_mins"), 2).cast("double")
+    speed = round_ratio(F.lit(60) * F.col("distance_km"), F.col("duration_mins"), 2)
     return j.select("order_id", "runner_id", "pizzas_ordered", "distance_km", "duration_mins",
                     speed.alias("avg_speed"))
 

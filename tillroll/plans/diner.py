@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import dense_rank_by, first_match, flag, join_relative_to, top_n, top_ranked
+from ..operators import (dates_relative_to, first_match, flag, join_relative_to, rows_on_edge_date, top_n,
+                         top_ranked)
 
 
 def spend_per_customer(sales: DataFrame, menu: DataFrame) -> DataFrame:
@@ -39,9 +40,11 @@ def first_purchase(sales: DataFrame, menu: DataFrame) -> DataFrame:
 
 
 def most_purchased(sales: DataFrame, menu: DataFrame) -> DataFrame:
-    """J04 -> product, purchases: the single most bought item (name breaks ties)."""
-    counts = sales.join(menu, "product_id").groupBy(F.col("product_name").alias("product")).agg(
-        F.count("product_id").alias("purchases"))
+    """J04 -> product, purchases: the single most bought item (name breaks ties).
+    Counted per product id first, so a row per product meets the menu."""
+    per_id = sales.groupBy("product_id").agg(F.count("product_id").alias("_n"))
+    counts = per_id.join(menu, "product_id").groupBy(F.col("product_name").alias("product")).agg(
+        F.sum("_n").alias("purchases"))
     return top_n(counts, [F.col("purchases").desc(), F.col("product").asc()], 1)
 
 
@@ -56,8 +59,7 @@ def favourite_items(sales: DataFrame, menu: DataFrame) -> DataFrame:
 
 def first_after_joining(sales: DataFrame, members: DataFrame, menu: DataFrame) -> DataFrame:
     """J06 -> customer, first_purchase: first item(s) on or after the join date."""
-    after = join_relative_to(sales, members, "customer_id", "order_date", "join_date", ">=")
-    first = top_ranked(after, ["customer_id"], ["order_date"], n=1)
+    first = rows_on_edge_date(sales, members, "customer_id", "order_date", "join_date", ">=")
     return first.join(menu, "product_id").select(
         F.col("customer_id").alias("customer"), F.col("product_name").alias("first_purchase"))
 
@@ -65,8 +67,7 @@ def first_after_joining(sales: DataFrame, members: DataFrame, menu: DataFrame) -
 def last_before_joining(sales: DataFrame, members: DataFrame, menu: DataFrame) -> DataFrame:
     """J07 -> customer, last_purchase_before_member: item(s) of the last day
     before joining, ties kept."""
-    before = join_relative_to(sales, members, "customer_id", "order_date", "join_date", "<")
-    last = top_ranked(before, ["customer_id"], [F.col("order_date").desc()], n=1)
+    last = rows_on_edge_date(sales, members, "customer_id", "order_date", "join_date", "<", edge=F.max)
     return last.join(menu, "product_id").select(
         F.col("customer_id").alias("customer"),
         F.col("product_name").alias("last_purchase_before_member"))
@@ -98,15 +99,18 @@ def member_points(sales: DataFrame, menu: DataFrame, members: DataFrame,
 
     First matching rule wins (they do not stack): the ``window_days`` days from
     the join date (inclusive) earn ``multiplier`` on everything, then
-    ``double_item`` earns ``multiplier``, anything else the base rate.
+    ``double_item`` earns ``multiplier``, anything else the base rate.  The rules
+    look at the date and the item only, so prices are summed per customer, date and
+    kind of item before the members join: a few rows per customer and date meet them.
     """
-    j = sales.join(menu, "product_id").join(members, "customer_id")
-    j = j.filter(F.col("order_date") <= F.lit(until).cast("date"))
+    upto = sales.filter(F.col("order_date") <= F.lit(until).cast("date")).join(menu, "product_id")
+    daily = upto.groupBy("customer_id", "order_date", F.coalesce(F.col("product_name") == double_item, F.lit(False))
+                         .alias("_double_item")).agg(F.sum("price").alias("_price"))
+    j = daily.join(members, "customer_id")
     in_window = F.col("order_date").between(F.col("join_date"),
                                             F.date_add(F.col("join_date"), window_days - 1))
-    double = F.col("price") * (per_unit * multiplier)
-    pts = first_match([(in_window, double), (F.col("product_name") == double_item, double)],
-                      F.col("price") * per_unit)
+    double = F.col("_price") * (per_unit * multiplier)
+    pts = first_match([(in_window, double), (F.col("_double_item"), double)], F.col("_price") * per_unit)
     return j.groupBy(F.col("customer_id").alias("customer")).agg(
         F.sum(pts).cast("double").alias("points_total"))
 
@@ -122,8 +126,15 @@ def joined_table(sales: DataFrame, menu: DataFrame, members: DataFrame) -> DataF
 
 def ranked_table(sales: DataFrame, menu: DataFrame, members: DataFrame) -> DataFrame:
     """J12 -> J11 plus ranking: dense rank of the order date among the customer's
-    member sales, NULL for non-member sales."""
-    base = joined_table(sales, menu, members)
-    ranked = dense_rank_by(base, ["customer_id", "member"], "order_date", "_dr")
-    return ranked.select("customer_id", "order_date", "product_name", "price", "member",
-                         F.when(F.col("member") == "Y", F.col("_dr").cast("bigint")).alias("ranking"))
+    member sales, NULL for non-member sales.
+
+    A dense rank depends on the distinct dates alone, so those of member sales are
+    ranked (at most one row per customer and day) and joined back on customer and
+    date; a sale is a member sale exactly where its date has a rank.
+    """
+    dates = dates_relative_to(sales, members, "customer_id", "order_date", "join_date", ">=")
+    by_date = Window.partitionBy("customer_id").orderBy("order_date")
+    ranks = dates.select("customer_id", "order_date", F.dense_rank().over(by_date).cast("bigint").alias("ranking"))
+    ranked = sales.join(menu, "product_id").join(ranks, ["customer_id", "order_date"], "left")
+    return ranked.select("customer_id", "order_date", "product_name", "price",
+                         flag(F.col("ranking").isNotNull(), "Y", "N").alias("member"), "ranking")

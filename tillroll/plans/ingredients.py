@@ -7,10 +7,9 @@
 An item's toppings are "(recipe EXCEPT exclusions) UNION ALL extras".  That set
 algebra is evaluated per item row with array functions --
 ``concat(array_except(recipe, exclusions), extras)``; ``array_except`` is distinct
-and null-safe exactly like SQL EXCEPT -- so nothing is shuffled per topping: the
-only exchanges are the recipe lookup by pizza and, where names are needed, one
-hash partitioning of the items by their key before the lists are exploded.
-Every per-item text is built from a group bounded by one item's lists.
+and null-safe exactly like SQL EXCEPT -- so nothing is shuffled per topping.
+An item's text depends on its pizza and its two lists alone, so texts are made once
+per distinct combination (a group bounded by one item's lists) and joined back.
 """
 
 from __future__ import annotations
@@ -20,10 +19,11 @@ from pyspark.sql import functions as F
 
 from ..functions.agg import name_key, ordered_concat
 from ..functions.text import split_list
-from ..operators import explode_list, top_n
-from ..sources.sinks import materialize
+from ..operators import apply_changes, explode_list, top_n
 
 ITEM_COLUMNS = ["order_item_id", "order_id", "customer_id"]
+# What an item's toppings and texts depend on.
+COMBINATION = ["pizza_id", "exclusions", "extras"]
 
 
 def recipe_toppings(recipes: DataFrame) -> DataFrame:
@@ -64,6 +64,18 @@ def _changed_toppings(items: DataFrame, recipes: DataFrame) -> DataFrame:
                  .drop("_recipe"))
 
 
+def _combinations(items: DataFrame) -> DataFrame:
+    """The distinct combinations of pizza and lists; copies meet on the map side."""
+    return items.select(*COMBINATION).distinct()
+
+
+def _with_texts(items: DataFrame, texts: DataFrame, text: str) -> DataFrame:
+    """``items`` with the text of their combination (null-safe; items without one are left out)."""
+    t = texts.select(*[F.col(c).alias(f"_{c}") for c in COMBINATION], text)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in COMBINATION]
+    return items.join(t, same).select(*ITEM_COLUMNS, text)
+
+
 def order_item_text(items: DataFrame, names: DataFrame, toppings: DataFrame,
                     single_blank: bool = False) -> DataFrame:
     """J40 -> order_item_id, order_id, customer_id, order_item:
@@ -77,28 +89,35 @@ def order_item_text(items: DataFrame, names: DataFrame, toppings: DataFrame,
         return F.arrays_zip(ids.alias("id"), F.array_repeat(F.lit(t), F.size(ids)).alias("tag"))
 
     tagged = F.concat(tag(split_list("exclusions"), 0), tag(split_list("extras"), 1))
-    rows = (items.join(names, "pizza_id").repartition("order_item_id")
-                 .select(*ITEM_COLUMNS, "pizza_name", F.explode_outer(tagged).alias("_t"))
-                 .join(toppings, F.col("_t.id") == F.col("topping_id"), "left")
-                 .select(*ITEM_COLUMNS, "pizza_name", name_key("topping_name").alias("_k"),
-                         F.when(F.col("_t.tag") == 0, F.col("topping_name")).alias("_excluded"),
-                         F.when(F.col("_t.tag") == 1, F.col("topping_name")).alias("_added")))
-    per_item = rows.groupBy(*ITEM_COLUMNS, "pizza_name").agg(
+    rows = (_combinations(items).select(*COMBINATION, F.explode_outer(tagged).alias("_t"))
+            .join(toppings, F.col("_t.id") == F.col("topping_id"), "left")
+            .select(*COMBINATION, name_key("topping_name").alias("_k"),
+                    F.when(F.col("_t.tag") == 0, F.col("topping_name")).alias("_excluded"),
+                    F.when(F.col("_t.tag") == 1, F.col("topping_name")).alias("_added")))
+    lists = rows.groupBy(*COMBINATION).agg(
         ordered_concat("_excluded", "_k").alias("_x"), ordered_concat("_added", "_k").alias("_e"))
     excl_prefix = "- Exclude " if single_blank else " - Exclude "
-    return per_item.select(*ITEM_COLUMNS, F.concat_ws(
+    texts = lists.join(names, "pizza_id").select(*COMBINATION, F.concat_ws(
         " ", "pizza_name",
         F.concat(F.lit(excl_prefix), F.col("_x")),
         F.concat(F.lit("- Extra "), F.col("_e"))).alias("order_item"))
+    return _with_texts(items, texts, "order_item")
 
 
-def item_toppings(items: DataFrame, recipes: DataFrame, persist: bool = False) -> DataFrame:
+def item_toppings(items: DataFrame, recipes: DataFrame) -> DataFrame:
     """J41 -> order_item_id, topping_id: the recipe's toppings minus the item's
-    exclusions (distinct), plus its extras (each extra adds one serving).
-    ``persist=True`` writes it once to the checkpoint folder for several readers."""
-    out = _changed_toppings(items, recipes).select(
-        "order_item_id", F.explode("_toppings").alias("topping_id"))
-    return materialize(out) if persist else out
+    exclusions (distinct), plus its extras (each extra adds one serving)."""
+    return _changed_toppings(items, recipes).select("order_item_id", F.explode("_toppings").alias("topping_id"))
+
+
+def item_toppings_by_sets(items: DataFrame, recipes: DataFrame) -> DataFrame:
+    """J41 as relations: (recipe rows of the items EXCEPT excluded) UNION ALL extras.
+
+    The same rows as ``item_toppings``, for tables that hold the toppings as rows to
+    begin with; it shuffles a row per topping, the array form none."""
+    base = items.join(recipe_toppings(recipes), "pizza_id", "left").select("order_item_id", "topping_id")
+    removed, added = (explode_list(items, c, "topping_id", keep=["order_item_id"]) for c in ("exclusions", "extras"))
+    return apply_changes(base, removed, added)
 
 
 def ingredient_lists(items: DataFrame, recipes: DataFrame, names: DataFrame,
@@ -109,37 +128,34 @@ def ingredient_lists(items: DataFrame, recipes: DataFrame, names: DataFrame,
 
     The kept recipe toppings are distinct, so a topping's quantity is computed in
     the row: 1 if kept, plus its occurrences among the extras.  Only the distinct
-    toppings of each item are exploded; items are hash-partitioned by their key
-    before that, so the one aggregation (the list per item) needs no further
-    exchange.  Topping names are taken to be unique per id (a dimension).
+    toppings of each distinct combination are exploded.  Topping names are taken to
+    be unique per id (a dimension).
     """
-    changed = _changed_toppings(items.join(names, "pizza_id"), recipes).repartition("order_item_id")
+    changed = _changed_toppings(_combinations(items), recipes)
     t = F.col("_t")
     qty = (F.when(F.array_contains("_kept", t), 1).otherwise(0)
            + F.size("_extras") - F.size(F.array_remove("_extras", t)))
-    rows = (changed.select(*ITEM_COLUMNS, "pizza_name", "_kept", "_extras",
-                           F.explode_outer(F.array_distinct("_toppings")).alias("_t"))
-                   .select(*ITEM_COLUMNS, "pizza_name", F.col("_t").alias("topping_id"), qty.alias("_q"))
+    rows = (changed.select(*COMBINATION, "_kept", "_extras", F.explode_outer(F.array_distinct("_toppings")).alias("_t"))
+                   .select(*COMBINATION, F.col("_t").alias("topping_id"), qty.alias("_q"))
                    .join(toppings, "topping_id", "left"))
     label = F.when(F.col("_q") > 1, F.concat(F.col("_q").cast("string"), F.lit("x"), F.col("topping_name"))) \
              .otherwise(F.col("topping_name"))
-    rows = rows.select(*ITEM_COLUMNS, "pizza_name", "topping_name", label.alias("_label"),
-                       name_key("topping_name").alias("_k"))
-    lists = rows.groupBy(*ITEM_COLUMNS, "pizza_name").agg(
-        ordered_concat("_label", "_k", "topping_name").alias("_list"))
-    return lists.select(*ITEM_COLUMNS, F.concat(F.col("pizza_name"), F.lit(": "), F.col("_list"))
-                        .alias("ingredient_list"))
+    rows = rows.select(*COMBINATION, "topping_name", label.alias("_label"), name_key("topping_name").alias("_k"))
+    lists = rows.groupBy(*COMBINATION).agg(ordered_concat("_label", "_k", "topping_name").alias("_list"))
+    texts = lists.join(names, "pizza_id").select(
+        *COMBINATION, F.concat(F.col("pizza_name"), F.lit(": "), F.col("_list")).alias("ingredient_list"))
+    return _with_texts(items, texts, "ingredient_list")
 
 
 def ingredient_usage(items: DataFrame, deliveries: DataFrame, recipes: DataFrame,
                      toppings: DataFrame) -> DataFrame:
-    """J43 -> topping_name, quantity_used over delivered pizzas.  Counted per
-    topping id with map-side partial aggregation, names joined at the end; no
-    item key is needed."""
+    """J43 -> topping_name, quantity_used over delivered pizzas.  Delivered items are
+    counted per combination, toppings per id with those counts as weights (both with
+    map-side partial aggregation), and names are joined at the end."""
     delivered = deliveries.filter(F.col("pickup_time").isNotNull()).select("order_id")
-    d_items = items.join(delivered, "order_id", "left_semi")
-    per_id = (_changed_toppings(d_items, recipes)
-              .select(F.explode("_toppings").alias("topping_id"))
-              .groupBy("topping_id").agg(F.count(F.lit(1)).alias("_n")))
+    counted = items.join(delivered, "order_id", "left_semi").groupBy(*COMBINATION).agg(F.count(F.lit(1)).alias("_items"))
+    per_id = (_changed_toppings(counted, recipes)
+              .select("_items", F.explode("_toppings").alias("topping_id"))
+              .groupBy("topping_id").agg(F.sum("_items").alias("_n")))
     return per_id.join(toppings, "topping_id").groupBy("topping_name").agg(
         F.sum("_n").alias("quantity_used"))

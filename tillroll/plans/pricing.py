@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import seconds_between
-from ..operators import check_ratings, explode_list, price_of
+from ..functions.text import split_list
+from ..operators import check_ratings, price_of
 from ..sources.sinks import write_table
 
 
@@ -35,14 +36,14 @@ def revenue_with_extras(items: DataFrame, deliveries: DataFrame, names: DataFram
     """J45 -> total_price: J44 plus ``extra_price`` for every known extra topping
     of a delivered pizza.
 
-    The sum over pizzas of (price + extras) is the price total plus the number of
-    (delivered pizza, known extra) rows, so the extras are counted by one
-    exploded aggregate (a scalar subquery) and no per-pizza key is needed.
+    One pass: every extra is a row, and the pizza's price counts with its first row
+    (a pizza without extras has one), so no per-pizza key is needed.
     """
     priced = _delivered_priced(items, deliveries, names, prices, default)
-    extras = explode_list(priced, "extras", "topping_id").join(toppings.select("topping_id"), "topping_id")
-    extra_total = extras.agg(F.count(F.lit(1)) * F.lit(extra_price)).scalar()
-    return priced.agg((F.sum("_price") + extra_total).cast("double").alias("total_price"))
+    rows = priced.select("_price", F.posexplode_outer(split_list("extras")).alias("_at", "_extra"))
+    known = rows.join(toppings.select(F.col("topping_id").alias("_extra"), F.lit(extra_price).alias("_cost")), "_extra", "left")
+    price = F.when(F.coalesce(F.col("_at"), F.lit(0)) == 0, F.col("_price"))
+    return known.agg((F.sum(price) + F.coalesce(F.sum("_cost"), F.lit(0))).cast("double").alias("total_price"))
 
 
 def ratings_check(ratings: DataFrame, deliveries: DataFrame, lo: int = 1, hi: int = 5) -> DataFrame:
@@ -70,6 +71,12 @@ def save_ratings(ratings: DataFrame, deliveries: DataFrame, path: str, lo: int =
     return r.undelivered
 
 
+def ratings_table(ratings: DataFrame, deliveries: DataFrame, path: str, lo: int = 1, hi: int = 5) -> DataFrame:
+    """J46 (the table) -> order_id, rating as read back after ``save_ratings`` wrote them to ``path``."""
+    save_ratings(ratings, deliveries, path, lo, hi)
+    return ratings.sparkSession.read.parquet(path)
+
+
 def delivery_facts(items: DataFrame, deliveries: DataFrame, ratings: DataFrame) -> DataFrame:
     """J47 -> one row per successful delivery: customer_id, order_id, runner_id,
     rating, order_time, pickup_time, time_to_pickup_secs, duration_mins,
@@ -86,9 +93,11 @@ def delivery_facts(items: DataFrame, deliveries: DataFrame, ratings: DataFrame)
 
 def profit(items: DataFrame, deliveries: DataFrame, names: DataFrame, prices: dict,
            default=10, fee_per_km: str | Decimal = "0.30") -> DataFrame:
-    """J48 -> total_profit: delivered pizza sales minus ``fee_per_km`` per km."""
-    sales = _delivered_priced(items, deliveries, names, prices, default) \
-        .groupBy("order_id").agg(F.sum("_price").alias("_sales"))
+    """J48 -> total_profit: delivered pizza sales minus ``fee_per_km`` per km.
+
+    Prices are summed per order before the deliveries, which are read once, join."""
+    priced = items.join(names, "pizza_id").withColumn("_price", price_of(F.col("pizza_name"), prices, default))
+    sales = priced.groupBy("order_id").agg(F.sum("_price").alias("_sales"))
     fee = F.lit(Decimal(str(fee_per_km)))
-    j = deliveries.join(sales, "order_id")
+    j = deliveries.filter(F.col("pickup_time").isNotNull()).join(sales, "order_id")
     return j.agg(F.sum(F.col("_sales") - F.col("distance_km") * fee).cast("double").alias("total_profit"))

@@ -49,10 +49,12 @@ def events_after(subs: DataFrame, plans: DataFrame, after: str) -> DataFrame:
 
 
 def churn_share(subs: DataFrame, plans: DataFrame, churn_name: str = "churn") -> DataFrame:
-    """J53 -> churn_count, churn_pct (1 place) of all customers."""
+    """J53 -> churn_count, churn_pct (1 place) of all customers.  Counted per plan
+    id first, so a row per plan meets the plan names."""
+    per_plan = subs.groupBy("plan_id").agg(F.count("customer_id").alias("_n"))
     churn_ids = plans.filter(F.col("plan_name") == churn_name).select("plan_id")
-    churned = subs.join(churn_ids, "plan_id", "left_semi")
-    c = churned.agg(F.count("customer_id").alias("churn_count"))
+    churned = per_plan.join(churn_ids, "plan_id", "left_semi")
+    c = churned.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("churn_count"))
     return c.select("churn_count", share(F.col("churn_count"), _all_customers(subs), 1).alias("churn_pct"))
 
 
@@ -99,13 +101,14 @@ def _days_to_annual(subs: DataFrame, trial_plan: int, annual_plan: int, trial_da
     firsts = first_dates(subs, "customer_id", "plan_id", "start_date",
                          {"_trial": trial_plan, "_annual": annual_plan})
     days = (days_between("_annual", "_trial") - trial_days).alias("days_to_upgrade")
-    return firsts.select("customer_id", days).filter(F.col("days_to_upgrade") >= 0)
+    return firsts.select("customer_id", days).filter(F.col("days_to_upgrade").isNotNull())
 
 
 def avg_days_to_annual(subs: DataFrame, trial_plan: int = 0, annual_plan: int = 3,
                        trial_days: int = 7) -> DataFrame:
     """J58 -> avg_days_to_upgrade: mean days from the end of the trial to the
-    annual plan, rounded."""
+    annual plan, rounded, over all customers who had both (an annual plan that
+    starts before the trial's end counts with its negative number of days)."""
     d = _days_to_annual(subs, trial_plan, annual_plan, trial_days)
     return d.agg(F.round(F.avg("days_to_upgrade")).cast("double").alias("avg_days_to_upgrade"))
 
@@ -113,7 +116,7 @@ def avg_days_to_annual(subs: DataFrame, trial_plan: int = 0, annual_plan: int =
 def days_to_annual_periods(subs: DataFrame, width: int = 30, trial_plan: int = 0, annual_plan: int = 3,
                            trial_days: int = 7) -> DataFrame:
     """J59 -> period_group ('0-30 days', '31-60 days', ...), customers_count,
-    avg_days_to_upgrade."""
+    avg_days_to_upgrade; negative numbers of days have periods of their own."""
     d = _days_to_annual(subs, trial_plan, annual_plan, trial_days)
     d = d.withColumn("_idx", period_index("days_to_upgrade", width))
     g = d.groupBy("_idx", period_label("_idx", width).alias("period_group")).agg(

@@ -1,8 +1,7 @@
-"""Spark session defaults and the shared checkpoint folder."""
+"""Spark session defaults and the shared folder."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -36,28 +35,20 @@ def build_session(master: str | None = None, app: str = "tillroll",
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares between driver and executors.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS, object
-    store) and is used as given; a cluster session without it is refused.  Only
-    local sessions (tests, single-machine runs) with no setting get a private
-    folder under the system temp directory.
+    It is the one that ``spark.checkpoint.dir`` names (HDFS, an object store).  Only
+    local sessions (tests, single-machine runs) may leave it unset; a cluster session
+    without it is refused, since a machine-local folder loses data there.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or \
-        spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors "
                                "(HDFS or an object store); a machine-local folder is not safe on a cluster")
-        configured = tempfile.mkdtemp(prefix="tillroll-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(configured)
-    return sc.getCheckpointDir() or configured
+        folder = tempfile.mkdtemp(prefix="tillroll-")
+    return folder

@@ -1,7 +1,7 @@
 """Table readers, stand-in business tables and sinks."""
 
 from . import standins
-from .sinks import materialize, write_table
+from .sinks import write_table
 from .tables import DRIVER_TABLES, read_table
 
-__all__ = ["DRIVER_TABLES", "materialize", "read_table", "standins", "write_table"]
+__all__ = ["DRIVER_TABLES", "read_table", "standins", "write_table"]

@@ -1,23 +1,9 @@
-"""Writing tables and cutting lineage in the shared checkpoint folder."""
+"""Writing tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..session import ensure_checkpoint_dir
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the cluster's checkpoint folder and read it back.
-
-    Used where a derived table is read by several jobs or must not change when a
-    task is re-run (surrogate keys, the ingredient multiset).  The files live in
-    the shared folder named by ``spark.checkpoint.dir``, so a lost executor does
-    not lose them.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:

@@ -40,7 +40,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .tables import read_table
 
@@ -56,17 +55,11 @@ PLANS = [
 # Event types of the events table, in the plan order they stand for.
 EVENT_STATES = ["signup", "view", "click", "purchase", "error"]
 
-PLAN_SCHEMA = T.StructType([
-    T.StructField("plan_id", T.IntegerType()),
-    T.StructField("plan_name", T.StringType()),
-    T.StructField("price", T.DecimalType(5, 2)),
-])
-
-
 def plans(spark: SparkSession) -> DataFrame:
-    from decimal import Decimal
-    rows = [(i, n, Decimal(p) if p is not None else None) for i, n, p in PLANS]
-    return spark.createDataFrame(rows, PLAN_SCHEMA)
+    """The five plans as an inline table, whose size the planner knows."""
+    rows = ", ".join(f"({i}, '{name}', CAST({'NULL' if price is None else price} AS DECIMAL(5, 2)))"
+                     for i, name, price in PLANS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(plan_id, plan_name, price)")
 
 
 # --- sales, menu, members ---------------------------------------------------
@@ -124,6 +117,16 @@ def customer_orders(spark: SparkSession, d: str) -> DataFrame:
                     F.col("o_orderdate").alias("order_time"))
 
 
+def order_items(spark: SparkSession, d: str) -> DataFrame:
+    """``customer_orders`` without its list columns: order_id, customer_id, pizza_id, order_time.
+    The lists alone need the supplier, so jobs that do not read them are spared that join."""
+    li = read_table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    o = read_table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    return j.select(F.col("l_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"),
+                    F.col("l_partkey").alias("pizza_id"), F.col("o_orderdate").alias("order_time"))
+
+
 def _by_priority(values: dict[str, F.Column], other: F.Column) -> F.Column:
     out = None
     for prio, v in values.items():
@@ -145,7 +148,7 @@ def runner_orders(spark: SparkSession, d: str) -> DataFrame:
     delivered = F.col("_pickup").isNotNull()
     missing = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH", "3-MEDIUM"),
                      F.lit("null")).otherwise(F.lit(None).cast("string"))
-    km = F.concat((F.col("_qty") / 10).cast("bigint").cast("string"), F.lit("."),
+    km = F.concat(F.call_function("div", F.col("_qty"), F.lit(10)).cast("string"), F.lit("."),
                   (F.col("_qty") % 10).cast("string"))
     days = F.datediff(F.col("_pickup"), F.col("o_orderdate")).cast("string")
     distance = _by_priority({"1-URGENT": F.concat(km, F.lit("km")),
