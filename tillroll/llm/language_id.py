@@ -29,17 +29,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillroll.llm.support import cut
+from tillroll.llm.support import OWN, cut
 
 SAMPLE_DOCS, EXCERPT = 300, 1500
 DICTIONARY, CONTEXTS, CONTEXT = 64 * 1024, 8, 1024
 BLOCK, SHORT = 32 * 1024, 256
+#: Languages up to which their counts are broadcast; beyond, a shuffle joins them.
+BROADCAST_LANGS = 10_000
 #: Smaller savings than this against the runner-up are rejected.
 MARGIN = 0.002
 #: Greedy matching from four bytes on: as good as the slower levels on prose, and twice as fast.
 SEARCH = dict(window_log=17, chain_log=15, hash_log=15, search_log=4, min_match=4, strategy=zstandard.STRATEGY_GREEDY)
 LETTER = re.compile(r"[^\W\d_]")
-ANSWER = "lang_pred string, score double, rejected boolean"
+ANSWER, ANSWER_COL = "lang_pred string, score double, rejected boolean", f"{OWN}answer"
 
 
 class Encoder:
@@ -80,6 +82,8 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
     known = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).where(
         F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}"))
     counts = cut(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    if counts.count() <= BROADCAST_LANGS:
+        counts = F.broadcast(counts)
     # thin first: only about four times the wanted texts of a language are ranked
     mark = F.crc32(F.concat_ws("/", "lang", "t")).cast("double") / F.lit(float(1 << 32))
     thin = (known.withColumn("mark", mark).join(counts, "lang")
@@ -116,11 +120,26 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def predict(docs: DataFrame, margin: float = MARGIN, id_col: str = "doc_id", lang_col: str = "lang",
             text_col: str = "text") -> DataFrame:
-    """``docs`` with held_out, lang_pred, score and rejected, learned from the other four fifths.
+    """``docs`` with held_out, lang_pred, score and rejected (in place of columns with these names),
+    learned from the other four fifths.
 
     A null id is in no fold: it teaches nothing and counts as held out.
     """
-    out = F.coalesce(held_out(id_col), F.lit(True))
-    samples = fit(docs.where(~out), lang_col, text_col)
-    judged = docs.withColumns({"held_out": out, "_answer": identify(docs, samples, margin, text_col)})
-    return judged.select(*docs.columns, "held_out", "_answer.*")
+    new = ("held_out", "lang_pred", "score", "rejected")
+    judged = _judged(docs, margin, id_col, lang_col, text_col)
+    return judged.select(*[c for c in docs.columns if c not in new], _in_no_fold(id_col).alias("held_out"), f"{ANSWER_COL}.*")
+
+
+def drop_unclear(docs: DataFrame, margin: float = MARGIN, id_col: str = "doc_id", lang_col: str = "lang",
+                 text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is clear, with the columns of ``docs`` alone."""
+    return _judged(docs, margin, id_col, lang_col, text_col).where(~F.col(f"{ANSWER_COL}.rejected")).select(*docs.columns)
+
+
+def _judged(docs: DataFrame, margin: float, id_col: str, lang_col: str, text_col: str) -> DataFrame:
+    samples = fit(docs.where(~_in_no_fold(id_col)), lang_col, text_col)
+    return docs.withColumn(ANSWER_COL, identify(docs, samples, margin, text_col))
+
+
+def _in_no_fold(id_col: str) -> Column:
+    return F.coalesce(held_out(id_col), F.lit(True))

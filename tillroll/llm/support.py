@@ -37,6 +37,10 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+#: In front of the columns that operators add to whole tables for a while; no table has such names.
+OWN = "__llm_"
+
+
 def with_row(df: DataFrame, name: str = "_row") -> DataFrame:
     """``df`` with a number that tells equal rows apart.
 
