@@ -18,7 +18,7 @@ from tillroll.llm.support import table
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear stay."""
-    return language_id.predict(docs).where("NOT rejected").select(*docs.columns)
+    return language_id.drop_unclear(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or dropped to meet the target weights of their sources."""
-    return mixing.mix(docs, MIX_WEIGHTS, seed=MIX_SEED).select(*docs.columns)
+    return mixing.mixed_documents(docs, MIX_WEIGHTS, seed=MIX_SEED)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

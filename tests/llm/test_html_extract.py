@@ -1,0 +1,47 @@
+import pytest
+
+from tillroll.llm.html_extract import extract, read, site_templates
+
+CASES = [
+    (None, []), ("", []), ("plain a &lt; b", ["plain a < b"]),
+    ("<html><head><title>t</title><script>var x='<p>';</script></head><body><nav><a>n</a></nav><article><h1>H&amp;M</h1>"
+     "<p>one\n two</p><p>three<br>four</p></article><footer>f</footer></body></html>", ["H&M", "one two", "three", "four"]),
+    ("<article><p>a<p><b>b<br><p>c</article>x", ["a", "b", "c"]),
+    ("<article><p>a</p><div class='side-ad ads'>no</div><aside>no</aside><section id=comments><p>no</p></section><p>z", ["a", "z"]),
+    ("<p>x<div>y</div><ul><li>1<li>2</ul><table><tr><td>3<td>4</table>", ["x", "y", "1", "2", "3", "4"]),
+    ("<main><p>in</p><form>no</form></main><p>out</p>", ["in"]),
+    ("<article><p title='a>b' class=\"lead\">q</p><!-- <p>no</p> --><p>unclosed <i>r", ["q", "unclosed r"]),
+    ("<article><p>broken <a href=\"x>y</a> z</p></article>", None),
+    ("<ARTICLE><P>Caps&nbsp;&#233;</P></ARTICLE>", ["Caps é"]),
+]
+
+
+@pytest.mark.parametrize("page,want", CASES)
+def test_blocks(page, want):
+    got = read(page)[0]
+    assert want is None or got == want
+
+
+def test_deep_and_long_pages_are_read():
+    assert read("<div>" * 5000 + "x" + "</div>" * 5000)[0] == ["x"]
+    assert len(read("<p>" + "word " * 200_000)[0][0]) == 999_999
+    assert read("<a \"" * 300 + "<p>end")[0]
+
+
+def test_recurring_subtrees_of_a_host_go(spark):
+    def page(i, body):
+        return (i, f"http://{'a' if i < 20 else 'b'}.org/{i}", body, "clash")
+    own = [page(i, f"<body><div class=x><p>Buy our stuff</p></div><div><p>text {i}</p><p>same line</p></div></body>") for i in range(20)]
+    few = [page(20 + i, f"<body><div class=x><p>Buy our stuff</p></div><p>other {i}</p></body>") for i in range(4)]
+    article = [(40 + i, "http://c.org/", f"<article><p>shared</p><p>{i}</p></article>", "") for i in range(9)]
+    copies = [(60 + i, "http://d.org/", "<body><p>copy</p></body>", "") for i in range(9)]
+    odd = [(90, None, None, None), (90, None, None, None)]
+    pages = spark.createDataFrame(own + few + article + copies + odd, "page_id long, url string, html string, n_chars string")
+    got = {r.page_id: r.text for r in extract(pages).collect()}
+    assert got[3] == "text 3"                        # both recurring blocks outside an article are the site's
+    assert got[21] == "Buy our stuff\nother 1"       # too few pages to tell
+    assert got[42] == "shared\n2"                    # a paragraph inside the article is content
+    assert got[61] == "copy"                         # copies of one page are one page
+    assert got[90] == "" and extract(pages).where("page_id = 90 AND n_chars = 0").count() == 2
+    assert {r.host for r in site_templates(pages).collect()} == {"a.org"}
+    assert extract(pages.limit(0)).count() == 0

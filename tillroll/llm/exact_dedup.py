@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.support import cut, text_of, with_row
+from tillroll.llm.support import OWN, cut, text_of, with_row
 
 #: Deleted before texts are compared.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -92,9 +92,10 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     the numbers of the rows that go.
     """
     rows, heavy = decided(cut(facts_of(docs, id_col, text_col)))
-    gone = rows.where(~F.col("kept")).join(F.broadcast(heavy.select("digest")), "digest", "left_anti").select("_row")
-    stay = F.broadcast(heavy.select(F.col("digest").alias("_digest"), F.col("best.not_row").alias("_not_row")))
-    full = with_row(docs).withColumn("_digest", digest(text_of(text_col)))
-    light = full.join(stay, "_digest", "left").where(
-        F.col("_not_row").isNull() | (F.col("_not_row") == F.bitwise_not("_row")))
-    return light.join(gone, "_row", "left_anti").select(*docs.columns)
+    row, key, best = f"{OWN}row", f"{OWN}digest", f"{OWN}not_row"
+    gone = rows.where(~F.col("kept")).join(F.broadcast(heavy.select("digest")), "digest", "left_anti").select(
+        F.col("_row").alias(row))
+    stay = F.broadcast(heavy.select(F.col("digest").alias(key), F.col("best.not_row").alias(best)))
+    full = with_row(docs, row).withColumn(key, digest(text_of(text_col)))
+    light = full.join(stay, key, "left").where(F.col(best).isNull() | (F.col(best) == F.bitwise_not(row)))
+    return light.join(gone, row, "left_anti").select(*docs.columns)

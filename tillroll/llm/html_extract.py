@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.support import cut
+from tillroll.llm.support import OWN, cut
 from tillroll.llm.url_filter import host_of
 
 MIN_PAGES, SHARE = 5, 0.3
@@ -213,18 +213,19 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float =
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, url_col: str = "url",
             html_col: str = "html") -> DataFrame:
-    """``pages`` with ``text`` (in place of a column of that name) and ``n_chars``."""
+    """``pages`` with ``text`` and ``n_chars`` (in place of columns with these names)."""
     lists = cut(site_templates(pages, min_pages, share, url_col, html_col))
     if (lists.agg(F.sum(F.size("templates"))).first()[0] or 0) <= BROADCAST_TEMPLATES:
         lists = F.broadcast(lists)
-    lists = lists.select(F.col("host").alias("_host"), F.col("templates").alias("_templates"))
+    own, host, templates, block_text = (f"{OWN}{x}" for x in ("own_host", "host", "templates", "text"))
+    lists = lists.select(F.col("host").alias(host), F.col("templates").alias(templates))
 
     @F.pandas_udf("string")
-    def main_text(texts: pd.Series, templates: pd.Series) -> pd.Series:
-        return pd.Series(["\n".join(read(x, () if t is None else set(t.tolist()))[0]) for x, t in zip(texts, templates)],
+    def main_text(texts: pd.Series, found: pd.Series) -> pd.Series:
+        return pd.Series(["\n".join(read(x, () if t is None else set(t.tolist()))[0]) for x, t in zip(texts, found)],
                          dtype=object)
 
-    joined = pages.withColumn("_h", host_of(F.col(url_col))).join(lists, F.col("_h") == F.col("_host"), "left")
-    text = joined.withColumn("text", main_text(html_col, "_templates"))
+    joined = pages.withColumn(own, host_of(F.col(url_col))).join(lists, F.col(own) == F.col(host), "left")
+    text = joined.withColumn(block_text, main_text(html_col, templates))
     names = [c for c in pages.columns if c not in ("text", "n_chars")]
-    return text.select(*names, "text", F.char_length("text").cast("long").alias("n_chars"))
+    return text.select(*names, F.col(block_text).alias("text"), F.char_length(block_text).cast("long").alias("n_chars"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.components import components, named
-from tillroll.llm.support import cut, with_row
+from tillroll.llm.support import OWN, cut, with_row
 
 WORDS, BANDS, ROWS = 5, 32, 6
 #: The least Jaccard similarity of a link: ``OF * intersection >= LEAST * union``, in whole numbers.
@@ -204,5 +204,6 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id"
                      **settings: int) -> DataFrame:
     """The rows of ``docs`` (a scan of files) of which one per group stays, with all their columns."""
     found = near_groups(docs, words, id_col=id_col, text_col=text_col, **settings)
-    gone = found.where("_row <> keep_row").select("_row")
-    return with_row(docs).join(gone, "_row", "left_anti").select(*docs.columns)
+    row = f"{OWN}row"
+    gone = found.where("_row <> keep_row").select(F.col("_row").alias(row))
+    return with_row(docs, row).join(gone, row, "left_anti").select(*docs.columns)

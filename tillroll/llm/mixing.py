@@ -27,17 +27,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.support import cut, text_of, with_row
+from tillroll.llm.support import OWN, cut, text_of, with_row
 
 BROADCAST_SOURCES = 10_000
 #: Quantile arrays end where less than this probability is left on either side.
 TAIL = 1e-15
 
 
-def uniform(seed: int, *parts: Column | str) -> Column:
+def uniform(seed: int, *parts: str) -> Column:
     """52 hashed bits as a number inside (0, 1)."""
-    text = F.concat_ws("/", F.lit(str(seed)), *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])
-    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))
+    return (hashed(seed, *parts) + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
 def quantiles(rate: float) -> tuple[int, list[float]]:
@@ -78,25 +77,40 @@ def rates(docs: DataFrame, weights: Mapping[str, float], budget: float | None =
         _with_quantiles, "source string, rate double, low long, below array<double>"))
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float], budget: float | None = None, seed: int = 7,
-        id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The copies of ``docs``, globally shuffled, with ``copies``, ``copy`` and ``shuffle_key``."""
+def _copies(docs: DataFrame, weights: Mapping[str, float], budget: float | None, seed: int, id_col: str,
+            source_col: str, text_col: str) -> DataFrame:
+    """The copies of ``docs``, globally shuffled, with columns for count, copy and key of their own."""
+    row, source, low, below, count, copy, key = (f"{OWN}{x}" for x in (
+        "row", "source", "low", "below", "count", "copy", "key"))
     by_source = rates(docs, weights, budget, source_col, text_col).select(
-        F.col("source").alias("_source"), F.col("low").alias("_low"), F.col("below").alias("_below"))
+        F.col("source").alias(source), F.col("low").alias(low), F.col("below").alias(below))
     if by_source.count() <= BROADCAST_SOURCES:
         by_source = F.broadcast(by_source)
-    joined = with_row(docs).join(by_source, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
+    joined = with_row(docs, row).join(by_source, F.col(source_col).cast("string").eqNullSafe(F.col(source)))
     # the number is made once a row: inside the inner lambda it would be hashed for every entry
-    passed = F.transform(F.array(uniform(seed, id_col)), lambda u: F.size(F.filter("_below", lambda c: c <= u)))
-    counted = joined.withColumn("copies", F.col("_low") + F.element_at(passed, 1).cast("long"))
-    copies = counted.where("copies > 0").select(
-        *docs.columns, "_row", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
-    keyed = copies.withColumn("shuffle_key", shuffle_key(seed, id_col))
-    return (keyed.repartition(F.xxhash64("shuffle_key", "_row")).sortWithinPartitions("shuffle_key")
-            .select(*docs.columns, "copies", "copy", "shuffle_key"))
-
-
-def shuffle_key(seed: int, id_col: str) -> Column:
-    """52 hashed bits of seed, id and copy."""
-    text = F.concat_ws("/", F.lit(str(seed)), F.col(id_col).cast("string"), F.col("copy").cast("string"))
+    passed = F.transform(F.array(uniform(seed, id_col)), lambda u: F.size(F.filter(below, lambda c: c <= u)))
+    counted = joined.withColumn(count, F.col(low) + F.element_at(passed, 1).cast("long")).where(F.col(count) > 0)
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    keyed = counted.select(*docs.columns, row, count, each.alias(copy)).withColumn(key, hashed(seed, id_col, copy))
+    return keyed.repartition(F.xxhash64(key, row)).sortWithinPartitions(key)
+
+
+def mix(docs: DataFrame, weights: Mapping[str, float], budget: float | None = None, seed: int = 7,
+        id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The copies of ``docs``, globally shuffled, with ``copies``, ``copy`` and ``shuffle_key`` (in
+    place of columns with these names)."""
+    new = {"copies": "count", "copy": "copy", "shuffle_key": "key"}
+    copies = _copies(docs, weights, budget, seed, id_col, source_col, text_col)
+    return copies.select(*[c for c in docs.columns if c not in new], *[F.col(f"{OWN}{x}").alias(name) for name, x in new.items()])
+
+
+def mixed_documents(docs: DataFrame, weights: Mapping[str, float], budget: float | None = None, seed: int = 7,
+                    id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The copies of ``docs``, globally shuffled, with the columns of ``docs`` alone."""
+    return _copies(docs, weights, budget, seed, id_col, source_col, text_col).select(*docs.columns)
+
+
+def hashed(seed: int, *parts: str) -> Column:
+    """52 hashed bits of the seed and the parts."""
+    text = F.concat_ws("/", F.lit(str(seed)), *[F.col(p).cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")

@@ -31,6 +31,8 @@ from tokenizers import Tokenizer
 
 CAPACITY, END, PART = 2048, 1, 512
 GROUP, GROUP_BYTES = 1024, 16 << 20
+#: Code points of text that are turned into ids at a time, about.
+TEXTS = 2_000_000
 #: Units whose ids a task remembers; their number is bounded, the answers are the same without.
 REMEMBERED = 400_000
 #: Fixed value: the tokenizer's units between white space, for texts that ``PLAIN`` matches, in lower case.
@@ -103,8 +105,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         units = Units(tokenizer)
         for batch in batches:
-            for at in range(0, len(batch), 500):  # a few texts at a time: ids are larger than text
-                part, rows = batch.iloc[at:at + 500], []
+            # a few texts at a time: ids are larger than text
+            sizes = batch["t"].str.len().fillna(0).cumsum()
+            for _, part in batch.groupby((sizes // TEXTS).astype("int64")):
+                rows = []
                 for row, known, doc, data in zip(part["_row"], part["_known"], part["doc_id"], units.ids(part["t"])):
                     data += closing
                     whole = len(data) // most * most  # full windows, then smaller pieces

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tillroll.llm.support import OWN
+
 #: Fixed values of the published algorithm: the generator's multiplier, and the steps of its 31-bit fraction.
 MULTIPLIER, STEPS = np.uint64(2862933555777941757), float(1 << 31)
 
@@ -48,24 +50,28 @@ def jump_shard(key: Column, shards: int) -> Column:
 
 
 def slots(df: DataFrame, key: str, shard: str, n_ranges: int) -> DataFrame:
-    """``df`` (slim rows) with ``slot``: a number from 0 without gaps inside each shard."""
-    names = df.columns
-    counted = (df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
-               .withColumn("_range", F.pmod(F.xxhash64(key), F.lit(n_ranges))))
-    inside = W.partitionBy(shard, "_range").orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
-    numbered = counted.withColumn("_before", F.coalesce(F.sum("_n").over(inside), F.lit(0).cast("long")))
-    earlier = W.partitionBy("_s").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
-    starts = (counted.groupBy(F.col(shard).alias("_s"), F.col("_range").alias("_r")).agg(F.sum("_n").alias("_m"))
-              .select("_s", "_r", F.coalesce(F.sum("_m").over(earlier), F.lit(0).cast("long")).alias("_start")))
-    joined = numbered.join(starts, (F.col(shard) == F.col("_s")) & (F.col("_range") == F.col("_r")))
-    return joined.select(*names, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_i"),
-                         (F.col("_start") + F.col("_before")).alias("_first")).select(
-        *names, (F.col("_first") + F.col("_i")).alias("slot"))
+    """``df`` (slim rows) with ``slot`` (in place of a column with this name): a number from 0 without
+    gaps inside each shard."""
+    names = [c for c in df.columns if c != "slot"]
+    n, part, before, s, r, m, start, i, first = (f"{OWN}{x}" for x in (
+        "n", "range", "before", "s", "r", "m", "start", "i", "first"))
+    zero = F.lit(0).cast("long")
+    counted = (df.groupBy(*names).agg(F.count(F.lit(1)).alias(n))
+               .withColumn(part, F.pmod(F.xxhash64(key), F.lit(n_ranges))))
+    inside = W.partitionBy(shard, part).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
+    numbered = counted.withColumn(before, F.coalesce(F.sum(n).over(inside), zero))
+    earlier = W.partitionBy(s).orderBy(r).rowsBetween(W.unboundedPreceding, -1)
+    starts = (counted.groupBy(F.col(shard).alias(s), F.col(part).alias(r)).agg(F.sum(n).alias(m))
+              .select(s, r, F.coalesce(F.sum(m).over(earlier), zero).alias(start)))
+    joined = numbered.join(starts, (F.col(shard) == F.col(s)) & (F.col(part) == F.col(r)))
+    return joined.select(*names, F.explode(F.sequence(zero, F.col(n) - 1)).alias(i),
+                         (F.col(start) + F.col(before)).alias(first)).select(
+        *names, (F.col(first) + F.col(i)).alias("slot"))
 
 
 def shard_rows(docs: DataFrame, key: str = "doc_id", shards: int = 8, rows_per_range: int = 20_000) -> DataFrame:
-    """``docs`` with shard, grown_shard (with one shard more) and slot."""
+    """``docs`` with shard, grown_shard (with one shard more) and slot, in place of columns with these names."""
     n_ranges = max(1, docs.count() // (rows_per_range * shards))
-    placed = docs.withColumns({"shard": jump_shard(F.col(key), shards),
-                               "grown_shard": jump_shard(F.col(key), shards + 1)})
+    placed = docs.drop("shard", "grown_shard", "slot").withColumns(
+        {"shard": jump_shard(F.col(key), shards), "grown_shard": jump_shard(F.col(key), shards + 1)})
     return slots(placed, key, "shard", n_ranges)
