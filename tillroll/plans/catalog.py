@@ -154,11 +154,11 @@ QUERIES: dict[str, Query] = {
     "J38_most_common_extra": _job(ingredients.most_common, "items", "toppings", column="extras", label="extra"),
     "J39_most_common_exclusion": _job(ingredients.most_common, "items", "toppings",
                                       column="exclusions", label="exclusion"),
-    "J40_order_item_text": _job(ingredients.order_item_text, "keyed_items", "names", "toppings",
+    "J40_order_item_text": _job(ingredients.order_item_text, "keyed_items", "names", "toppings", "items",
                                 order=("order_item_id",)),
     "J41_item_toppings": _job(ingredients.item_toppings, "keyed_items", "recipes"),
     "J41_item_toppings_by_sets": _job(ingredients.item_toppings_by_sets, "keyed_items", "recipes"),
-    "J42_ingredient_lists": _job(ingredients.ingredient_lists, "keyed_items", "recipes", "names", "toppings",
+    "J42_ingredient_lists": _job(ingredients.ingredient_lists, "keyed_items", "recipes", "names", "toppings", "items",
                                  order=("order_item_id",)),
     "J43_ingredient_usage": _job(ingredients.ingredient_usage, "items", "deliveries", "recipes", "toppings",
                                  order=("-quantity_used", "topping_name")),

@@ -77,19 +77,20 @@ def _with_texts(items: DataFrame, texts: DataFrame, text: str) -> DataFrame:
 
 
 def order_item_text(items: DataFrame, names: DataFrame, toppings: DataFrame,
-                    single_blank: bool = False) -> DataFrame:
+                    unkeyed: DataFrame | None = None, single_blank: bool = False) -> DataFrame:
     """J40 -> order_item_id, order_id, customer_id, order_item:
     'Name - Exclude a, b - Extra c, d', parts left out when empty, names in
     alphabetical order.
 
     By default the text matches the published one, which has two blanks before
-    '- Exclude'; ``single_blank=True`` gives one.
+    '- Exclude'; ``single_blank=True`` gives one.  ``unkeyed``: the items before they got
+    their key, if at hand; the combinations are then read without making the key again.
     """
     def tag(ids, t: int):
         return F.arrays_zip(ids.alias("id"), F.array_repeat(F.lit(t), F.size(ids)).alias("tag"))
 
     tagged = F.concat(tag(split_list("exclusions"), 0), tag(split_list("extras"), 1))
-    rows = (_combinations(items).select(*COMBINATION, F.explode_outer(tagged).alias("_t"))
+    rows = (_combinations(items if unkeyed is None else unkeyed).select(*COMBINATION, F.explode_outer(tagged).alias("_t"))
             .join(toppings, F.col("_t.id") == F.col("topping_id"), "left")
             .select(*COMBINATION, name_key("topping_name").alias("_k"),
                     F.when(F.col("_t.tag") == 0, F.col("topping_name")).alias("_excluded"),
@@ -121,7 +122,7 @@ def item_toppings_by_sets(items: DataFrame, recipes: DataFrame) -> DataFrame:
 
 
 def ingredient_lists(items: DataFrame, recipes: DataFrame, names: DataFrame,
-                     toppings: DataFrame) -> DataFrame:
+                     toppings: DataFrame, unkeyed: DataFrame | None = None) -> DataFrame:
     """J42 -> order_item_id, order_id, customer_id, ingredient_list:
     'Name: 2xBacon, Beef, ...' -- alphabetical, 'Nx' before toppings used N > 1
     times.
@@ -129,9 +130,9 @@ def ingredient_lists(items: DataFrame, recipes: DataFrame, names: DataFrame,
     The kept recipe toppings are distinct, so a topping's quantity is computed in
     the row: 1 if kept, plus its occurrences among the extras.  Only the distinct
     toppings of each distinct combination are exploded.  Topping names are taken to
-    be unique per id (a dimension).
+    be unique per id (a dimension).  ``unkeyed``: as in ``order_item_text``.
     """
-    changed = _changed_toppings(_combinations(items), recipes)
+    changed = _changed_toppings(_combinations(items if unkeyed is None else unkeyed), recipes)
     t = F.col("_t")
     qty = (F.when(F.array_contains("_kept", t), 1).otherwise(0)
            + F.size("_extras") - F.size(F.array_remove("_extras", t)))
