@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.support import OWN, cut
+from tillroll.llm.support import OWN, cut, small_batches
 from tillroll.llm.url_filter import host_of
 
 MIN_PAGES, SHARE = 5, 0.3
@@ -214,6 +214,7 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float =
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE, url_col: str = "url",
             html_col: str = "html") -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` (in place of columns with these names)."""
+    small_batches(pages.sparkSession)
     lists = cut(site_templates(pages, min_pages, share, url_col, html_col))
     if (lists.agg(F.sum(F.size("templates"))).first()[0] or 0) <= BROADCAST_TEMPLATES:
         lists = F.broadcast(lists)

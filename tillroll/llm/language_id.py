@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillroll.llm.support import OWN, cut
+from tillroll.llm.support import OWN, cut, small_batches
 
 SAMPLE_DOCS, EXCERPT = 300, 1500
 DICTIONARY, CONTEXTS, CONTEXT = 64 * 1024, 8, 1024
@@ -101,6 +101,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
 def identify(docs: DataFrame, samples: list[tuple[str, bytes]], margin: float = MARGIN,
              text_col: str = "text") -> Column:
     """Struct column: lang_pred, score, rejected."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(samples)
 
     @F.pandas_udf(ANSWER)

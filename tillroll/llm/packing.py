@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from tillroll.llm.support import small_batches
+
 CAPACITY, END, PART = 2048, 1, 512
 GROUP, GROUP_BYTES = 1024, 16 << 20
 #: Code points of text that are turned into ids at a time, about.
 TEXTS = 2_000_000
 #: Units whose ids a task remembers; their number is bounded, the answers are the same without.
-REMEMBERED = 400_000
+REMEMBERED = 350_000
 #: Fixed value: the tokenizer's units between white space, for texts that ``PLAIN`` matches, in lower case.
 LETTERS = "a-z\xdf-\xf6\xf8-\xff"
 UNIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
@@ -188,6 +190,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     order of ``offset``.
     """
     size = docs.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
+    small_batches(docs.sparkSession)
     groups = max(1, size["rows"] // GROUP, (size["bytes"] or 0) // GROUP_BYTES)
     placed = (pieces(docs, tokenizer, capacity, end, part_size, id_col, text_col)
               .withColumn("_group", F.pmod(F.xxhash64("_row", "start"), F.lit(groups)))
