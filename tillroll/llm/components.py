@@ -29,15 +29,18 @@ def _small_star(links: DataFrame) -> DataFrame:
     return across.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _is_stars(links: DataFrame) -> bool:
+    """True if every node that has a smaller neighbour has one only, which has none itself."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(
+        links.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    seen = ends.groupBy("node").agg(F.sum("up").alias("up"), F.min("up").alias("least"))
+    return seen.where("up > 1 OR (up = 1 AND least = 0)").limit(1).count() == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (bigint columns u and v); the root is the smallest node reachable."""
     now = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == state or mark["n"] == 0:
-            break
-        state = mark
+    while not _is_stars(now):
         now = cut(_small_star(_large_star(now)))
     roots = now.select("v").distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

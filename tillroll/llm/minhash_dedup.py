@@ -9,8 +9,10 @@
    the share of equal coordinates is concentrated around the Jaccard similarity.
 3. Classes that agree in all coordinates of a band share a bucket.  Each member is compared with
    its bucket's smallest member, on the full sets, and links of enough similarity give components.
-4. Buckets whose members all lie in one component need nothing more.  In the others, members of
-   different components are compared with each other, so no link of a shared bucket is missed.
+4. Buckets whose members all lie in one component need nothing more.  All members of the others are
+   joined by an exact set-similarity join (rare elements first, prefix and position filters) that
+   looks for links between different components only, so no link of a shared bucket is missed and
+   no group of copies is paired with itself.
 
 At a similarity of 0.8, two sets share a bucket with a probability of 0.99994 by default.
 
@@ -32,13 +34,17 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll.llm.components import components, named
-from tillroll.llm.support import OWN, cut, with_row
+from tillroll.llm.support import OWN, cut, small_batches, with_row
+from tillroll.llm.url_filter import BROADCAST_BLOCKS, blocks_for, possible, without_rows
 
 WORDS, BANDS, ROWS = 5, 32, 6
 #: The least Jaccard similarity of a link: ``OF * intersection >= LEAST * union``, in whole numbers.
 LEAST, OF = 80, 100
+#: Elements listed as frequent in the exact join, and counters of the sketch that finds them.
+FREQUENT, TRACKED = 8192, 65536
 #: Words whose hashes a task remembers.
 REMEMBERED = 300_000
 
@@ -121,72 +127,126 @@ def sketched(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, te
     return done.withColumn("id", F.col("id").cast("long"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, text_col: str, least: int, of: int) -> DataFrame:
-    """The pairs (a, b of row numbers) whose full sets are similar enough.
+def sets_of(docs: DataFrame, rows: DataFrame, words: int, text_col: str) -> DataFrame:
+    """``rows`` (with _row) and ``own``, the set of the row's text; only their texts become sets."""
+    kept = rows.columns
 
-    Only the texts of rows in a pair are turned into sets; b's set travels to a.
-    """
-    def set_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
-            yield pd.DataFrame({"_row": batch["_row"], "partners": batch["partners"],
-                                "own": [shingles(x, words, hashes).tobytes() for x in batch["t"]]})
+            own = [shingles(x, words, hashes).view(np.int64) for x in batch["t"]]
+            yield batch[kept].assign(own=pd.Series(own, index=batch.index, dtype=object))
+
+    texts = with_row(docs.select(F.col(text_col).alias("t")), "key")
+    wanted = cut(rows)
+    if blocks_for(wanted.count()) <= BROADCAST_BLOCKS:  # most texts need not travel to the exact join
+        texts = possible(texts, wanted.select(F.col("_row").alias("key")))
+    joined = texts.join(wanted, F.col("key") == F.col("_row")).select(*kept, "t")
+    return joined.mapInPandas(work, T.StructType([*rows.schema.fields, T.StructField("own", T.ArrayType(T.LongType()))]))
+
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def similar(pairs: DataFrame, least: int, of: int) -> DataFrame:
+    """The pairs (a, b) whose sets (set_a, set_b) are similar enough."""
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             keep = []
-            for left, right in zip(batch["set_a"], batch["set_b"]):
-                x, y = np.frombuffer(left, dtype=np.uint64), np.frombuffer(right, dtype=np.uint64)
-                n, m = len(x), len(y)
-                if of * min(n, m) < least * max(n, m):
-                    keep.append(False)
-                    continue
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
+            for x, y in zip(batch["set_a"], batch["set_b"]):
+                n, m, shared = len(x), len(y), 0
+                if of * min(n, m) >= least * max(n, m):
+                    both = np.sort(np.concatenate([x, y]), kind="stable")
+                    shared = int((both[1:] == both[:-1]).sum())
                 keep.append(of * shared >= least * (n + m - shared))
             yield batch.loc[keep, ["a", "b"]]
 
-    texts = with_row(docs.select(F.col(text_col).alias("t")))
-    schema = "_row long, partners array<long>, own binary"
-    wanted_b = pairs.groupBy(F.col("b").alias("_row")).agg(F.collect_set("a").alias("partners"))
-    wanted_a = pairs.select(F.col("a").alias("_row")).distinct().withColumn("partners", F.array().cast("array<long>"))
-    sets_b = texts.join(wanted_b, "_row").mapInPandas(set_of, schema).select(
-        F.col("_row").alias("b"), F.explode("partners").alias("a"), F.col("own").alias("set_b"))
-    sets_a = texts.join(wanted_a, "_row").mapInPandas(set_of, schema).select(
-        F.col("_row").alias("a"), F.col("own").alias("set_a"))
-    return sets_b.join(sets_a, "a").mapInPandas(compare, "a long, b long")
+    return pairs.mapInPandas(work, "a long, b long")
+
+
+def star_links(docs: DataFrame, stars: DataFrame, words: int, text_col: str, least: int, of: int) -> DataFrame:
+    """The pairs (a, b of row numbers) of ``stars`` that are similar enough; b's set travels to a."""
+    partners = stars.groupBy(F.col("b").alias("_row")).agg(F.collect_set("a").alias("partners"))  # one per band at most
+    centres = stars.select(F.col("a").alias("_row"), F.array().cast("array<bigint>").alias("partners")).distinct()
+    sets = sets_of(docs, partners.unionByName(centres), words, text_col)
+    sets_b = sets.select(F.col("_row").alias("b"), F.explode("partners").alias("a"), F.col("own").alias("set_b"))
+    sets_a = sets.where(F.size("partners") == 0).select(F.col("_row").alias("a"), F.col("own").alias("set_a"))
+    return similar(sets_b.join(sets_a, "a"), least, of)
+
+
+def cross_links(docs: DataFrame, nodes: DataFrame, words: int, text_col: str, least: int, of: int) -> DataFrame:
+    """All links (a, b, root_a, root_b) between ``nodes`` (_row, root, weight) of different roots, by an exact
+    prefix join.
+
+    A set's elements are ordered from rare to frequent.  Two sets that are similar enough share one of
+    their first ``n - ceil(least * n / of) + 1`` elements, and at the first one that they share, enough
+    elements are left on both sides.  Only sets outside the heaviest component of an element's holders
+    look for partners there, so the members of one large group are never paired with each other.
+    """
+    sets = cut(sets_of(docs, nodes, words, text_col))
+    # frequent elements (a bounded list); any order gives the same links, a good one fewer candidates
+    top = sets.select(F.explode("own").alias("x")).agg(F.expr(f"approx_top_k(x, {FREQUENT}, {TRACKED})").alias("top"))
+    often = sorted((hit["item"], hit["count"]) for hit in (top.first()["top"] or []))
+    items, counts = (np.array(x, dtype=np.int64) for x in (zip(*often) if often else ((), ())))
+
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for own in batch["own"]:
+                at = np.minimum(np.searchsorted(items, own), max(0, len(items) - 1))
+                known = np.where(items[at] == own, counts[at], 0) if len(items) else np.zeros(len(own), dtype=np.int64)
+                n = len(own)
+                out.append(own[np.lexsort((own, known))[:n - -(-least * n // of) + 1]])
+            yield batch[["_row", "root", "weight"]].assign(
+                n=batch["own"].map(len), items=pd.Series(out, index=batch.index, dtype=object))
+
+    first = sets.mapInPandas(prefixes, "_row long, root long, weight long, n long, items array<long>")
+    rows = first.select("_row", "root", "weight", "n", F.posexplode("items").alias("at", "x"))
+    holders = rows.groupBy("x").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
+                                    F.max(F.struct("weight", "root")).alias("heaviest")).where("lo <> hi")
+    shared = cut(rows.join(holders.select("x", F.col("heaviest.root").alias("main")), "x"))
+    seeking = shared.where("root <> main")
+    other = shared.select("x", *[F.col(c).alias(f"{c}_2") for c in ("_row", "root", "n", "at")])
+    both = F.col("n") + F.col("n_2")
+    left = F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2"))
+    near = ((F.col("root") != F.col("root_2")) & (left * (least + of) >= both * least)
+            & (F.least("n", "n_2") * of >= F.greatest("n", "n_2") * least))
+    pairs = (seeking.join(other, "x").where(near)
+             .groupBy(F.least("_row", "_row_2").alias("a"), F.greatest("_row", "_row_2").alias("b"))
+             .agg(F.count(F.lit(1)).alias("n")).drop("n"))
+    one = sets.select(F.col("_row").alias("b"), F.col("own").alias("set_b"))
+    two = sets.select(F.col("_row").alias("a"), F.col("own").alias("set_a"))
+    found = similar(cut(pairs).join(one, "b").join(two, "a"), least, of)
+    roots = [nodes.select(F.col("_row").alias(x), F.col("root").alias(f"root_{x}")) for x in ("a", "b")]
+    return found.join(roots[0], "a").join(roots[1], "b")
 
 
 def near_groups(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, least: int = LEAST,
                 of: int = OF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_row, id, n_shingles, component_id, keep_row (the row that stays) for every row of ``docs``."""
+    small_batches(docs.sparkSession)
     facts = cut(sketched(docs, words, bands, rows, id_col, text_col))
     classes = facts.where("set_key IS NOT NULL").groupBy("set_key").agg(
-        F.min(F.struct("_row", "n_shingles", "keys")).alias("first"))
-    classes = classes.select("set_key", "first.*").withColumnRenamed("_row", "node")
-    buckets = cut(classes.select("node", "n_shingles", F.posexplode("keys").alias("band", "key"))
-                  .select("node", "n_shingles", F.xxhash64("band", "key").alias("key")))
+        F.min(F.struct("_row", "keys")).alias("first"))
+    classes = cut(classes.select("set_key", "first.*").withColumnRenamed("_row", "node"))
+    buckets = classes.select("node", F.posexplode("keys").alias("band", "key")).select(
+        "node", F.xxhash64("band", "key").alias("key"))
     shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("a")).where("n > 1").drop("n")
-    members = cut(buckets.join(shared, "key").select("key", "node", "n_shingles", "a"))
+    members = cut(buckets.join(shared, "key").select("key", "node", "a"))
     stars = members.where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.count(F.lit(1)).alias("n")).drop("n")
-    links = cut(verified(docs, stars, words, text_col, least, of))
-    roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    # pairs of one bucket that lie in different components so far
-    placed = members.join(
-        roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
-    placed = placed.select("key", "node", "n_shingles", "a", F.coalesce("root", "node").alias("root"))
+    links = cut(star_links(docs, stars, words, text_col, least, of))
+    roots = cut(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))))
+    # members of buckets that hold more than one component so far
+    placed = members.join(roots.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left").select(
+        "key", "node", F.coalesce("root", "node").alias("root"))
     mixed_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_rows = cut(placed.join(mixed_keys, "key"))
-    right = open_rows.select("key", *[F.col(x).alias(f"{x}_2") for x in ("node", "n_shingles", "root")])
-    enough = F.lit(of) * F.least("n_shingles", "n_shingles_2") >= F.lit(least) * F.greatest("n_shingles", "n_shingles_2")
-    rest = (open_rows.join(right, "key").where((F.col("node") < F.col("node_2")) & (F.col("root") != F.col("root_2"))
-                                               & (F.col("a") != F.col("node")) & enough)
-            .groupBy(F.col("node").alias("a"), F.col("node_2").alias("b")).agg(F.count(F.lit(1)).alias("n")).drop("n"))
-    more = cut(verified(docs, cut(rest), words, text_col, least, of))
-    all_links = links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    roots = components(all_links)
-    by_class = classes.select("set_key", "node").join(roots, "node", "left").select(
-        "set_key", F.coalesce("root", "node").alias("root"))
+    weights = roots.groupBy("root").agg(F.count(F.lit(1)).alias("weight"))
+    open_nodes = (placed.join(mixed_keys, "key", "left_semi").select(F.col("node").alias("_row"), "root").distinct()
+                  .join(weights, "root", "left").select("_row", "root", F.coalesce("weight", F.lit(1).cast("long")).alias("weight")))
+    more = cut(cross_links(docs, cut(open_nodes), words, text_col, least, of))
+    # the new links join components: from root to root
+    merged = components(more.select(F.col("root_a").alias("u"), F.col("root_b").alias("v"))).select(
+        F.col("node").alias("old"), F.col("root").alias("new"))
+    first_root = classes.select("set_key", "node").join(roots, "node", "left").select(
+        "set_key", F.coalesce("root", "node").alias("old"))
+    by_class = first_root.join(merged, "old", "left").select("set_key", F.coalesce("new", "old").alias("root"))
     rooted = cut(facts.select("_row", "id", "n_shingles", "set_key").join(by_class, "set_key", "left")
                  .withColumn("root", F.coalesce("root", "_row")))
     return named(rooted).select("_row", "id", "n_shingles", "component_id", "keep_row")
@@ -206,4 +266,4 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id"
     found = near_groups(docs, words, id_col=id_col, text_col=text_col, **settings)
     row = f"{OWN}row"
     gone = found.where("_row <> keep_row").select(F.col("_row").alias(row))
-    return with_row(docs, row).join(gone, row, "left_anti").select(*docs.columns)
+    return without_rows(with_row(docs, row), cut(gone), row).select(*docs.columns)

@@ -107,9 +107,34 @@ def bloom_blocks(listed: DataFrame, n_blocks: int) -> DataFrame:
             .groupBy("block").agg(*[F.bit_or(f"b{i}").alias(f"w{i}") for i in range(LANES)]))
 
 
+def blocks_for(n_keys: int) -> int:
+    """Blocks of a filter for so many keys."""
+    return max(64, -(-n_keys * BITS // (32 * LANES)))
+
+
+def without_rows(rows: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """``rows`` whose number (column ``name``) is not in ``gone``.
+
+    Rows that do not pass the filter of the numbers that go stay where they are; only possible hits
+    travel to the exact join.
+    """
+    n_blocks = blocks_for(gone.count())
+    if n_blocks > BROADCAST_BLOCKS:
+        return rows.join(gone, name, "left_anti")
+    blocks = cut(bloom_blocks(gone.select(F.col(name).alias("key")), n_blocks))
+    blocks = F.broadcast(blocks.select(*[F.col(c).alias(f"__llm_{c}") for c in blocks.columns]))
+    tested = rows.withColumn("__llm_block", _block(name, n_blocks)).join(blocks, "__llm_block", "left")
+    hit = F.lit(True)
+    for i in range(LANES):
+        hit = hit & (F.coalesce(F.col(f"__llm_w{i}"), F.lit(0)).bitwiseAND(_bit(name, i)) != 0)
+    tested = tested.withColumn("__llm_hit", hit)
+    stay = tested.where(~F.col("__llm_hit")).select(*rows.columns)
+    return stay.unionByName(tested.where("__llm_hit").select(*rows.columns).join(gone, name, "left_anti"))
+
+
 def possible(asked: DataFrame, listed: DataFrame) -> DataFrame:
     """The rows of ``asked`` (with ``key``) that pass the filter of the listed keys."""
-    n_blocks = max(64, -(-listed.count() * BITS // (32 * LANES)))
+    n_blocks = blocks_for(listed.count())
     blocks = cut(bloom_blocks(listed, n_blocks))
     if n_blocks <= BROADCAST_BLOCKS:
         blocks = F.broadcast(blocks)
