@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.llm.support import OWN, cut, text_of, with_row
+from tillroll.llm.url_filter import without_rows
 
 #: Deleted before texts are compared.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -98,4 +99,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     stay = F.broadcast(heavy.select(F.col("digest").alias(key), F.col("best.not_row").alias(best)))
     full = with_row(docs, row).withColumn(key, digest(text_of(text_col)))
     light = full.join(stay, key, "left").where(F.col(best).isNull() | (F.col(best) == F.bitwise_not(row)))
-    return light.join(gone, row, "left_anti").select(*docs.columns)
+    return without_rows(light.select(*docs.columns, row), cut(gone), row).select(*docs.columns)
