@@ -16,8 +16,9 @@ Words are runs of letters, digits and non-ASCII characters, A-Z in lower case.
   Blocks that pass all three are counted exactly.  The templates are a fixed list, so their index
   is broadcast; the blocks are never shuffled, only a row per labelled document is.
 
-Only built-in functions are used.  Words that no template has cannot add to an overlap, so a block
-is reduced to its template words at once.
+Only built-in functions are used, and each text is read and split once: words that no template has
+cannot add to an overlap, so a block is reduced to its template words at once, and what is left is
+written down for the counts and the join.
 
 Defined cases: null and empty texts have no words and no labels, with null places and score 0; a
 very long line is one block; repeated rows are answered one by one; an empty table gives an empty
@@ -64,48 +65,64 @@ def phrase_pattern(phrase: str) -> str:
     return f"(?<![^{OUTSIDE}])(?i:{first})(?={ahead}(?![^{OUTSIDE}]))"
 
 
-def base_facts(rows: DataFrame, phrases: Mapping[str, str]) -> DataFrame:
-    """_row, id, n_words, n_base, first_word, last_word and base (labels) from ``t``."""
+def _base(phrases: Mapping[str, str]) -> dict[str, Column]:
+    """n_base, first_word, last_word and base (labels) from ``t``, ``small`` and the arrays of ``_split``."""
     names = [f"_p{i}" for i in range(len(phrases))]
-    split = rows.withColumns({"n_words": n_words(F.col("t"))} | {
-        name: F.split("t", phrase_pattern(phrase), -1) for name, phrase in zip(names, phrases)})
-    places = {name: F.size(name) - 1 for name in names}
+    places = {name: F.coalesce(F.size(name) - 1, F.lit(0)) for name in names}
     first = [F.when(places[x] > 0, n_words(F.element_at(x, 1))) for x in names]
     last = [F.when(places[x] > 0, F.col("n_words") - 1 - n_words(F.element_at(x, -1))) for x in names]
-    labels = F.array_compact(F.array(*[F.when(places[x] > 0, F.lit(y)) for x, y in zip(names, phrases.values())]))
-    return split.select("_row", "id", "n_words", sum(places.values(), F.lit(0)).cast("long").alias("n_base"),
-                        F.array_min(F.array(*first)).alias("first_word"), F.array_max(F.array(*last)).alias("last_word"),
-                        F.array_distinct(labels).alias("base"))
+    labels = [F.when(places[x] > 0, F.lit(y)) for x, y in zip(names, phrases.values())]
+    return {"n_base": sum(places.values(), F.lit(0)).cast("long"), "first_word": F.array_min(F.array(*first)),
+            "last_word": F.array_max(F.array(*last)), "base": F.array_distinct(F.array_compact(F.array(*labels)))}
 
 
-def block_words(rows: DataFrame, vocabulary: Sequence[str]) -> DataFrame:
-    """_row, block (number of the line) and words (its distinct template words)."""
-    # the Kelvin sign is the only other character whose small letter is in a-z
-    small = F.lower(F.replace(F.col("line"), F.lit("K"), F.lit("�")))
-    words = F.array_distinct(F.filter(F.split(small, f"[{OUTSIDE}]+"), lambda x: x.isin(list(vocabulary))))
-    return rows.select("_row", F.posexplode(F.split("t", "\n")).alias("block", "line")).select(
-        "_row", "block", words.alias("words"))
+def _split(phrases: Mapping[str, str]) -> dict[str, Column]:
+    """The text around each phrase's places; null where the text does not hold all of its words."""
+    def around(phrase: str) -> Column:
+        holds = [F.col("small").contains(word) for word in phrase.split()]
+        there = holds[0]
+        for x in holds[1:]:
+            there = there & x
+        return F.when(there, F.split("t", phrase_pattern(phrase), -1))
+
+    return {f"_p{i}": around(phrase) for i, phrase in enumerate(phrases)}
 
 
-def matches(rows: DataFrame, templates: Sequence[tuple[str, str]], threshold: float) -> DataFrame:
+def facts_of(rows: DataFrame, phrases: Mapping[str, str], vocabulary: Sequence[str], fewest: int) -> DataFrame:
+    """What one reading of each text gives: _row, id, n_words, the base columns, ``hits`` (the numbers of the
+    template words of every block, distinct in a block) and ``blocks`` (those with at least ``fewest``)."""
+    # the Kelvin sign is the only other character whose small letter is in a-z
+    small = F.lower(F.replace(F.col("t"), F.lit("\u212a"), F.lit("\ufffd")))
+    number = F.create_map(*[F.lit(x) for pair in zip(vocabulary, range(len(vocabulary))) for x in pair])
+    lines = F.transform(F.split("small", "\n"), lambda line: F.split(line, f"[{OUTSIDE}]+"))
+    known = F.transform("lines", lambda words: F.transform(
+        F.array_distinct(F.filter(words, lambda w: w.isin(list(vocabulary)))), lambda w: F.element_at(number, w)))
+    count = F.aggregate("lines", F.lit(0), lambda n, words: n + F.size(F.filter(words, lambda w: w != "")))
+    numbered = F.transform("known", lambda own, i: F.struct(i.alias("block"), F.array_sort(own).alias("own")))
+    read = rows.withColumn("small", small).withColumns({"lines": lines} | _split(phrases))
+    read = read.withColumns({"n_words": count.cast("long"), "known": known})
+    return read.select("_row", "id", "n_words", *[x.alias(name) for name, x in _base(phrases).items()],
+                       F.flatten("known").alias("hits"),
+                       F.filter(numbered, lambda x: F.size(x["own"]) >= fewest).alias("blocks"))
+
+
+def matches(facts: DataFrame, sets: Sequence[tuple[str, frozenset[str]]], vocabulary: Sequence[str],
+            threshold: float) -> DataFrame:
     """_row, block, label and containment of every block that meets a template."""
-    spark = rows.sparkSession
-    sets = [(label, frozenset(text.split())) for label, text in templates]
-    vocabulary = sorted(frozenset().union(*[x for _, x in sets]))
-    blocks = block_words(rows, vocabulary)
-    counts = blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    spark = facts.sparkSession
+    counts = facts.select(F.explode("hits").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     often = {row["word"]: row["n"] for row in counts.collect()}  # a row per template word at most
-    order = {word: i for i, word in enumerate(sorted(vocabulary, key=lambda w: (often.get(w, 0), w)))}
+    rarest = sorted(range(len(vocabulary)), key=lambda i: (often.get(i, 0), vocabulary[i]))
+    rank = {vocabulary[i]: at for at, i in enumerate(rarest)}
     index = []
     for number, (label, words) in enumerate(sets):
-        need = math.ceil(threshold * len(words))
-        ranks = sorted(order[w] for w in words)
-        index += [(rank, number, label, i, len(ranks), need, ranks) for i, rank in enumerate(ranks[:len(ranks) - need + 1])]
-    fewest = min(need for *_, need, _ in index)
+        need = needed(len(words), threshold)
+        ranks = sorted(rank[w] for w in words)
+        index += [(r, number, label, i, len(ranks), need, ranks) for i, r in enumerate(ranks[:len(ranks) - need + 1])]
     prefixes = spark.createDataFrame(index, "rank int, template int, label string, i int, n int, need int, ranks array<int>")
-    rank_of = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
-    ordered = (blocks.where(F.size("words") >= fewest)
-               .withColumn("own", F.array_sort(F.transform("words", lambda w: F.element_at(rank_of, w)))))
+    ranks_of = F.array(*[F.lit(rank[w]) for w in vocabulary])
+    ordered = facts.select("_row", F.explode("blocks").alias("x")).select("_row", "x.block", F.array_sort(
+        F.transform("x.own", lambda w: F.element_at(ranks_of, w + 1))).alias("own"))
     shared = ordered.select("_row", "block", "own", F.posexplode("own").alias("j", "rank")).join(F.broadcast(prefixes), "rank")
     left = F.least(F.col("n") - F.col("i"), F.size("own") - F.col("j"))
     found = shared.where((F.size("own") >= F.col("need")) & (left >= F.col("need"))).withColumn(
@@ -113,17 +130,26 @@ def matches(rows: DataFrame, templates: Sequence[tuple[str, str]], threshold: fl
     return found.select("_row", "block", "label", (F.col("overlap") / F.col("n")).alias("containment")).distinct()
 
 
+def needed(size: int, threshold: float) -> int:
+    """Words that a block must share with a template of ``size`` words."""
+    return math.ceil(threshold * size)
+
+
 def license_scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES,
                  threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     score: the largest containment met; a base phrase counts 1.
     """
+    sets = [(label, frozenset(text.split())) for label, text in templates]
+    vocabulary = sorted(frozenset().union(*[words for _, words in sets]))
+    fewest = min(needed(len(words), threshold) for _, words in sets)
     rows = with_row(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")))
-    met = cut(matches(rows, templates, threshold)).groupBy("_row").agg(
+    facts = cut(facts_of(rows, phrases, vocabulary, fewest))
+    met = matches(facts, sets, vocabulary, threshold).groupBy("_row").agg(
         F.collect_set("label").alias("met"), F.max("containment").alias("most"))
     all_labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("met", F.array().cast("array<string>")))))
-    return base_facts(rows, phrases).join(met, "_row", "left").select(
+    return facts.join(met, "_row", "left").select(
         F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word",
         F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(all_labels, ",").alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("most", F.lit(0.0))).alias("score"))
