@@ -33,7 +33,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tillroll.llm.components import components, named
-from tillroll.llm.support import cut, with_row
+from tillroll.llm.support import ROW, cut, numbered
 
 THRESHOLD, RECALL, SEED = 0.95, 0.999, 11
 PLANES, WINDOW, STRETCH, CHUNK = 62, 1024, 8192, 1024
@@ -164,7 +164,8 @@ def counted(members: DataFrame, threshold: float, chunk: int, groups: int) -> Da
 def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, window: int = WINDOW,
                  stretch: int = STRETCH, seed: int = SEED, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """_row, id, n_links, component_id and keep_row for every row."""
-    facts = with_row(rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")))
+    facts = numbered(rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+                     ).withColumnRenamed(ROW, "_row")
     finite = ~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     sound = F.coalesce(finite & F.exists("vec", lambda x: x != 0), F.lit(False))
     keys = [F.when(sound, F.xxhash64("vec", F.lit(salt))).alias(name) for salt, name in ((1, "h1"), (2, "h2"))]

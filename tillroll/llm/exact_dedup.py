@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.support import OWN, cut, text_of, with_row
+from tillroll.llm.support import OWN, ROW, cut, numbered, text_of
 from tillroll.llm.url_filter import without_rows
 
 #: Deleted before texts are compared.
@@ -44,7 +44,7 @@ def digest(text: Column) -> Column:
 def facts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Row number, id, digest and length of every row."""
     text = text_of(text_col)
-    return with_row(docs.select(F.col(id_col).alias("id"), text.alias("t"))).select(
+    return numbered(docs).select(F.col(ROW).alias("_row"), F.col(id_col).alias("id"), text.alias("t")).select(
         "_row", "id", digest(F.col("t")).alias("digest"), F.char_length("t").cast("long").alias("n_chars"))
 
 
@@ -87,16 +87,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` (a scan of files) that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns.
 
     Copies with a heavy digest are removed before anything is shuffled; the others by a join with
     the numbers of the rows that go.
     """
-    rows, heavy = decided(cut(facts_of(docs, id_col, text_col)))
-    row, key, best = f"{OWN}row", f"{OWN}digest", f"{OWN}not_row"
+    full = numbered(docs)  # read twice, with the same numbers
+    rows, heavy = decided(cut(facts_of(full, id_col, text_col)))
+    row, key, best = ROW, f"{OWN}digest", f"{OWN}not_row"
     gone = rows.where(~F.col("kept")).join(F.broadcast(heavy.select("digest")), "digest", "left_anti").select(
         F.col("_row").alias(row))
     stay = F.broadcast(heavy.select(F.col("digest").alias(key), F.col("best.not_row").alias(best)))
-    full = with_row(docs, row).withColumn(key, digest(text_of(text_col)))
+    full = full.withColumn(key, digest(text_of(text_col)))
     light = full.join(stay, key, "left").where(F.col(best).isNull() | (F.col(best) == F.bitwise_not(row)))
     return without_rows(light.select(*docs.columns, row), cut(gone), row).select(*docs.columns)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.llm.components import components, named
-from tillroll.llm.support import OWN, cut, small_batches, with_row
+from tillroll.llm.support import ROW, cut, numbered, small_batches
 from tillroll.llm.url_filter import BROADCAST_BLOCKS, blocks_for, possible, without_rows
 
 WORDS, BANDS, ROWS = 5, 32, 6
@@ -110,7 +110,7 @@ def band_keys(coordinates: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """_row, id, n_shingles, set_key (null for the empty set), keys."""
+    """_row, id, n_shingles, set_key (null for the empty set), keys; ``docs`` is numbered."""
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for batch in batches:
@@ -122,13 +122,14 @@ def sketched(docs: DataFrame, words: int, bands: int, rows: int, id_col: str, te
             yield pd.DataFrame({"_row": batch["_row"], "id": batch["id"], "n_shingles": [x[0] for x in out],
                                 "set_key": [x[1] for x in out], "keys": [x[2] for x in out]})
 
-    slim = with_row(docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t")))
+    slim = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("t"), F.col(ROW).alias("_row"))
     done = slim.mapInPandas(work, "id string, _row long, n_shingles long, set_key string, keys array<long>")
     return done.withColumn("id", F.col("id").cast("long"))
 
 
 def sets_of(docs: DataFrame, rows: DataFrame, words: int, text_col: str) -> DataFrame:
-    """``rows`` (with _row) and ``own``, the set of the row's text; only their texts become sets."""
+    """``rows`` (with _row) and ``own``, the set of the row's text in the numbered ``docs``; only their texts
+    become sets."""
     kept = rows.columns
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,7 +138,7 @@ def sets_of(docs: DataFrame, rows: DataFrame, words: int, text_col: str) -> Data
             own = [shingles(x, words, hashes).view(np.int64) for x in batch["t"]]
             yield batch[kept].assign(own=pd.Series(own, index=batch.index, dtype=object))
 
-    texts = with_row(docs.select(F.col(text_col).alias("t")), "key")
+    texts = docs.select(F.col(text_col).alias("t"), F.col(ROW).alias("key"))
     wanted = cut(rows)
     if blocks_for(wanted.count()) <= BROADCAST_BLOCKS:  # most texts need not travel to the exact join
         texts = possible(texts, wanted.select(F.col("_row").alias("key")))
@@ -255,6 +256,7 @@ def near_groups(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: i
                 of: int = OF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_row, id, n_shingles, component_id, keep_row (the row that stays) for every row of ``docs``."""
     small_batches(docs.sparkSession)
+    docs = numbered(docs)  # read again for the sets, with the same numbers
     facts = cut(sketched(docs, words, bands, rows, id_col, text_col))
     classes = facts.where("set_key IS NOT NULL").groupBy("set_key").agg(
         F.min(F.struct("_row", "keys")).alias("first"))
@@ -295,8 +297,8 @@ def minhash_dedup(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", t
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text",
                      **settings: int) -> DataFrame:
-    """The rows of ``docs`` (a scan of files) of which one per group stays, with all their columns."""
-    found = near_groups(docs, words, id_col=id_col, text_col=text_col, **settings)
-    row = f"{OWN}row"
-    gone = found.where("_row <> keep_row").select(F.col("_row").alias(row))
-    return without_rows(with_row(docs, row), cut(gone), row).select(*docs.columns)
+    """The rows of ``docs`` of which one per group stays, with all their columns."""
+    full = numbered(docs)
+    found = near_groups(full, words, id_col=id_col, text_col=text_col, **settings)
+    gone = found.where("_row <> keep_row").select(F.col("_row").alias(ROW))
+    return without_rows(full, cut(gone), ROW).select(*docs.columns)

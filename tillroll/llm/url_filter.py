@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.llm.support import cut, with_row
+from tillroll.llm.support import ROW, cut, numbered
 
 #: Bits of filter per key, lanes of 32 bits in a block, and the largest filter that is broadcast.
 BITS, LANES, BROADCAST_BLOCKS = 16, 8, 1 << 20
@@ -160,8 +160,8 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str, str]], listed_urls: D
     slim = urls.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     lengths = sorted({len(path) for _, path, _ in rules})
     listed = cut(rule_table(spark, rules).unionByName(url_table(listed_urls, url_col)))
-    parts = with_row(slim).select("_row", "id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
-                                  canonical(F.col("url")).alias("canon"))
+    parts = numbered(slim).select(F.col(ROW).alias("_row"), "id", host_of(F.col("url")).alias("host"),
+                                  path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("canon"))
     asked = _asked(parts, lengths).select("_row", F.explode("keys").alias("key"))
     hits = cut(possible(asked, listed))
     best = confirmed(hits, listed).groupBy("_row").agg(
