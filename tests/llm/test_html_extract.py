@@ -45,3 +45,18 @@ def test_recurring_subtrees_of_a_host_go(spark):
     assert got[90] == "" and extract(pages).where("page_id = 90 AND n_chars = 0").count() == 2
     assert {r.host for r in site_templates(pages).collect()} == {"a.org"}
     assert extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<body><div class=post><p>post</p></div><article class=comment><p>me too</p></article>", ["post"]),
+    ("<!-- <article> --><div><p>post</p></div>", ["post"]),
+    ("<script>x = '<article>'</script><aside><article>teaser</article></aside><main><p>post</p></main>", ["post"]),
+    ("<article></article><p>post</p>", ["post"]),
+    ("<nav>menu</nav><article class='post tag-related'><h2 id='related-work'>w</h2><section id='social-impact'><p>s</p></section>"
+     "<p class='share-price'>9</p><h2 id=search>f</h2><div class='lead share'>no</div><div class='cookie-notice-box'>no</div></article>",
+     ["w", "s", "9", "f"]),
+    ("<body class=search><div class='has-sidebar'><h2 id=related>r</h2><p data-id=ads>t</p></div><div id=site-footer>no</div>", ["r", "t"]),
+    ("<div class='with-sidebar'><article><p>post</p><div id=comments>no</div></article></div>", ["post"]),
+])
+def test_wrappers_hold_visible_text_and_marks_are_whole_tokens(page, want):
+    assert read(page)[0] == want

@@ -8,8 +8,10 @@
    however many pages the host has.
 3. Every page is read again with its host's list.  Templates are deleted, and so are menus,
    headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known
-   by their element, or by their class, id or role.  If the page has an ``article`` (else a
-   ``main``) element, only its text counts.
+   by their element, or by their role or a whole token of their class or id (no part of a longer
+   name, as ``related`` in ``related-work``).  If the page has an ``article`` (else a ``main``)
+   element that is not deleted by these marks and holds text, only the text of such elements counts,
+   else that of the whole body.  Inside them an id marks reader comments alone: others are anchors.
 
 Inside the article, text elements (paragraphs, headings, list items, quotes, cells) are never
 templates: the same paragraph in many articles is content.
@@ -56,16 +58,36 @@ ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"},
             "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Nothing is closed implicitly beyond these.
 SCOPE = frozenset("article main section div ul ol dl table td th body html blockquote".split())
-#: Words of class, id or role that mark what is not the article.
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|cookies?|consent|"
+#: Roles and tokens of class or id that mark what is not the article; a token may join several of
+#: them, and words for places and boxes.
+MARK = (
+    r"(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed|s)?|promo(?:tion)?s?|banners?|cookies?|consent|"
     r"notices?|notification|alerts?|sidebars?|menus?|nav|navbar|navigation|breadcrumbs?|masthead|footers?|site-header|"
     r"comments?|comment-?list|respond|disqus|share|sharing|social|related|newsletter|subscribe|signup|login|popup|modal|"
-    r"search|complementary|contentinfo)(?:$|[\s_-])", re.I)
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+    r"search|complementary|contentinfo)")
+PLACE = (r"(?:site|page|main|top|bottom|left|right|side|primary|secondary|box|bar|area|wrap|wrapper|container|buttons?|"
+         r"widget|form|links)")
+MARKS = re.compile(rf"(?:{PLACE}[_-]+)*{MARK}(?:[_-]+(?:{MARK}|{PLACE}))*", re.I)
+#: Ids that mark reader comments, inside the article too.
+COMMENTS = frozenset("comments comment-list commentlist respond disqus disqus_thread".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+NAMED = re.compile(r"""(?:^|(?<=[\s"'/]))(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]+|"[^"]*"|'[^']*'|["'])*+)>|<[!?][^>]*>""", re.S)
 
 
+def marked(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether class, id or role mark an element (``inside`` the article) as no part of it."""
+    for name, a, b, c in NAMED.findall(attributes):
+        tokens, name = (a or b or c).split(), name.lower()
+        if name == "id" and inside:
+            found = any(x.lower() in COMMENTS for x in tokens)
+        else:
+            found = not (name == "id" and tag in HEADINGS) and any(map(MARKS.fullmatch, tokens))
+        if found:
+            return True
+    return False
+
+
 class Frame:
     """An open element: what its hash covers so far, and where its blocks start.
 
@@ -82,9 +104,8 @@ class Frame:
 class Reader:
     """One page, element by element."""
 
-    def __init__(self, page: str, templates: Container[int]) -> None:
-        self.whole = ("article" if re.search(r"<article[\s>]", page, re.I) else
-                      "main" if re.search(r"<main[\s>]", page, re.I) else "")
+    def __init__(self, page: str, templates: Container[int], whole: str) -> None:
+        self.whole, self.held = whole, False  # the element that counts ("": all), and whether one holds text
         self.templates, self.blocks, self.now, self.seen = templates, [], [], set()
         self.stack = [Frame("", [], False, 0, False, not self.whole)]
         at = 0
@@ -131,6 +152,7 @@ class Reader:
         if text and not text.isspace():
             top.parts.append(text)
             top.text = True
+            self.held = self.held or (top.main and not top.hidden)
         if top.main and not top.hidden:
             self.now.append(text)
 
@@ -149,8 +171,8 @@ class Reader:
             self.flush()
         top = stack[-1]
         hidden = top.hidden or tag in GONE
-        if not hidden and attributes and tag not in ("body", "html", "article", "main"):
-            hidden = any(MARKS.search(a or b or c) for a, b, c in NAMED.findall(attributes))
+        if not hidden and attributes and tag not in ("body", "html", "main"):
+            hidden = marked(tag, attributes, top.main and self.whole != "")
         flat = tag in INLINE or (tag in TEXTUAL and top.main and self.whole != "")
         if flat:
             top.parts.append(f"<{tag}>")
@@ -184,7 +206,13 @@ class Reader:
 
 def read(page: str | None, templates: Container[int] = ()) -> tuple[list[str], set[int]]:
     """The blocks that are left, and the hashes of the elements that can be templates."""
-    reader = Reader(page or "", templates)
+    page = page or ""
+    for whole in ("article", "main"):
+        if re.search(rf"<{whole}[\s/>]", page, re.I):
+            reader = Reader(page, templates, whole)
+            if reader.held:
+                return reader.blocks, reader.seen
+    reader = Reader(page, templates, "")
     return reader.blocks, reader.seen
 
 
