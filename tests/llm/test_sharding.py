@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tillroll.llm import queries
 from tillroll.llm.sharding import jump, jump_shard, shard_rows, slots
 
 
@@ -39,3 +40,24 @@ def test_slots_are_gapless_with_repeats_nulls_and_ranges(spark):
         assert mine == list(range(len(mine)))
     assert {r.shard for r in out if r.doc_id is None} == {plain_jump(0, 4)}
     assert shard_rows(spark.createDataFrame([], "doc_id long, size long")).count() == 0
+
+
+def test_whole_documents_are_placed_with_hot_keys(spark):
+    rows = [(i if i % 3 else 7, f"text {i}", i) for i in range(3000)] + [(None, None, None), (7, "text 0", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, slot long")
+    out = shard_rows(docs, shards=4, rows_per_range=100).collect()
+    assert sorted((repr(r.doc_id), repr(r.text)) for r in out) == sorted((repr(d), repr(t)) for d, t, _ in rows)
+    for shard in range(4):
+        mine = [r for r in out if r.shard == shard]
+        assert sorted(r.slot for r in mine) == list(range(len(mine)))
+        assert {plain_jump(r.doc_id or 0, 4) for r in mine} == {shard}
+
+
+def test_the_query_shuffles_the_texts(spark, tmp_path):
+    spark.createDataFrame([(i, f"é {i}") for i in range(50)] + [(50, None)], "doc_id long, text string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    out = queries.op10_sharding(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    below = plan[plan.index("Window [row_number"):]
+    assert "crc32" in plan[:plan.index("Window [row_number")] and "text#" in below and "crc32" not in below
+    assert {(r.doc_id, r.size) for r in out.collect()} == {(i, len(f"é {i}".encode()) + 1) for i in range(50)} | {(50, 1)}

@@ -66,11 +66,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text_of()) + F.lit(1).cast("long")).alias("size"),
-        F.crc32(text_of().cast("binary")).alias("text_crc32"))
-    return sharding.shard_rows(rows, "doc_id", SHARDS).withColumn("law", F.lit("key")).select(
-        "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    # whole documents are placed; size and digest are taken from what the operator returns
+    placed = sharding.shard_rows(table(spark, sf_dir, "documents"), "doc_id", SHARDS)
+    return placed.select("doc_id", (F.octet_length(text_of()) + F.lit(1).cast("long")).alias("size"),
+                         F.crc32(text_of().cast("binary")).alias("text_crc32"), F.lit("key").alias("law"),
+                         "shard", "slot", "grown_shard")
 
 
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_mix_sources, op4_embedding_dedup,

@@ -3,7 +3,12 @@
 A key's shard depends on the key and the number of shards alone; there is no ring table.  With
 one more shard, a row either keeps its shard or moves into the new one.
 
-``jump_shard`` is a column function for any table.  ``slots`` numbers the rows of every shard
+``jump_shard`` is a column function for any table.  ``shard_rows`` gives whole documents, laid out
+by shard and slot: each shard is cut into ranges by a hash of the row's number, the documents are
+shuffled once to their ranges, each range is numbered on its own, and the sums of the earlier ranges
+are added.  A key that repeats a million times is spread over its shard's ranges.
+
+``slots`` does the same for slim rows that are not whole documents: it numbers the rows of every shard
 without a gap: equal rows are counted first, the distinct ones are cut into ranges by a hash of
 the key, each range is numbered on its own, and the sums of the earlier ranges are added.  So no
 task holds a whole shard, and a key that repeats a million times is one row until the end.
@@ -20,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tillroll.llm.support import OWN
+from tillroll.llm.support import OWN, ROW, numbered
 
 #: Fixed values of the published algorithm: the generator's multiplier, and the steps of its 31-bit fraction.
 MULTIPLIER, STEPS = np.uint64(2862933555777941757), float(1 << 31)
@@ -70,8 +75,21 @@ def slots(df: DataFrame, key: str, shard: str, n_ranges: int) -> DataFrame:
 
 
 def shard_rows(docs: DataFrame, key: str = "doc_id", shards: int = 8, rows_per_range: int = 20_000) -> DataFrame:
-    """``docs`` with shard, grown_shard (with one shard more) and slot, in place of columns with these names."""
-    n_ranges = max(1, docs.count() // (rows_per_range * shards))
-    placed = docs.drop("shard", "grown_shard", "slot").withColumns(
-        {"shard": jump_shard(F.col(key), shards), "grown_shard": jump_shard(F.col(key), shards + 1)})
-    return slots(placed, key, "shard", n_ranges)
+    """``docs`` with all their columns, and shard, grown_shard (with one shard more) and slot (from 0, without
+    gaps inside each shard) in place of columns with these names; laid out by shard and slot."""
+    part, s, r, m, start = (f"{OWN}{x}" for x in ("range", "s", "r", "m", "start"))
+    new = ("shard", "grown_shard", "slot")
+    names = [c for c in docs.columns if c not in new]
+    rows = numbered(docs)  # read twice, with the same numbers
+    n_ranges = max(1, rows.count() // (rows_per_range * shards))
+    in_range = F.pmod(F.xxhash64(ROW), F.lit(n_ranges)).alias(part)
+    shard = jump_shard(F.col(key), shards)
+    sizes = rows.select(shard.alias(s), in_range.alias(r)).groupBy(s, r).agg(F.count(F.lit(1)).alias(m))
+    earlier = W.partitionBy(s).orderBy(r).rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    starts = sizes.select(s, r, F.coalesce(F.sum(m).over(earlier), F.lit(0).cast("long")).alias(start))
+    placed = rows.select(*names, ROW, in_range, shard.alias("shard"),
+                         jump_shard(F.col(key), shards + 1).alias("grown_shard"))
+    inside = W.partitionBy("shard", part).orderBy(ROW)
+    numbers = placed.withColumn("slot", F.row_number().over(inside).cast("long") - 1)
+    joined = numbers.join(starts, (F.col("shard") == F.col(s)) & (F.col(part) == F.col(r)))
+    return joined.select(*names, "shard", "grown_shard", (F.col(start) + F.col("slot")).alias("slot"))
