@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillroll.llm import mixing as M
+from tillroll.llm import queries
 
 
 @pytest.mark.parametrize("rate", [0.0, 0.3, 1.0, 7.5, 900.0])
@@ -55,3 +56,13 @@ def test_edges(spark):
     got = M.mix(spark.createDataFrame(rows, schema), {}, budget=400_000).groupBy("doc_id", "source").count().collect()
     by = {(r.doc_id, r.source): r["count"] for r in got}
     assert by[(1, "a")] % 2 == 0 and by.get((2, ""), 0) >= 0 and by[(None, None)] > 100_000
+
+
+def test_the_query_shuffles_whole_copies(spark, tmp_path):
+    docs_of(spark, 300).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op3_mix_sources(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "source", "copies", "copy", "shuffle_key"]
+    written = out._jdf.queryExecution().analyzed().collectLeaves().head().output().mkString(" ")
+    assert "text#" in written and "copy_of#" in written and "shuffle_key#" in written
+    want = M.mix(docs_of(spark, 300), queries.MIX_WEIGHTS, seed=queries.MIX_SEED).select(*out.columns)
+    assert sorted(map(repr, out.collect())) == sorted(map(repr, want.collect()))

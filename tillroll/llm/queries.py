@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tillroll.llm import (embedding_dedup, exact_dedup, html_extract, language_id, license_scan, minhash_dedup, mixing,
                           packing, sharding, url_filter)
-from tillroll.llm.support import table, text_of
+from tillroll.llm.support import cut, table, text_of
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Shares of the mixture by size; the other sources share the rest equally.
@@ -34,7 +34,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, seed=MIX_SEED)
+    # the whole shuffled copies are written to the shared folder; the columns are read from them
+    mixed = cut(mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS, seed=MIX_SEED))
     return mixed.select("doc_id", "source", "copies", "copy", "shuffle_key")
 
 
