@@ -49,3 +49,11 @@ def test_sample_is_bounded(spark):
     docs = spark.range(4000).selectExpr("id AS doc_id", "concat(md5(string(id)), repeat(' word', 900)) AS text", "'xx' AS lang")
     (lang, sample), = L.fit(docs)
     assert lang == "xx" and len(sample) == L.DICTIONARY + L.CONTEXTS * L.CONTEXT
+
+
+def test_copies_do_not_thin_the_sample(spark):
+    from tillroll.llm import language_id
+    docs = spark.range(102_000).selectExpr("IF(id < 100000, 'copied line', concat('own line ', id)) AS text", "'xx' AS lang")
+    (lang, sample), = language_id.fit(docs)
+    lines = sample.decode().split("\n")
+    assert lang == "xx" and len(lines) == len(set(lines)) == language_id.SAMPLE_DOCS

@@ -4,8 +4,8 @@ For every language a raw-content dictionary is cut from a bounded sample of labe
 text is encoded with each dictionary, and the language with the smallest encoding wins.  The score
 is the saving against the runner-up, from 0 to 1; narrow margins are rejected.
 
-* Sample: ``SAMPLE_DOCS`` documents per language at most (those with the smallest hash of their
-  text), ``EXCERPT`` code points of each.  It yields ``DICTIONARY`` bytes of dictionary and
+* Sample: ``SAMPLE_DOCS`` distinct texts per language at most (those with the smallest hash), however
+  often they are repeated, ``EXCERPT`` code points of each.  The first of them yield ``DICTIONARY`` bytes of dictionary and
   ``CONTEXTS`` contexts of ``CONTEXT`` bytes.  These bounds are parameters of the fit alone: every
   prediction reads the whole text.
 * A text of over ``BLOCK`` bytes is encoded in blocks, so the dictionary is at work everywhere.
@@ -81,13 +81,15 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
     """(language, sample), the most frequent language first; bounded by the parameters above."""
     known = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).where(
         F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    counts = cut(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")))
+    counts = cut(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"),
+                                           F.approx_count_distinct(F.xxhash64("t")).alias("texts")))
     if counts.count() <= BROADCAST_LANGS:
         counts = F.broadcast(counts)
-    # thin first: only about four times the wanted texts of a language are ranked
+    # thin first: only about four times the wanted texts of a language are ranked; copies have one mark, so
+    # distinct texts are counted (an estimate does: the smallest marks pass, whatever its few percent)
     mark = F.crc32(F.concat_ws("/", "lang", "t")).cast("double") / F.lit(float(1 << 32))
     thin = (known.withColumn("mark", mark).join(counts, "lang")
-            .where(F.col("mark") * F.col("n") <= 4 * SAMPLE_DOCS)
+            .where(F.col("mark") * F.col("texts") <= 4 * SAMPLE_DOCS)
             .select("lang", "n", "mark", F.substring("t", 1, EXCERPT).alias("t")).distinct())
     order = W.partitionBy("lang").orderBy("mark", "t")
     chosen = thin.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE_DOCS)
