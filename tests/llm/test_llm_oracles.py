@@ -26,7 +26,7 @@ def test_matches_oracle(spark, con, name):
 
 
 def test_one_query_for_each_operator():
-    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 11))
+    assert [int(name[2:].split("_")[0]) for name in QUERIES] == list(range(1, 14))
 
 
 def test_registered_with_the_pipeline(spark):

@@ -30,58 +30,72 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tillroll.llm.support import small_batches
+from tillroll.llm.workers import Recent, kept
 
 CAPACITY, END, PART = 2048, 1, 512
 GROUP, GROUP_BYTES = 1024, 16 << 20
 #: Code points of text that are turned into ids at a time, about.
 TEXTS = 2_000_000
-#: Units whose ids a task remembers; their number is bounded, the answers are the same without.
-REMEMBERED = 350_000
+#: Units whose ids a worker process remembers; their number is bounded, the answers are the same without.
+REMEMBERED = 700_000
 #: Fixed value: the tokenizer's units between white space, for texts that ``PLAIN`` matches, in lower case.
 LETTERS = "a-z\xdf-\xf6\xf8-\xff"
 UNIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
 #: Texts that the tokenizer's normalisation only puts into lower case: ASCII and U+00C0 to U+00FF.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xc0-\xff]*")
 ASCII_WORD, ODD = re.compile(r"[^\x20\x09-\x0D]+"), "\0"
+#: Texts on which the units' ids must be the tokenizer's own, or texts are encoded whole: signs and digits alone
+#: and in runs, capitals, contractions, Latin-1 letters, a long word, blanks of all kinds, special strings.
+PROBES = ("The quick brown fox, it's here! Don't say 'WE'LL' they'd've", "1234 3.14 x2y \u00b2\u00bd", "a--b ... (c) [d]_e #f",
+          "Stra\xdfe \xc0\xc9\xd7\xf7 na\xefve", "pneumono" * 12, " \t\n  two\r\n\x0b lines ", "<|endoftext|> <|startoftext|>x", "0 , a")
 #: Sequence numbers: group, then the place in the group.
 PLACES = 1 << 32
 PIECE = "_row long, _known boolean, doc_id long, start long, length long, doc_tokens long, ids binary"
 PLACED = "_known boolean, doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
 
-class Units(dict):
-    """Token ids, as bytes, of the tokenizer's units; worked out once per unit.
+class Units(Recent):
+    """Token ids, as bytes, of the tokenizer's units; worked out once per unit and worker process.
 
     The tokenizer drops white space and encodes each unit by itself, so a text's ids are the ids of
     its units in a row.  Texts of ASCII and Latin-1 letters and signs are cut into units here (see
     ``UNIT``), and the units not met before are encoded together: a unit ends where a token closes
-    a word.  A word with any other character is a unit of its own, encoded by itself.
+    a word.  A word with any other character is a unit of its own, encoded by itself.  A tokenizer
+    that treats ``PROBES`` in another way gets whole texts instead.
     """
 
     def __init__(self, path: str) -> None:
+        super().__init__(REMEMBERED)
         self.tokenizer = Tokenizer.from_file(path)
         names = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(names.values()) + 1, dtype=bool)
         self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.by_unit = True
+        self.by_unit = all(self.ids([x])[0] == self.encode(x).tobytes() for x in PROBES)
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def learn(self, units: set[str]) -> None:
-        if len(self) + len(units) > REMEMBERED:
-            self.clear()
-        units = units - self.keys()
+    def encoded(self, units: set[str]) -> Iterator[tuple[str, bytes]]:
+        """Each unit with its ids."""
         fresh = [unit for unit in units if unit[0] != ODD]
         ids = self.encode(" ".join(fresh))
         ends = np.flatnonzero(self.closes[ids]) + 1
         if len(ends) == len(fresh):
             data, ends = ids.tobytes(), (4 * ends).tolist()
-            self.update(zip(fresh, (data[i:j] for i, j in zip([0, *ends[:-1]], ends))))
+            yield from zip(fresh, (data[i:j] for i, j in zip([0, *ends[:-1]], ends)))
         else:
-            self.update((unit, self.encode(unit).tobytes()) for unit in fresh)
-        self.update((unit, self.encode(unit[1:]).tobytes()) for unit in units if unit[0] == ODD)
+            yield from ((unit, self.encode(unit).tobytes()) for unit in fresh)
+        yield from ((unit, self.encode(unit[1:]).tobytes()) for unit in units if unit[0] == ODD)
+
+    def learn(self, units: set[str]) -> None:
+        fresh = self.unknown(units)
+        if fresh:
+            self.update(self.encoded(fresh))
 
     def ids(self, texts: Iterable[str | None]) -> list[bytes]:
+        if not self.by_unit:
+            return [self.encode(text or "").tobytes() for text in texts]
         found = [units_of(text or "") for text in texts]
         self.learn(set().union(*found))
         return [b"".join(map(self.__getitem__, units)) for units in found]
@@ -105,7 +119,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     names = ["_row", "_known", "doc_id", "start", "length", "doc_tokens", "ids"]
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        units = Units(tokenizer)
+        units = kept(("units", tokenizer), lambda: Units(tokenizer))
         for batch in batches:
             # a few texts at a time: ids are larger than text
             sizes = batch["t"].str.len().fillna(0).cumsum()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.llm import (embedding_dedup, exact_dedup, html_extract, language_id, license_scan, minhash_dedup, mixing,
-                          packing, sharding, url_filter)
+                          packing, sharding, token_counts, url_filter, vector_codes, whitening)
 from tillroll.llm.support import cut, table, text_of
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -74,9 +74,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "shard", "slot", "grown_shard")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whitening.long_form(whitening.whiten(table(spark, sf_dir, "embeddings")))
+    return whitened.withColumn("deviation", whitened.deviation.cast("long"))
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_url_filter, op3_mix_sources, op4_embedding_dedup,
                                    op5_language_id, op6_license_scan, op7_minhash_dedup, op8_html_extract,
-                                   op9_packing, op10_sharding)}
+                                   op9_packing, op10_sharding, op11_vector_codes, op12_token_counts, op13_whitening)}
 
 OP1_SQL = r"""
 WITH d AS (
@@ -149,4 +162,39 @@ SELECT doc_id, source, copies, copy,
 FROM (SELECT doc_id, source, copies, unnest(generate_series(0, copies - 1)) AS copy FROM drawn WHERE copies > 0)
 """
 
-ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_mix_sources": OP3_SQL}
+#: The codebooks before and after each round of op11: dimensions cut into 16 parts, 64 entries.
+OP11_ROUND = """
+, a{r} AS MATERIALIZED (
+  SELECT vec_id, label, p, arg_min(e, (d, e)) AS e, min(d) AS d
+  FROM (SELECT r.vec_id, any_value(r.label) AS label, r.p, b.e, sum((r.x - b.x) * (r.x - b.x))::BIGINT AS d
+        FROM cells r JOIN b{r} b ON r.p = b.p AND r.k = b.k GROUP BY r.vec_id, r.p, b.e)
+  GROUP BY vec_id, label, p
+)"""
+OP11_MEANS = """
+, b{s} AS MATERIALIZED (
+  SELECT b.p, b.e, b.k, coalesce(m.x, b.x) AS x
+  FROM b{r} b LEFT JOIN (
+    SELECT a.p, a.e, c.k, (sum(c.x) - ((sum(c.x) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS x
+    FROM a{r} a JOIN cells c ON a.vec_id = c.vec_id AND a.p = c.p GROUP BY a.p, a.e, c.k) m
+  ON b.p = m.p AND b.e = m.e AND b.k = m.k
+)"""
+OP11_SQL = """
+WITH kept AS (
+  SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), cells AS MATERIALIZED (
+  SELECT vec_id, label, place, (i - 1) // (n // 16) AS p, (i - 1) % (n // 16) AS k, floor(256 * c::DOUBLE)::BIGINT AS x
+  FROM (SELECT vec_id, label, place, len(embedding) AS n, unnest(embedding) AS c,
+               unnest(generate_series(1, len(embedding))) AS i FROM kept)
+), b0 AS MATERIALIZED (SELECT p, place AS e, k, x FROM cells WHERE place < 64)""" + (
+    OP11_ROUND.format(r=0) + OP11_MEANS.format(r=0, s=1) + OP11_ROUND.format(r=1) + OP11_MEANS.format(r=1, s=2)
+    + OP11_ROUND.format(r=2)) + """
+, coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a2 GROUP BY vec_id, label
+)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, k)) FROM b2) AS codebooks_sha256
+FROM coded
+"""
+
+ORACLE = {"op1_exact_dedup": OP1_SQL, "op2_url_filter": OP2_SQL, "op3_mix_sources": OP3_SQL, "op11_vector_codes": OP11_SQL}
