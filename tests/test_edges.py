@@ -69,7 +69,7 @@ def test_item_without_known_toppings_has_no_list(spark):
 
 def test_surrogate_key_is_consecutive_across_partitions(spark):
     df = spark.range(0, 1000).selectExpr("id * 7 % 1000 AS v", "id % 3 AS g")
-    keyed = surrogate_key(df, ["g", "v"], "k", buckets=5).collect()
+    keyed = surrogate_key(df, ["g", "v"], "k", ranges=5).collect()
     ordered = sorted(keyed, key=lambda r: r.k)
     assert [r.k for r in ordered] == list(range(1, 1001))
     assert [(r.g, r.v) for r in ordered] == sorted((r.g, r.v) for r in keyed)
@@ -86,7 +86,7 @@ def test_apply_changes_is_except_distinct_then_union_all(spark):
 def test_surrogate_key_splits_a_large_group_of_copies(spark):
     # a third of the rows are copies of one row; chunks of 7 split them
     df = spark.range(0, 300).selectExpr("CASE WHEN id < 100 THEN 0 ELSE id END AS v")
-    keyed = surrogate_key(df, ["v"], "k", buckets=4, chunk=7).collect()
+    keyed = surrogate_key(df, ["v"], "k", ranges=4, chunk=7).collect()
     assert sorted(r.k for r in keyed) == list(range(1, 301))
     by_key = sorted(keyed, key=lambda r: r.k)
     assert [r.v for r in by_key] == sorted(r.v for r in keyed)
@@ -117,7 +117,7 @@ def test_mean_distance_is_rounded_once(spark):
 
 def test_surrogate_key_orders_nulls_text_and_times(spark):
     df = spark.createDataFrame([(None, 1), ("b", 1), ("a", 2), ("a", 1), ("ab", 1), ("", 1)], "v string, w int")
-    got = sorted(surrogate_key(df, ["v", "w"], "k", buckets=3).collect(), key=lambda r: r.k)
+    got = sorted(surrogate_key(df, ["v", "w"], "k", ranges=3).collect(), key=lambda r: r.k)
     assert [(r.v, r.w) for r in got] == [(None, 1), ("", 1), ("a", 1), ("a", 2), ("ab", 1), ("b", 1)]
 
 

@@ -100,7 +100,7 @@ def test_upgrade_days_equal_the_self_join(spark, rows):
 def test_surrogate_key_equals_row_number(spark, rows):
     df = _df(spark, rows)
     got = sorted(tuple(r) for r in surrogate_key(df, ["customer_id", "start_date", "plan_id"], "k",
-                                                 buckets=3, chunk=2).collect())
+                                                 ranges=3, chunk=2).collect())
     w = Window.orderBy("customer_id", "start_date", "plan_id")
     want = sorted(tuple(r) for r in df.withColumn("k", F.row_number().over(w)).collect())
     assert got == want

@@ -1,0 +1,125 @@
+"""Paths and pair forms against the plain self-join, on made-up histories with a hot customer."""
+
+import datetime as dt
+import random
+from collections import defaultdict
+
+import pytest
+from conftest import rows
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from tillroll.operators import journey_paths, pair_periods, pairs_before
+from tillroll.plans import subscriptions as S
+
+SCHEMA = "customer_id int, plan_id int, start_date date"
+PLANS = [(0, "trial"), (1, "basic monthly"), (2, "pro monthly"), (3, "pro annual"), (4, "churn")]
+DAY0 = dt.date(2020, 1, 1)
+
+
+def history(n, seed):
+    """A third of all rows belong to customer 1; plans repeat, days too."""
+    rng = random.Random(seed)
+    made = [(1 if rng.random() < 1 / 3 else rng.randrange(2, 60), rng.randrange(5), DAY0 + dt.timedelta(rng.randrange(700)))
+            for _ in range(n)]
+    return made + [(None, 0, DAY0), (None, 3, DAY0), (7, 3, None), (7, None, DAY0), *made[:5]]
+
+
+@pytest.fixture(scope="module")
+def plans(spark):
+    return spark.createDataFrame(PLANS, "plan_id int, plan_name string")
+
+
+def pairs(events, frm, to):
+    by = defaultdict(lambda: ([], []))
+    for c, p, d in events:
+        if c is not None and d is not None and p in (frm, to):
+            by[c][p == to].append(d)
+    return [(a, b) for firsts, seconds in by.values() for a in firsts for b in seconds]
+
+
+def half_up(total, n):
+    sign = -1 if total < 0 else 1
+    return float(sign * ((2 * abs(total) + n) // (2 * n)))
+
+
+def expected_periods(events, width=30, offset=7):
+    found = defaultdict(list)
+    for a, b in pairs(events, 0, 3):
+        days = (b - a).days - offset
+        found[int((days - 1) / width)].append(days)
+    return {k: (len(v), sum(v)) for k, v in found.items()}
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(events=st.lists(st.tuples(st.integers(1, 4), st.integers(0, 4), st.integers(-90, 90).map(lambda n: DAY0 + dt.timedelta(n))),
+                       max_size=40), width=st.sampled_from([1, 7, 30]), offset=st.sampled_from([0, 7]))
+def test_periods_equal_the_self_join(spark, events, width, offset):
+    df = spark.createDataFrame(events, SCHEMA)
+    got = {r.period: (int(r.pairs), int(r.days)) for r in
+           pair_periods(df, "customer_id", "plan_id", "start_date", 0, 3, offset, width).collect()}
+    assert got == expected_periods(events, width, offset)
+
+
+def test_all_pair_forms_with_a_hot_customer(spark):
+    events = history(3000, 1)
+    df = spark.createDataFrame(events, SCHEMA).repartition(4)
+    every = pairs(events, 0, 3)
+    days = [(b - a).days - 7 for a, b in every]
+    assert rows(S.avg_days_over_pairs(df)) == [(half_up(sum(days), len(days)),)]
+    want = sorted(((f"{30 * k + 1 if k else 0}-{30 * k + 30} days", n, half_up(total, n))
+                   for k, (n, total) in expected_periods(events).items()))
+    assert rows(S.periods_over_pairs(df)) == want
+    late = [(a, b) for a, b in pairs(events, 2, 1) if a < b and dt.date(2020, 3, 1) <= b <= dt.date(2021, 3, 1)]
+    assert rows(S.downgrade_pairs(df, "2020-03-01", "2021-03-01")) == [(len(late),)]
+
+
+def test_pair_forms_without_pairs(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert rows(S.avg_days_over_pairs(empty)) == [(None,)] and rows(S.periods_over_pairs(empty)) == []
+    assert rows(pairs_before(empty, "customer_id", "plan_id", "start_date", 2, 1, "2020-01-01", "2020-12-31")) == [(0,)]
+
+
+def test_one_row_per_plan_makes_both_forms_equal(spark):
+    events = list({(c, p): (c, p, d) for c, p, d in history(400, 2) if c and d}.values())
+    df = spark.createDataFrame(events, SCHEMA)
+    assert rows(S.avg_days_over_pairs(df)) == rows(S.avg_days_to_annual(df))
+    assert rows(S.periods_over_pairs(df)) == rows(S.days_to_annual_periods(df))
+
+
+def test_hot_customers_path_is_made_in_pieces(spark, plans):
+    events = [e for e in history(3000, 3) if e[2] is not None]
+    df = spark.createDataFrame(events, SCHEMA).repartition(4)
+    names = dict(PLANS)
+    want = defaultdict(list)
+    for c, p, d in events:
+        if p is not None:
+            want[c].append((d, names[p]))
+    got = {r.customer_id: (r.path, r.steps) for r in S.plan_paths(df, plans).collect()}
+    assert got == {c: (" > ".join(n for _, n in sorted(v)), len(v)) for c, v in want.items()}
+    # the hot customer's thousand events are 100 texts of about ten
+    out = journey_paths(df, plans, "customer_id", "plan_id", "start_date", "plan_name", sep="|", chunk=10)
+    assert {r.customer_id: r.path for r in out.collect()} == {c: "|".join(n for _, n in sorted(v)) for c, v in want.items()}
+    first = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "div 10" in first
+
+
+def test_intervals_are_exact(spark):
+    from tillroll.functions.dates import interval_microseconds, mean_time, time_between
+    df = spark.sql("SELECT timestamp_ntz'2020-01-01 00:00:00' AS a, timestamp_ntz'2020-01-01 10:00:00.000001' AS b, 2 AS n "
+                   "UNION ALL SELECT timestamp_ntz'2020-01-01 00:00:00', timestamp_ntz'2020-01-02 00:00:00', 1 "
+                   "UNION ALL SELECT timestamp_ntz'2020-01-01 00:00:00', NULL, 50")
+    waits = df.select(time_between("b", "a").alias("w"), "n")
+    assert waits.schema["w"].dataType.simpleString() == "interval day to second"
+    out = waits.agg(mean_time("w").alias("plain"), mean_time("w", "n").alias("weighed"))
+    assert out.first().plain == dt.timedelta(hours=17, microseconds=1)  # half a microsecond is rounded up
+    assert out.first().weighed == dt.timedelta(hours=14, minutes=40, microseconds=1)
+    assert out.select(interval_microseconds("weighed").alias("us")).first().us == 52_800_000_001
+
+
+def test_names_sort_by_the_collation(spark):
+    from tillroll.functions.agg import name_key
+    names = ["Éclair", "Edam", "eclair", "Eclair", "BBQ Sauce", "Bacon", "Beef", "Tomatoes", "Tomato Sauce", "Zucchini", "ähnlich"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.n for r in df.orderBy(name_key("n"), F.col("n")).collect()]
+    assert got == ["ähnlich", "Bacon", "BBQ Sauce", "Beef", "eclair", "Eclair", "Éclair", "Edam", "Tomato Sauce", "Tomatoes", "Zucchini"]

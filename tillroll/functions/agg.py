@@ -20,8 +20,8 @@ def ordered_concat(value: str, *order: str, sep: str = ", ") -> Column:
     return F.expr(f"listagg(`{value}`, '{sep}') WITHIN GROUP (ORDER BY {keys})")
 
 
-def name_key(value: str | Column) -> Column:
-    """Case-insensitive sort key for names ('Bacon' < 'BBQ Sauce' < 'Beef';
-    'Tomato Sauce' < 'Tomatoes'); the name itself breaks ties."""
+def name_key(value: str | Column, collation: str = "UNICODE") -> Column:
+    """Sort key for names, by a collation (ICU's root order by default, as language-aware databases
+    sort: 'Bacon' < 'BBQ Sauce' < 'Beef'; 'Tomato Sauce' < 'Tomatoes'; 'Eclair' < 'Éclair' < 'Edam')."""
     v = F.col(value) if isinstance(value, str) else value
-    return F.lower(v)
+    return F.collate(v, collation)

@@ -34,6 +34,27 @@ def seconds_between(end: str | Column, start: str | Column) -> Column:
     return F.timestamp_diff("SECOND", _col(start), _col(end))
 
 
+def time_between(end: str | Column, start: str | Column) -> Column:
+    """end - start as Spark's day-time interval (exact to the microsecond)."""
+    return _col(end) - _col(start)
+
+
+def mean_time(interval: str | Column, weight: str | Column | None = None) -> Column:
+    """Aggregate: the mean interval, summed exactly and rounded once, half-up, to the microsecond.
+
+    ``weight`` counts a row that often; rows without an interval count nothing."""
+    iv = _col(interval)
+    if weight is None:
+        return F.sum(iv) / F.count(iv)
+    return F.sum(iv * _col(weight)) / F.sum(F.when(iv.isNotNull(), _col(weight)))
+
+
+def interval_microseconds(interval: str | Column) -> Column:
+    """A day-time interval as whole microseconds."""
+    zero = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", zero, zero + _col(interval))
+
+
 def minute_field(seconds: str | Column) -> Column:
     """Minute field (0-59) of a duration given in seconds, as the ``minutes``
     part of an interval: whole hours are cut off."""

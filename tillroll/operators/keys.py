@@ -7,62 +7,74 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Buckets of the leading order column, and the largest number of identical rows numbered by one
-# output row of the expansion.
-BUCKETS, COPY_CHUNK = 4096, 100_000
+# Ranges per shuffle partition, the least and the largest number of ranges, sampled keys per range,
+# and the largest number of identical rows that are numbered as one piece.
+RANGES_PER_PARTITION, LEAST_RANGES, MOST_RANGES = 16, 1024, 32_768
+SAMPLED, COPY_CHUNK = 16, 10_000
 
 
-def _as_number(df: DataFrame, col: str) -> Column:
-    """A number that orders like the column (numbers, dates and timestamps; text by its first six bytes)."""
-    kind = df.schema[col].dataType.typeName()
-    if kind == "date":
-        return F.unix_date(col).cast("double")
-    if kind.startswith("timestamp"):
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    if kind == "string":
-        head = F.rpad(F.hex(F.substring(F.col(col).cast("binary"), 1, 6)), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    return F.col(col).cast("double")
+def _splitters(pieces: DataFrame, key: Column, ranges: int) -> Column:
+    """Scalar array of about ``ranges`` keys that cut the rows into ranges of equal weight.
+
+    The quantile sketch of the whole key: a piece of weight w enters with probability
+    1 - exp(-w * rate), decided by a hash of its key, and as often as its weight asks for, so about
+    ``SAMPLED * ranges`` keys come together whatever the table's size, heavy ones first; every
+    ``SAMPLED``-th of them, in order, is a splitter.  The hash makes it the same in every evaluation."""
+    total = pieces.agg(F.sum("_w").alias("t")).select("t").scalar()
+    u = (F.xxhash64(key).bitwiseAND(F.lit((1 << 52) - 1)) + F.lit(0.5)) / F.lit(float(1 << 52))
+    rate = F.lit(float(SAMPLED * ranges)) / total
+    times = F.greatest(F.lit(1), F.round(F.col("_w") * rate).cast("int"))
+    sample = pieces.filter(-F.log(u) < F.col("_w") * rate).select(F.explode(F.array_repeat(key, times)).alias("k"))
+    chosen = sample.agg(F.sort_array(F.collect_list("k")).alias("s"))
+    return chosen.select(F.filter("s", lambda x, i: (i + 1) % SAMPLED == 0)).scalar()
+
+
+def _with_range(pieces: DataFrame, key: Column, ranges: int) -> DataFrame:
+    """``pieces`` with _b, how many splitters are not above the key, by binary search."""
+    # a sample may be larger than expected, twice at most
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((2 * ranges).bit_length()))])
+    at = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(F.col("_s"), at + step - 1) <= F.col("_key"), at + step).otherwise(at))
+    return pieces.withColumn("_s", _splitters(pieces, key, ranges)).withColumn("_key", key).withColumn("_b", at).drop("_s", "_key")
 
 
 def surrogate_key(df: DataFrame, order: Sequence[str], name: str, start: int = 1,
-                  buckets: int = BUCKETS, chunk: int = COPY_CHUNK) -> DataFrame:
+                  ranges: int | None = None, chunk: int = COPY_CHUNK) -> DataFrame:
     """Add ``name`` = start, start+1, ... following ``order`` (ROW_NUMBER() OVER
     (ORDER BY order)), as bigint, computed in parallel.  Lazy: nothing runs here.
 
     1. Identical rows are counted first (the partial aggregate collapses a hot group
-       on the map side) and expand again at the end, in chunks of ``chunk``.
-    2. Each distinct row falls in one of ``buckets`` equal stretches between the least
-       and the largest value of the leading order column.  The bucket depends on the
-       row and two exact numbers alone, so every evaluation agrees and nothing has to
-       be written.
-    3. A row's first id is the sum of the earlier buckets (a window over at most
-       ``buckets`` sums) plus a running sum inside its bucket.
+       on the map side).  The rest reads these counted rows, from their exchange.
+    2. A row with many copies is cut into pieces of at most ``chunk`` copies, which can lie in
+       different ranges.
+    3. Splitters from a quantile sketch of the whole sort key, weighted by copies, cut the pieces
+       into ``ranges`` ranges of nearly equal size, whatever the columns hold: outliers, constant leading
+       columns and heavy single values make no large range.  The range depends on the piece and the
+       splitters alone, so every evaluation agrees and nothing has to be written.
+    4. A piece's first id is the sum of the earlier ranges (a window over a row per range)
+       plus a running sum inside its range; its copies are expanded last.
 
-    Two shuffles carry rows: the count and the running sum.  Rows equal on every
-    ``order`` column but different elsewhere are numbered in the order of their other
-    columns.  The leading column should spread over its range: distinct rows that all
-    share one leading value are numbered in one task (with spilling).
+    Two shuffles carry rows: the count and the running sum.  ``ranges`` follows the number of
+    shuffle partitions by default.  Rows equal on every ``order`` column but different elsewhere are
+    numbered in the order of their other columns.  The types must be orderable (no maps).
     """
+    if ranges is None:
+        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = min(MOST_RANGES, max(LEAST_RANGES, RANGES_PER_PARTITION * partitions))
     cols = df.columns
     sort_cols = list(order) + [c for c in cols if c not in order]
     copies = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
-    lead = _as_number(df, order[0])
-    ends = df.agg(F.min(lead).alias("lo"), F.max(lead).alias("hi"))
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    width = F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-    bucket = F.least(F.lit(buckets - 1), F.floor((lead - lo) / width * buckets).cast("int"))
-    placed = copies.withColumn("_b", F.when(lead.isNull(), -1).otherwise(bucket))  # NULL comes first
-    before = Window.partitionBy("_b").orderBy(*sort_cols).rowsBetween(Window.unboundedPreceding, -1)
-    local = placed.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    sizes = placed.groupBy("_b").agg(F.sum("_n").alias("_size"))
+    last = F.call_function("div", F.col("_n") - 1, F.lit(chunk))
+    pieces = copies.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), last))) \
+        .withColumn("_w", F.least(F.lit(chunk).cast("bigint"), F.col("_n") - F.col("_c") * chunk)).drop("_n")
+    key = F.struct(*sort_cols, "_c")
+    placed = _with_range(pieces, key, ranges)
+    before = Window.partitionBy("_b").orderBy(*sort_cols, "_c").rowsBetween(Window.unboundedPreceding, -1)
+    local = placed.withColumn("_before", F.coalesce(F.sum("_w").over(before), F.lit(0)))
+    sizes = placed.groupBy("_b").agg(F.sum("_w").alias("_size"))
     offsets = sizes.select(
         "_b", F.coalesce(F.sum("_size").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
                          F.lit(0)).alias("_off"))
-    # at most ``buckets`` rows
+    # a row per range
     keyed = local.join(F.broadcast(offsets), "_b").withColumn("_first", F.col("_off") + F.col("_before") + F.lit(start))
-    last = F.call_function("div", F.col("_n") - 1, F.lit(chunk))
-    chunks = keyed.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-    first = F.col("_first") + F.col("_c") * chunk
-    end = F.least(first + chunk, F.col("_first") + F.col("_n")) - 1
-    return chunks.select(*cols, F.explode(F.sequence(first, end)).alias(name))
+    return keyed.select(*cols, F.explode(F.sequence(F.col("_first"), F.col("_first") + F.col("_w") - 1)).alias(name))

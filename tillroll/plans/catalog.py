@@ -7,12 +7,12 @@ stand-ins use in place of the case constants (names, dates, prices).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dates import interval_microseconds
 from ..session import shared_folder
 from ..sources import standins as S
 from ..sources.tables import read_table
@@ -44,7 +44,8 @@ def _keyed_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ratings_path(spark: SparkSession) -> str:
-    return f"{shared_folder(spark)}/order_ratings-{uuid.uuid4().hex}"
+    """One folder per application: a new run takes the place of the last one."""
+    return f"{shared_folder(spark)}/order_ratings-{spark.sparkContext.applicationId}"
 
 
 def _deliveries(spark: SparkSession, d: str) -> DataFrame:
@@ -77,15 +78,10 @@ def _job(fn: Callable[..., DataFrame], *tables: str, order: tuple[str, ...] = ()
     return run
 
 
-# Types of the cleaned stand-in tables (ids are bigint in the driver's tables).
-CLEAN_TYPES = {
-    "clean_customer_orders": {"order_item_id": "bigint", "order_id": "bigint", "customer_id": "bigint",
-                              "pizza_id": "bigint", "exclusions": "string", "extras": "string",
-                              "order_time": "timestamp_ntz"},
-    "clean_runner_orders": {"order_id": "bigint", "runner_id": "bigint", "pickup_time": "timestamp_ntz",
-                            "distance_km": "decimal(24,6)", "duration_mins": "decimal(24,6)",
-                            "cancellation": "string"},
-}
+def _in_seconds(df: DataFrame, interval: str) -> DataFrame:
+    """An interval column as seconds, in which both engines compare."""
+    seconds = interval_microseconds(interval).cast("double") / F.lit(1e6)
+    return df.select(*[seconds.alias(f"{c}_secs") if c == interval else F.col(c) for c in df.columns])
 
 
 QUERIES: dict[str, Query] = {
@@ -139,6 +135,8 @@ QUERIES: dict[str, Query] = {
     "J30_avg_wait_per_runner": _job(couriers.avg_wait_per_runner, "order_items", "deliveries", order=("runner_id",)),
     "J30_avg_wait_seconds": _job(couriers.avg_wait_per_runner, "order_items", "deliveries", unit="seconds",
                                  per="order", order=("runner_id",)),
+    "J30_mean_wait_interval": _job(lambda *tables: _in_seconds(couriers.mean_wait_per_runner(*tables), "mean_wait"),
+                                   "order_items", "deliveries", order=("runner_id",)),
     "J31_prep_time_by_size": _job(couriers.prep_time_by_size, "order_items", "deliveries", order=("pizzas_ordered",)),
     "J31_prep_seconds_by_size": _job(couriers.prep_time_by_size, "order_items", "deliveries", unit="seconds",
                                      order=("pizzas_ordered",)),
@@ -172,10 +170,13 @@ QUERIES: dict[str, Query] = {
     "J46_ratings_table": lambda spark, d: pricing.ratings_table(
         S.order_ratings(spark, d), _deliveries(spark, d), _ratings_path(spark)),
     "J47_delivery_facts": _job(pricing.delivery_facts, "order_items", "deliveries", "ratings"),
+    "J47_time_to_pickup_interval": _job(lambda *tables: _in_seconds(couriers.time_to_pickup(*tables), "time_to_pickup"),
+                                        "order_items", "deliveries"),
     "J48_profit": _job(pricing.profit, "order_items", "deliveries", "names", prices=PARAMS["prices"],
                        default=PARAMS["default_price"], fee_per_km=PARAMS["fee_per_km"]),
     # case 3: subscriptions (orders as plan changes; events as daily states)
     "J49_plan_journey": _job(subscriptions.plan_journey, "subs", "plans"),
+    "J49_plan_paths": _job(subscriptions.plan_paths, "subs", "plans"),
     "J50_customer_count": _job(subscriptions.customer_count, "subs"),
     "J51_trials_per_month": _job(subscriptions.trials_per_month, "subs", order=("by_month",)),
     "J52_events_after": _job(subscriptions.events_after, "subs", "plans", after=PARAMS["starts_after"],
@@ -191,4 +192,8 @@ QUERIES: dict[str, Query] = {
     "J58_avg_days_to_annual": _job(subscriptions.avg_days_to_annual, "subs"),
     "J59_days_to_annual_periods": _job(subscriptions.days_to_annual_periods, "subs"),
     "J60_downgrades": _job(subscriptions.downgrades, "subs", start=PARAMS["year_from"], end=PARAMS["year_to"]),
+    # the same three over all pairs of starts, as a self-join counts them
+    "J58_avg_days_over_pairs": _job(subscriptions.avg_days_over_pairs, "subs"),
+    "J59_periods_over_pairs": _job(subscriptions.periods_over_pairs, "subs"),
+    "J60_downgrade_pairs": _job(subscriptions.downgrade_pairs, "subs", start=PARAMS["year_from"], end=PARAMS["year_to"]),
 }

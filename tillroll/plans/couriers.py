@@ -13,7 +13,7 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import minute_field, period_start, seconds_between, total_minutes
+from ..functions.dates import mean_time, minute_field, period_start, seconds_between, time_between, total_minutes
 from ..operators import round_ratio, share
 
 
@@ -36,6 +36,15 @@ def signups_per_period(runners: DataFrame, anchor: str | dt.date, days: int = 7)
         F.count("runner_id").alias("signups"))
 
 
+def _weighed_orders(items: DataFrame, deliveries: DataFrame, per: str) -> DataFrame:
+    """order_id, runner_id, pickup_time, order_time, _n: every order and how often it counts."""
+    if per == "order":
+        orders = items.groupBy("order_id").agg(F.min("order_time").alias("order_time"), F.lit(1).cast("bigint").alias("_n"))
+    else:
+        orders = items.groupBy("order_id", "order_time").agg(F.count(F.lit(1)).alias("_n"))
+    return deliveries.select("order_id", "runner_id", "pickup_time").join(orders, "order_id")
+
+
 def avg_wait_per_runner(items: DataFrame, deliveries: DataFrame, unit: str = "field",
                         per: str = "item") -> DataFrame:
     """J30 -> runner_id, avg_arrival_minutes: average time from order to pickup.
@@ -44,16 +53,24 @@ def avg_wait_per_runner(items: DataFrame, deliveries: DataFrame, unit: str = "fi
     join); ``per='order'`` counts each order once.  Cancelled orders
     (no pickup) are skipped by the average.
     """
-    if per == "order":
-        orders = items.groupBy("order_id").agg(F.min("order_time").alias("order_time"), F.lit(1).cast("bigint").alias("_n"))
-    else:
-        orders = items.groupBy("order_id", "order_time").agg(F.count(F.lit(1)).alias("_n"))
-    j = deliveries.select("order_id", "runner_id", "pickup_time").join(orders, "order_id")
+    j = _weighed_orders(items, deliveries, per)
     secs = seconds_between("pickup_time", "order_time")
     mean = F.sum(secs * F.col("_n")) / F.sum(F.when(secs.isNotNull(), F.col("_n")))
     return j.groupBy("runner_id").agg(_minutes(mean, unit).alias("avg_arrival_minutes"))
 
 
+def mean_wait_per_runner(items: DataFrame, deliveries: DataFrame, per: str = "item") -> DataFrame:
+    """J30 as an interval -> runner_id, mean_wait (day-time interval): ``avg_wait_per_runner`` without a unit."""
+    j = _weighed_orders(items, deliveries, per).withColumn("_wait", time_between("pickup_time", "order_time"))
+    return j.groupBy("runner_id").agg(mean_time("_wait", "_n").alias("mean_wait"))
+
+
+def time_to_pickup(items: DataFrame, deliveries: DataFrame) -> DataFrame:
+    """order_id, time_to_pickup (day-time interval) of every delivered order; J47 gives the same in seconds."""
+    j = _weighed_orders(items, deliveries.filter(F.col("pickup_time").isNotNull()), "order")
+    return j.select("order_id", time_between("pickup_time", "order_time").alias("time_to_pickup"))
+
+
 def prep_time_by_size(items: DataFrame, deliveries: DataFrame, unit: str = "field") -> DataFrame:
     """J31 -> pizzas_ordered, avg_time_minutes: order-to-pickup time by order size."""
     sizes = items.groupBy("order_id", "order_time").agg(F.count("pizza_id").alias("pizzas_ordered"))

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.agg import name_key, ordered_concat
 from ..functions.text import split_list
-from ..operators import apply_changes, explode_list, top_n
+from ..operators import apply_tagged, explode_list, tagged, top_n
+from ..operators.lists import ADDED, BASE, REMOVED
 
 ITEM_COLUMNS = ["order_item_id", "order_id", "customer_id"]
 # What an item's toppings and texts depend on.
@@ -86,15 +87,12 @@ def order_item_text(items: DataFrame, names: DataFrame, toppings: DataFrame,
     '- Exclude'; ``single_blank=True`` gives one.  ``unkeyed``: the items before they got
     their key, if at hand; the combinations are then read without making the key again.
     """
-    def tag(ids, t: int):
-        return F.arrays_zip(ids.alias("id"), F.array_repeat(F.lit(t), F.size(ids)).alias("tag"))
-
-    tagged = F.concat(tag(split_list("exclusions"), 0), tag(split_list("extras"), 1))
-    rows = (_combinations(items if unkeyed is None else unkeyed).select(*COMBINATION, F.explode_outer(tagged).alias("_t"))
+    both = F.concat(tagged(split_list("exclusions"), REMOVED), tagged(split_list("extras"), ADDED))
+    rows = (_combinations(items if unkeyed is None else unkeyed).select(*COMBINATION, F.explode_outer(both).alias("_t"))
             .join(toppings, F.col("_t.id") == F.col("topping_id"), "left")
             .select(*COMBINATION, name_key("topping_name").alias("_k"),
-                    F.when(F.col("_t.tag") == 0, F.col("topping_name")).alias("_excluded"),
-                    F.when(F.col("_t.tag") == 1, F.col("topping_name")).alias("_added")))
+                    F.when(F.col("_t.tag") == REMOVED, F.col("topping_name")).alias("_excluded"),
+                    F.when(F.col("_t.tag") == ADDED, F.col("topping_name")).alias("_added")))
     lists = rows.groupBy(*COMBINATION).agg(
         ordered_concat("_excluded", "_k").alias("_x"), ordered_concat("_added", "_k").alias("_e"))
     excl_prefix = "- Exclude " if single_blank else " - Exclude "
@@ -114,11 +112,13 @@ def item_toppings(items: DataFrame, recipes: DataFrame) -> DataFrame:
 def item_toppings_by_sets(items: DataFrame, recipes: DataFrame) -> DataFrame:
     """J41 as relations: (recipe rows of the items EXCEPT excluded) UNION ALL extras.
 
-    The same rows as ``item_toppings``, for tables that hold the toppings as rows to
-    begin with; it shuffles a row per topping, the array form none."""
-    base = items.join(recipe_toppings(recipes), "pizza_id", "left").select("order_item_id", "topping_id")
-    removed, added = (explode_list(items, c, "topping_id", keep=["order_item_id"]) for c in ("exclusions", "extras"))
-    return apply_changes(base, removed, added)
+    The same rows as ``item_toppings``, as set algebra over one row per topping: all three kinds
+    of rows come from one reading of the items and meet in one aggregate; the array form
+    shuffles none."""
+    base = F.coalesce(split_list("toppings"), F.array(F.lit(None).cast("int")))
+    kinds = F.concat(tagged(base, BASE), tagged(split_list("exclusions"), REMOVED), tagged(split_list("extras"), ADDED))
+    rows = items.join(recipes.select("pizza_id", "toppings"), "pizza_id", "left").select("order_item_id", F.explode(kinds).alias("_t"))
+    return apply_tagged(rows.select("order_item_id", F.col("_t.id").alias("topping_id"), F.col("_t.tag").alias("_tag")))
 
 
 def ingredient_lists(items: DataFrame, recipes: DataFrame, names: DataFrame,
@@ -160,3 +160,25 @@ def ingredient_usage(items: DataFrame, deliveries: DataFrame, recipes: DataFrame
               .groupBy("topping_id").agg(F.sum("_items").alias("_n")))
     return per_id.join(toppings, "topping_id").groupBy("topping_name").agg(
         F.sum("_n").alias("quantity_used"))
+
+
+def ingredient_lists_of(changes: DataFrame, items: DataFrame, names: DataFrame, toppings: DataFrame) -> DataFrame:
+    """J42 from a stored J41 (``changes``: order_item_id, topping_id): the same columns as ``ingredient_lists``.
+
+    Servings are counted per item and topping; an item's lists bound the group that becomes its text.
+    """
+    counted = changes.groupBy("order_item_id", "topping_id").agg(F.count(F.lit(1)).alias("_q")).join(toppings, "topping_id", "left")
+    label = F.when(F.col("_q") > 1, F.concat(F.col("_q").cast("string"), F.lit("x"), F.col("topping_name"))) \
+             .otherwise(F.col("topping_name"))
+    lists = counted.select("order_item_id", "topping_name", label.alias("_label"), name_key("topping_name").alias("_k")) \
+        .groupBy("order_item_id").agg(ordered_concat("_label", "_k", "topping_name").alias("_list"))
+    return items.join(lists, "order_item_id").join(names, "pizza_id").select(
+        *ITEM_COLUMNS, F.concat(F.col("pizza_name"), F.lit(": "), F.col("_list")).alias("ingredient_list"))
+
+
+def ingredient_usage_of(changes: DataFrame, items: DataFrame, deliveries: DataFrame, toppings: DataFrame) -> DataFrame:
+    """J43 from a stored J41: the same columns as ``ingredient_usage``."""
+    delivered = items.join(deliveries.filter(F.col("pickup_time").isNotNull()).select("order_id"), "order_id", "left_semi")
+    per_id = changes.join(delivered.select("order_item_id"), "order_item_id", "left_semi").groupBy("topping_id").agg(
+        F.count(F.lit(1)).alias("_n"))
+    return per_id.join(toppings, "topping_id").groupBy("topping_name").agg(F.sum("_n").alias("quantity_used"))

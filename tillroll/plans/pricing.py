@@ -14,21 +14,20 @@ from pyspark.sql import functions as F
 from ..functions.dates import seconds_between
 from ..functions.text import split_list
 from ..operators import check_ratings, price_of
-from ..sources.sinks import write_table
+from ..sources.sinks import publish_checked
 
 
-def _delivered_priced(items: DataFrame, deliveries: DataFrame, names: DataFrame,
-                      prices: dict, default) -> DataFrame:
+def _delivered(items: DataFrame, deliveries: DataFrame) -> DataFrame:
     d = deliveries.filter(F.col("pickup_time").isNotNull()).select("order_id")
-    it = items.join(d, "order_id", "left_semi").join(names, "pizza_id")
-    return it.withColumn("_price", price_of(F.col("pizza_name"), prices, default))
+    return items.join(d, "order_id", "left_semi")
 
 
 def revenue(items: DataFrame, deliveries: DataFrame, names: DataFrame,
             prices: dict, default=10) -> DataFrame:
-    """J44 -> revenue_total of delivered pizzas at fixed prices."""
-    return _delivered_priced(items, deliveries, names, prices, default).agg(
-        F.sum("_price").cast("double").alias("revenue_total"))
+    """J44 -> revenue_total of delivered pizzas at fixed prices.  Pizzas are counted per id before
+    the names, a row per id, join."""
+    per_pizza = _delivered(items, deliveries).groupBy("pizza_id").agg(F.count(F.lit(1)).alias("_n")).join(names, "pizza_id")
+    return per_pizza.agg(F.sum(price_of(F.col("pizza_name"), prices, default) * F.col("_n")).cast("double").alias("revenue_total"))
 
 
 def revenue_with_extras(items: DataFrame, deliveries: DataFrame, names: DataFrame,
@@ -39,7 +38,7 @@ def revenue_with_extras(items: DataFrame, deliveries: DataFrame, names: DataFram
     One pass: every extra is a row, and the pizza's price counts with its first row
     (a pizza without extras has one), so no per-pizza key is needed.
     """
-    priced = _delivered_priced(items, deliveries, names, prices, default)
+    priced = _delivered(items, deliveries).join(names, "pizza_id").withColumn("_price", price_of(F.col("pizza_name"), prices, default))
     rows = priced.select("_price", F.posexplode_outer(split_list("extras")).alias("_at", "_extra"))
     known = rows.join(toppings.select(F.col("topping_id").alias("_extra"), F.lit(extra_price).alias("_cost")), "_extra", "left")
     price = F.when(F.coalesce(F.col("_at"), F.lit(0)) == 0, F.col("_price"))
@@ -54,21 +53,26 @@ def ratings_check(ratings: DataFrame, deliveries: DataFrame, lo: int = 1, hi: in
 
 
 def save_ratings(ratings: DataFrame, deliveries: DataFrame, path: str, lo: int = 1, hi: int = 5) -> int:
-    """J46 (create the table) -> write ``ratings`` as Parquet at ``path`` after the
-    checks; raises if a rating is out of range or an order is rated twice.
+    """J46 (create the table) -> write ``ratings`` as Parquet at ``path`` if the checks
+    hold; raises, and leaves nothing, if a rating is out of range or an order is rated twice.
     Returns the number of ratings given to orders that were not delivered
     (kept, and reported, as the case's own ratings for cancelled orders are).
 
-    The checks are one aggregate over the check rows (a single small action).
+    ``ratings`` is evaluated once: its rows meet per order, the checks are observed while
+    the table is staged, and it is published by a rename (``publish_checked``).
     """
-    checks = check_ratings(ratings, deliveries, lo=lo, hi=hi)
-    r = checks.agg(F.count(F.when(F.col("rating_in_range") == "N", 1)).alias("bad_range"),
-                   F.count(F.when(F.col("unique_order") == "N", 1)).alias("duplicates"),
-                   F.count(F.when(F.col("delivered") == "N", 1)).alias("undelivered")).first()
-    if r.bad_range or r.duplicates:
-        raise ValueError(f"ratings rejected: {r.bad_range} out of [{lo}, {hi}], {r.duplicates} duplicated")
-    write_table(ratings, path)
-    return r.undelivered
+    n, off = F.count(F.lit(1)).alias("_n"), F.count(F.when(~F.coalesce(F.col("rating").between(lo, hi), F.lit(False)), 1)).alias("_off")
+    row = F.any_value(F.struct(*ratings.columns)).alias("_row")
+    delivered = deliveries.select("order_id", F.col("pickup_time").isNotNull().alias("_delivered"))
+    per_order = ratings.groupBy("order_id").agg(n, off, row).join(delivered, "order_id", "left").select("_row.*", "_n", "_off", "_delivered")
+
+    def accept(seen: dict) -> None:
+        if seen["off"] or seen["duplicates"]:
+            raise ValueError(f"ratings rejected: {seen['off'] or 0} out of [{lo}, {hi}], {seen['duplicates'] or 0} duplicated")
+
+    metrics = {"off": F.sum("_off"), "duplicates": F.sum(F.when(F.col("_n") > 1, F.col("_n"))),
+               "undelivered": F.sum(F.when(~F.coalesce(F.col("_delivered"), F.lit(False)), F.col("_n")))}
+    return publish_checked(per_order, path, metrics, accept, ratings.columns)["undelivered"] or 0
 
 
 def ratings_table(ratings: DataFrame, deliveries: DataFrame, path: str, lo: int = 1, hi: int = 5) -> DataFrame:

@@ -6,7 +6,8 @@ all customers ever seen (an uncorrelated scalar subquery, computed once),
 rounded half-up.  Per-customer histories are reduced by aggregation before any
 join, so no customer's rows are paired with each other (see
 ``tillroll.operators.cohort``).  Where a customer holds a plan more than once,
-transitions use each plan's first date.
+J58-J60 come in two forms: by each plan's first date (a customer counts once), and
+over all pairs of starts, as a self-join of the table counts them.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import days_between, month_start, period_index, period_label
-from ..operators import first_dates, journey, latest_as_of, moved_after, moved_between, share
+from ..operators import (first_dates, journey, journey_paths, latest_as_of, moved_after, moved_between, pair_moments,
+                         pair_periods, pairs_before, round_ratio, share)
 
 
 def _all_customers(subs: DataFrame) -> Column:
@@ -28,6 +30,11 @@ def plan_journey(subs: DataFrame, plans: DataFrame, customers: list[int] | None
     return journey(subs, plans, "customer_id", "plan_id", "start_date", "plan_name", customers)
 
 
+def plan_paths(subs: DataFrame, plans: DataFrame, sep: str = " > ") -> DataFrame:
+    """J49 as text -> customer_id, path ('trial > basic monthly > churn'), steps, for every customer."""
+    return journey_paths(subs, plans, "customer_id", "plan_id", "start_date", "plan_name", sep)
+
+
 def customer_count(subs: DataFrame) -> DataFrame:
     """J50 -> num_customers."""
     return subs.agg(F.countDistinct("customer_id").alias("num_customers"))
@@ -130,3 +137,25 @@ def downgrades(subs: DataFrame, start: str, end: str, from_plan: int = 2, to_pla
     before a ``to_plan`` start that lies in [start, end]."""
     moved = moved_between(subs, "customer_id", "plan_id", "start_date", from_plan, to_plan, start, end)
     return moved.agg(F.count("customer_id").alias("customer_downgrade_count"))
+
+
+def avg_days_over_pairs(subs: DataFrame, trial_plan: int = 0, annual_plan: int = 3, trial_days: int = 7) -> DataFrame:
+    """J58 over all pairs of a trial and an annual start of a customer -> avg_days_to_upgrade."""
+    m = pair_moments(subs, "customer_id", "plan_id", "start_date", trial_plan, annual_plan)
+    return m.select(round_ratio(F.col("days") - F.col("pairs") * trial_days, F.col("pairs"), 0).alias("avg_days_to_upgrade"))
+
+
+def periods_over_pairs(subs: DataFrame, width: int = 30, trial_plan: int = 0, annual_plan: int = 3,
+                       trial_days: int = 7) -> DataFrame:
+    """J59 over all such pairs -> period_group, customers_count (pairs), avg_days_to_upgrade."""
+    p = pair_periods(subs, "customer_id", "plan_id", "start_date", trial_plan, annual_plan, trial_days, width)
+    return p.orderBy("period").select(period_label("period", width).alias("period_group"),
+                                      F.col("pairs").cast("bigint").alias("customers_count"),
+                                      round_ratio(F.col("days"), F.col("pairs"), 0).alias("avg_days_to_upgrade"))
+
+
+def downgrade_pairs(subs: DataFrame, start: str, end: str, from_plan: int = 2, to_plan: int = 1) -> DataFrame:
+    """J60 over all pairs -> customer_downgrade_count: pairs of a ``from_plan`` start and a later
+    ``to_plan`` start of one customer, the later one in [start, end]."""
+    return pairs_before(subs, "customer_id", "plan_id", "start_date", from_plan, to_plan, start, end).select(
+        F.col("pairs").alias("customer_downgrade_count"))
