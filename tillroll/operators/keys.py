@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # Ranges per shuffle partition, the least and the largest number of ranges, sampled keys per range,
 # and the largest number of identical rows that are numbered as one piece.
-RANGES_PER_PARTITION, LEAST_RANGES, MOST_RANGES = 16, 1024, 32_768
+RANGES_PER_PARTITION, LEAST_RANGES, MOST_RANGES = 16, 128, 32_768
 SAMPLED, COPY_CHUNK = 16, 10_000
 
 
@@ -35,7 +35,9 @@ def _with_range(pieces: DataFrame, key: Column, ranges: int) -> DataFrame:
     steps = F.array(*[F.lit(1 << i) for i in reversed(range((2 * ranges).bit_length()))])
     at = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
         F.get(F.col("_s"), at + step - 1) <= F.col("_key"), at + step).otherwise(at))
-    return pieces.withColumn("_s", _splitters(pieces, key, ranges)).withColumn("_key", key).withColumn("_b", at).drop("_s", "_key")
+    # never NULL, and stated so: a filter on it would search again
+    found = F.coalesce(at, F.lit(0))
+    return pieces.withColumn("_s", _splitters(pieces, key, ranges)).withColumn("_key", key).withColumn("_b", found).drop("_s", "_key")
 
 
 def surrogate_key(df: DataFrame, order: Sequence[str], name: str, start: int = 1,
@@ -58,8 +60,8 @@ def surrogate_key(df: DataFrame, order: Sequence[str], name: str, start: int = 1
     shuffle partitions by default.  Rows equal on every ``order`` column but different elsewhere are
     numbered in the order of their other columns.  The types must be orderable (no maps).
     """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if ranges is None:
-        partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranges = min(MOST_RANGES, max(LEAST_RANGES, RANGES_PER_PARTITION * partitions))
     cols = df.columns
     sort_cols = list(order) + [c for c in cols if c not in order]
@@ -68,10 +70,11 @@ def surrogate_key(df: DataFrame, order: Sequence[str], name: str, start: int = 1
     pieces = copies.withColumn("_c", F.explode(F.sequence(F.lit(0).cast("bigint"), last))) \
         .withColumn("_w", F.least(F.lit(chunk).cast("bigint"), F.col("_n") - F.col("_c") * chunk)).drop("_n")
     key = F.struct(*sort_cols, "_c")
-    placed = _with_range(pieces, key, ranges)
+    placed = _with_range(pieces, key, ranges).repartition(partitions, "_b")
     before = Window.partitionBy("_b").orderBy(*sort_cols, "_c").rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("_before", F.coalesce(F.sum("_w").over(before), F.lit(0)))
-    sizes = placed.groupBy("_b").agg(F.sum("_w").alias("_size"))
+    # the check over all columns keeps them in this branch, so that both branches read one exchange
+    sizes = placed.groupBy("_b").agg(F.sum("_w").alias("_size"), F.max(F.hash(*cols, "_c")).alias("_check")).filter("_check IS NOT NULL")
     offsets = sizes.select(
         "_b", F.coalesce(F.sum("_size").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
                          F.lit(0)).alias("_off"))
