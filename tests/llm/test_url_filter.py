@@ -55,3 +55,16 @@ def test_filter_passes_every_listed_key_and_few_others(spark):
     hits = [r.key for r in U.possible(asked, listed).collect()]
     assert sum(x.startswith("in") for x in hits) == 2000
     assert sum(x.startswith("out") for x in hits) < 400
+
+
+def test_hosts_of_very_many_labels_cost_like_others(spark):
+    import time
+    long = "a." * 100_000 + "example.net"
+    rows = [(1, f"http://{long}/en/x"), (2, f"http://{long}/de/x"), (3, "http://" + "b." * 100_000 + "org/fr/"), (4, "http://example.net/en/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    rules = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr/", "allow"))
+    started = time.time()
+    got = {r.page_id: (r.rule, r.verdict, len(r.host)) for r in U.judge(pages, rules, pages.limit(0)).collect()}
+    assert time.time() - started < 60
+    assert got == {1: ("example.net/en/", "allow", len(long)), 2: ("net/", "block", len(long)),
+                   3: ("org/fr/", "allow", 200_003), 4: ("example.net/en/", "allow", 11)}

@@ -12,8 +12,12 @@
    every pair of chunks is compared.  A group of near copies that is larger than any window loses
    no link; counts leave the chunks, not pairs.
 
-The number of passes follows from the number of vectors (``passes``), so that a pair at the
-threshold meets in a window with the stated probability at any size.
+The number of passes follows from the crowding that is measured.  A pair at the threshold meets for
+certain if the two agree in more leading hashes than a vector shares with the one ``WINDOW`` places away;
+so every pass gives each vector a chance, and passes go on for the vectors whose chances do not yet add up
+to ``RECALL``.  Where vectors crowd so much that the passes still wanted would compare more pairs than
+there are, those left are compared block by block, which is exact.  Only a pair at the threshold has as little as
+``RECALL`` for its chance, and it is lost only if no chain of other links joins it.
 
 Defined cases: vectors that are null, empty or zero, or hold null or non-finite components, link
 with nothing; vectors of different length are never linked; a null id never names a component that
@@ -42,17 +46,40 @@ SHARED = 4096
 
 
 def passes(n: int, threshold: float = THRESHOLD, recall: float = RECALL, window: int = WINDOW) -> int:
-    """Passes after which a pair at the threshold has met in a window with the probability ``recall``.
+    """Passes of the first round: what spread-out vectors need, and a little more.
 
-    The two agree in one hash with probability ``1 - angle / pi``; to be near each other among n
-    vectors they must agree in about log2(n / window) hashes, and four more where vectors crowd.
+    Two vectors at the threshold agree in one hash with probability ``1 - angle / pi``; to be near each
+    other among n vectors they must agree in about log2(n / window) hashes.
     """
     if n <= window:
         return 1
-    agree = (1 - math.acos(threshold) / math.pi) ** (math.log2(n / window) + 4)
+    agree = agreement(threshold) ** (math.log2(n / window) + 2)
     return math.ceil(math.log(1 - recall) / math.log(1 - agree))
 
 
+def agreement(threshold: float) -> float:
+    """The probability that two vectors at the threshold are on one side of a random hyperplane."""
+    return 1 - math.acos(threshold) / math.pi
+
+
+def shared_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Leading hashes that two keys share."""
+    differ = a ^ b
+    for step in (1, 2, 4, 8, 16, 32):
+        differ |= differ >> step
+    return PLANES - np.bitwise_count(differ).astype(np.int64)
+
+
+def chances(keys: np.ndarray, threshold: float, window: int) -> np.ndarray:
+    """For keys in order, minus the logarithm of the probability that a pair at the threshold is missed in this pass."""
+    ahead = np.full(len(keys), -1)
+    if len(keys) > window:
+        ahead[:-window] = shared_hashes(keys[:-window], keys[window:])
+    behind = np.concatenate([np.full(min(window, len(keys)), -1), ahead[:-window]])
+    agree = agreement(threshold) ** (np.maximum(ahead, behind) + 1)
+    return -np.log1p(-np.minimum(agree, 1 - 1e-12))
+
+
 def unit_rows(vectors: pd.Series) -> np.ndarray:
     """Vectors of one length as rows of length 1, in double precision."""
     x = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
@@ -80,16 +107,31 @@ def projections(vectors: DataFrame, n_passes: int, seed: int) -> DataFrame:
 
 
 def ranked(keys: DataFrame, n: int) -> DataFrame:
-    """node, pass and rank (from 0) in the order of each pass; every pass has n nodes."""
+    """node, pass, rank (from 0) in the order of each pass, and key; every pass has n nodes."""
     ordered = (keys.repartitionByRange("pass", "key", "node").sortWithinPartitions("pass", "key", "node")
-               .select("node", "pass", F.spark_partition_id().alias("part"),
+               .select("node", "pass", "key", F.spark_partition_id().alias("part"),
                        F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")))
     ordered = cut(ordered)
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # over a row per partition
     starts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(
         "part", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")).alias("start"))
     return ordered.join(starts, "part").select(
-        "node", "pass", (F.col("start") + F.col("at") - F.col("pass") * F.lit(n)).alias("rank"))
+        "node", "pass", (F.col("start") + F.col("at") - F.col("pass") * F.lit(n)).alias("rank"), "key")
+
+
+def united(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Each row's label, the first row of its component, after the links (i, j)."""
+    i, j = label[i], label[j]
+    differ = i != j
+    i, j = i[differ], j[differ]
+    while len(i):
+        was = label.copy()
+        np.minimum.at(label, j, label[i])
+        np.minimum.at(label, i, label[j])
+        label = label[label]
+        if (label == was).all():
+            break
+    return label
 
 
 def forest(vectors: np.ndarray, threshold: float, window: int, stretch: int) -> np.ndarray:
@@ -104,34 +146,86 @@ def forest(vectors: np.ndarray, threshold: float, window: int, stretch: int) ->
             ends.append((i, j))
     if not ends:
         return label
-    i, j = (np.concatenate(x) for x in zip(*ends))
-    while True:
-        was = label.copy()
-        np.minimum.at(label, j, label[i])
-        np.minimum.at(label, i, label[j])
-        label = label[label]
-        if (label == was).all():
-            return label
+    return united(label, *(np.concatenate(x) for x in zip(*ends)))
 
 
 def neighbours(placed: DataFrame, threshold: float, window: int, stretch: int) -> DataFrame:
-    """Links (u, v): a forest of the verified links of every stretch of every pass."""
+    """Links (u, v): a forest of the verified links of every stretch of every pass; and u and its chance in each pass."""
     def work(batch: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        batch = batch.sort_values("rank")
+        ranks = batch["rank"].to_numpy()
+        own = ranks // stretch == batch["stretch"].iloc[0]
+        met = chances(batch["key"].to_numpy(), threshold, window)
+        out = [pd.DataFrame({"u": batch["node"].to_numpy()[own], "v": None, "chance": met[own]})]
         for _, part in batch.groupby(batch["vec"].map(len)):
-            part = part.sort_values("rank")
             nodes = part["node"].to_numpy()
             first = forest(unit_rows(part["vec"]), threshold, window, stretch)
             linked = first != np.arange(len(nodes))
-            out.append(pd.DataFrame({"u": nodes[linked], "v": nodes[first[linked]]}))
-        return pd.concat(out)
+            out.append(pd.DataFrame({"u": nodes[linked], "v": pd.Series(nodes[first[linked]], dtype="Int64"), "chance": None}))
+        return pd.concat([x.astype({"u": "int64", "v": "Int64", "chance": "float64"}) for x in out])
 
     # a stretch, and the first window of the next one; in front of a pass there is nothing
     own = F.col("place.rank").cast("long")
     stretches = F.array_distinct(F.array(F.floor(own / stretch), F.greatest(F.lit(0).cast("long"), F.floor((own - window) / stretch))))
     rows = placed.select("node", "vec", F.explode("places").alias("place")).select(
-        "node", "vec", F.col("place.pass").alias("pass"), own.alias("rank"), F.explode(stretches).alias("stretch"))
-    return rows.groupBy("pass", "stretch").applyInPandas(work, "u long, v long")
+        "node", "vec", F.col("place.pass").alias("pass"), own.alias("rank"), F.col("place.key").alias("key"),
+        F.explode(stretches).alias("stretch"))
+    return rows.groupBy("pass", "stretch").applyInPandas(work, "u long, v long, chance double")
+
+
+def in_blocks(vectors: DataFrame, n: int, threshold: float, block: int) -> DataFrame:
+    """Links (u, v): forests of all links between the vectors, which are compared block by block."""
+    def work(batch: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        lo, hi = batch["lo"].iloc[0], batch["hi"].iloc[0]
+        for _, part in batch.groupby(batch["vec"].map(len)):
+            x, nodes, side = unit_rows(part["vec"]), part["node"].to_numpy(), part["side"].to_numpy()
+            rows, columns = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
+            label = np.arange(len(x))
+            for at in range(0, len(rows), 256):
+                some = rows[at:at + 256]
+                i, j = np.nonzero(x[some] @ x[columns].T >= threshold)
+                label = united(label, some[i], columns[j])
+            linked = label != np.arange(len(x))
+            out.append(pd.DataFrame({"u": nodes[linked], "v": nodes[label[linked]]}))
+        return pd.concat(out)
+
+    blocks = -(-n // block)
+    dealt = vectors.withColumn("side", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int"))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns(
+        {"lo": F.least("side", "other"), "hi": F.greatest("side", "other")})
+    return pairs.groupBy("lo", "hi").applyInPandas(work, "u long, v long")
+
+
+def verified_links(vectors: DataFrame, n: int, threshold: float, recall: float, window: int, stretch: int, seed: int) -> DataFrame:
+    """Links (u, v) of all passes: enough of them for every vector, or blocks for those that would need too many."""
+    wanted = -math.log(1 - recall)
+    now, n_now, more, links, had = vectors, n, passes(n, threshold, recall, window), [], None
+    made = 0
+    while True:
+        places = ranked(projections(now, more, seed + made), n_now)
+        places = places.groupBy("node").agg(F.collect_list(F.struct("pass", "rank", "key")).alias("places"))  # one per pass
+        found = cut(neighbours(now.join(places, "node"), threshold, window, stretch))
+        made += more
+        links.append(found.where("v IS NOT NULL").select("u", "v"))
+        if n_now <= window:
+            break  # one window held them all
+        chance = found.where("v IS NULL").select(F.col("u").alias("node"), "chance")
+        chance = (chance if had is None else chance.unionByName(had)).groupBy("node").agg(F.sum("chance").alias("chance"))
+        had = cut(chance.where(F.col("chance") < wanted))
+        n_now, worst = had.agg(F.count(F.lit(1)), F.min("chance")).first()
+        if not n_now:
+            break
+        now = cut(vectors.join(had.select("node"), "node", "left_semi"))
+        more = math.ceil(made * (wanted - worst) / max(worst, 1e-9))
+        if more * 2 * window >= n_now / 2:
+            links.append(in_blocks(now, n_now, threshold, 4 * window))
+            break
+        more = min(more, 2 * made)  # then measure again
+    out = links[0]
+    for x in links[1:]:
+        out = out.unionByName(x)
+    return out
 
 
 def counted(members: DataFrame, threshold: float, chunk: int, groups: int) -> DataFrame:
@@ -174,9 +268,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, recall: float =
     vectors = cut(facts.select("_row", "vec").join(classes.select(F.col("node").alias("_row")), "_row", "left_semi")
                   .withColumnRenamed("_row", "node"))
     n = classes.count()
-    places = ranked(projections(vectors, passes(n, threshold, recall, window), seed), n)
-    places = places.groupBy("node").agg(F.collect_list(F.struct("pass", "rank")).alias("places"))  # one per pass
-    links = neighbours(vectors.join(places, "node"), threshold, window, stretch)
+    links = verified_links(vectors, n, threshold, recall, window, stretch, seed)
     roots = cut(components(links))
     linked = counted(classes.select("node", "n").join(roots, "node").join(vectors, "node"), threshold, CHUNK,
                      max(1, n // SHARED))

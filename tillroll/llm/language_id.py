@@ -6,8 +6,9 @@ is the saving against the runner-up, from 0 to 1; narrow margins are rejected.
 
 * Sample: ``SAMPLE_DOCS`` distinct texts per language at most (those with the smallest hash), however
   often they are repeated, ``EXCERPT`` code points of each.  The first of them yield ``DICTIONARY`` bytes of dictionary and
-  ``CONTEXTS`` contexts of ``CONTEXT`` bytes.  These bounds are parameters of the fit alone: every
-  prediction reads the whole text.
+  ``CONTEXTS`` contexts of ``CONTEXT`` bytes: 72 KB, which about 49 full excerpts fill.  Of more than
+  ``MOST_LANGS`` languages, the rarest are not learned and never answered.  These bounds are parameters of
+  the fit alone: every prediction reads the whole text.
 * A text of over ``BLOCK`` bytes is encoded in blocks, so the dictionary is at work everywhere.
 * A text of up to ``SHORT`` bytes is too small for zstandard to shorten.  It is appended to each
   context, and the growth of the encodings is summed.
@@ -20,7 +21,6 @@ no runner-up and the score is 1; equal texts get equal answers; other columns ar
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,13 +34,12 @@ from tillroll.llm.support import OWN, cut, small_batches
 SAMPLE_DOCS, EXCERPT = 300, 1500
 DICTIONARY, CONTEXTS, CONTEXT = 64 * 1024, 8, 1024
 BLOCK, SHORT = 32 * 1024, 256
-#: Languages up to which their counts are broadcast; beyond, a shuffle joins them.
-BROADCAST_LANGS = 10_000
+#: Languages that are learned: those with most labelled texts.  With the bytes above, the samples have 29 MB at most.
+MOST_LANGS = 400
 #: Smaller savings than this against the runner-up are rejected.
 MARGIN = 0.002
 #: Greedy matching from four bytes on: as good as the slower levels on prose, and twice as fast.
 SEARCH = dict(window_log=17, chain_log=15, hash_log=15, search_log=4, min_match=4, strategy=zstandard.STRATEGY_GREEDY)
-LETTER = re.compile(r"[^\W\d_]")
 ANSWER, ANSWER_COL = "lang_pred string, score double, rejected boolean", f"{OWN}answer"
 
 
@@ -65,8 +64,13 @@ class Encoder:
         return sum(len(self.encode(text[i:i + BLOCK])) for i in range(0, len(text), BLOCK))
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter (Unicode's L categories; number signs such as a Roman numeral sign are none)."""
+    return any(map(str.isalpha, text))
+
+
 def answer(text: str | None, encoders: dict[str, Encoder], margin: float) -> tuple[str, float, bool]:
-    if text is None or not encoders or not LETTER.search(text):
+    if text is None or not encoders or not has_letter(text):
         return "und", 0.0, True
     if len(encoders) == 1:
         return next(iter(encoders)), 1.0, False
@@ -81,10 +85,8 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
     """(language, sample), the most frequent language first; bounded by the parameters above."""
     known = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).where(
         F.col("lang").isNotNull() & F.col("t").rlike(r"\p{L}"))
-    counts = cut(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"),
-                                           F.approx_count_distinct(F.xxhash64("t")).alias("texts")))
-    if counts.count() <= BROADCAST_LANGS:
-        counts = F.broadcast(counts)
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64("t")).alias("texts"))
+    counts = F.broadcast(cut(counts.orderBy(F.desc("n"), "lang").limit(MOST_LANGS)))
     # thin first: only about four times the wanted texts of a language are ranked; copies have one mark, so
     # distinct texts are counted (an estimate does: the smallest marks pass, whatever its few percent)
     mark = F.crc32(F.concat_ws("/", "lang", "t")).cast("double") / F.lit(float(1 << 32))

@@ -2,7 +2,8 @@
 
 Listed entries are keys: ``host/path-prefix`` rules, which hold for a host with all its
 subdomains, and whole canonical URLs.  A URL asks for each key that could fit it: every suffix of
-its host with every path prefix of a length that some rule has, and its own canonical form.
+its host with as many labels as some rule has, with every path prefix of a length that some rule has,
+and its own canonical form.
 
 1. The filter is made in Spark: a key's hash picks one block of 256 bits and eight bits in it; the
    bits of a block are or-ed in a partial aggregate.  One key touches one block.
@@ -18,8 +19,9 @@ Canonical form: host in lower case without port, path without a trailing slash (
 fragment.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, no hit, and the
-default verdict; URLs are judged once per distinct (id, url), so repeated rows get equal answers; an
-empty table gives an empty result; an empty list hits nothing; other columns are ignored.
+default verdict; repeated rows are judged row by row and get equal answers; URLs of any length, with
+any number of labels, are judged whole; an empty table gives an empty result; an empty list hits nothing;
+other columns, of whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -78,11 +80,10 @@ def url_table(urls: DataFrame, url_col: str = "url", verdict: str = "block") ->
                        ).where(F.col("key") != "url ").distinct()
 
 
-def _asked(url_parts: DataFrame, path_lengths: Sequence[int]) -> DataFrame:
-    """An array ``keys`` of all keys that could fit the row's host, path and canonical form."""
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)),
-                           lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def _asked(url_parts: DataFrame, label_counts: Sequence[int], path_lengths: Sequence[int]) -> DataFrame:
+    """An array ``keys`` of all keys that could fit the row's host, path and canonical form: suffixes of
+    the host with as many labels as some rule has, so a host of very many labels costs no more than others."""
+    suffixes = F.array_distinct(F.array(*[F.substring_index("host", ".", -n) for n in label_counts])) if label_counts else F.array()
     prefixes = F.array_distinct(F.array(*[F.substring("path", 1, n) for n in path_lengths])) if path_lengths else F.array()
     rules = F.flatten(F.transform(suffixes, lambda host: F.transform(
         prefixes, lambda path: F.concat(F.lit("rule "), host, path))))
@@ -162,7 +163,8 @@ def judge(urls: DataFrame, rules: Sequence[tuple[str, str, str]], listed_urls: D
     listed = cut(rule_table(spark, rules).unionByName(url_table(listed_urls, url_col)))
     parts = numbered(slim).select(F.col(ROW).alias("_row"), "id", host_of(F.col("url")).alias("host"),
                                   path_of(F.col("url")).alias("path"), canonical(F.col("url")).alias("canon"))
-    asked = _asked(parts, lengths).select("_row", F.explode("keys").alias("key"))
+    labels = sorted({host.count(".") + 1 for host, _, _ in rules})
+    asked = _asked(parts, labels, lengths).select("_row", F.explode("keys").alias("key"))
     hits = cut(possible(asked, listed))
     best = confirmed(hits, listed).groupBy("_row").agg(
         F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), "rule", "verdict"))).alias("by_rule"),
