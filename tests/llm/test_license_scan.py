@@ -16,11 +16,10 @@ def brute(doc, text, phrases=S.PHRASES, templates=S.TEMPLATES, threshold=S.THRES
         places += at
         base |= {label} if at else set()
     best, met = 0.0, set(base)
-    for line in text.split("\n"):
-        own = set(WORD.findall(line))
-        for label, template in templates:
-            t = set(template.split())
-            n = len(t & own)
+    for label, template in templates:
+        size, t = len(template.split()), set(template.split())
+        for at in range(0, len(words), size):
+            n = len(t & set(words[at:at + 2 * size]))
             if n >= math.ceil(threshold * len(t)):
                 met.add(label)
                 best = max(best, n / len(t))
@@ -58,3 +57,45 @@ def test_no_python_runs(spark):
     docs = spark.createDataFrame([(1, "cc by nc")], "doc_id long, text string")
     plan = S.license_scan(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:"""
+BSD = """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ * 1. Redistributions of source code must retain the above copyright
+ *    notice, this list of conditions and the following disclaimer."""
+
+
+def test_wrapped_notices_and_scattered_words(spark):
+    filler = "some other words of no license at all "
+    scattered = "x " * 2000 + "licensed " + "y " * 2000 + "under " + "z " * 2000 + "cc " + "q " * 2000 + "by " + "r " * 2000 + "sa"
+    texts = [MIT, BSD, filler * 50 + MIT + filler * 50, "\n".join(MIT.split()), MIT[:200], BSD[:140], scattered, filler * 3000,
+             "licensed\nunder\ncc\nby\nsa", (filler + MIT + "\n") * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in S.license_scan(docs).collect()}
+    assert sorted(repr(tuple(r)) for r in got.values()) == sorted(repr(brute(i, t)) for i, t in enumerate(texts))
+    assert [got[i].labels for i in range(10)] == ["mit", "bsd", "mit", "mit", "mit", "bsd", "", "", "cc-by-sa", "mit"]
+
+
+def test_random_texts_of_template_words(spark):
+    import random
+    rng = random.Random(8)
+    words = sorted({w for _, t in S.TEMPLATES for w in t.split()}) + ["x", "y", "z"]
+    runs = [t.split() for _, t in S.TEMPLATES]
+    texts = []
+    for _ in range(60):
+        out = []
+        for _ in range(rng.randrange(1, 12)):
+            run = rng.choice(runs)
+            a = rng.randrange(len(run))
+            out += [w for w in run[a:a + rng.randrange(1, 60)] if rng.random() < 0.97] if rng.random() < .6 else rng.choices(words, k=rng.randrange(40))
+        texts.append(rng.choice([" ", "\n", ", "]).join(out))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    for threshold in (0.7, 0.9):
+        got = sorted(repr(tuple(r)) for r in S.license_scan(docs, threshold=threshold).collect())
+        assert got == sorted(repr(brute(i, t, threshold=threshold)) for i, t in enumerate(texts))

@@ -5,24 +5,27 @@ Words are runs of letters, digits and non-ASCII characters, A-Z in lower case.
 * Base: every place where a phrase's words stand consecutively, found by one pattern per phrase
   that consumes the first word only, so places may overlap.  The numbers of words before the first
   place and after the last one come from what the pattern leaves; no word becomes a row.
-* Method: a block (a line) meets a template if it holds at least ``THRESHOLD`` of the template's
-  distinct words.  All template words are ordered by the number of blocks that hold them, rarest
-  first.  A block can only meet a template of size n, of which it must hold a words, if
+* Method: a block is a run of words, wherever lines end: for a template of L words, the runs of 2 L
+  words that start at every L-th word, so any L words in a row lie whole in a run.  A block meets
+  a template if it holds at least ``THRESHOLD`` of the template's distinct words.  All template words
+  are ordered by the number of texts that hold them, rarest first.  A block can only meet a
+  template of size n, of which it must hold a words, if
 
   - prefix: it holds one of the template's n - a + 1 rarest words;
   - length: it holds at least a template words;
   - position: after a common word at places i and j there are enough words left on both sides.
 
-  Blocks that pass all three are counted exactly.  The templates are a fixed list, so their index
-  is broadcast; the blocks are never shuffled, only a row per labelled document is.
+  Only runs around a prefix word become blocks; those that pass all three filters are counted exactly.
+  The templates are a fixed list, so their index is broadcast; the texts are never shuffled, only a
+  row per labelled document is.
 
-Only built-in functions are used, and each text is read and split once: words that no template has
-cannot add to an overlap, so a block is reduced to its template words at once, and what is left is
-written down for the counts and the join.
+Only built-in functions are used.  Each text is read twice: once for the base and to count the template
+words, and, once their order is known, for the blocks.
 
-Defined cases: null and empty texts have no words and no labels, with null places and score 0; a
-very long line is one block; repeated rows are answered one by one; an empty table gives an empty
-result; other columns are ignored.
+Defined cases: null and empty texts have no words and no labels, with null places and score 0; texts
+of any length are scanned whole, and words scattered over more than two lengths of a template do not meet
+it; repeated rows are answered one by one; an empty table gives an empty result; other columns, of
+whatever name, are ignored.
 """
 
 from __future__ import annotations
@@ -33,14 +36,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillroll.llm.support import cut, text_of, with_row
+from tillroll.llm.support import ROW, cut, numbered, text_of
 
 #: Characters outside words, before A-Z are lowered.
 OUTSIDE = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 THRESHOLD = 0.9
 #: Phrases with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Lines by which texts state a license, with the label of each.
+#: Sentences and notices by which texts state a license, with the label of each.
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
@@ -49,6 +52,17 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under cc by sa"),
     ("gpl", "this work is licensed under the gnu general public license version"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+            "documentation files the software to deal in the software without restriction including without limitation the "
+            "rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit "
+            "persons to whom the software is furnished to do so subject to the following conditions"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+            "following conditions are met redistributions of source code must retain the above copyright notice this list of "
+            "conditions and the following disclaimer"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance "
+                 "with the license you may obtain a copy of the license at"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
+            "public license as published by the free software foundation"),
 )
 
 
@@ -88,46 +102,71 @@ def _split(phrases: Mapping[str, str]) -> dict[str, Column]:
     return {f"_p{i}": around(phrase) for i, phrase in enumerate(phrases)}
 
 
-def facts_of(rows: DataFrame, phrases: Mapping[str, str], vocabulary: Sequence[str], fewest: int) -> DataFrame:
-    """What one reading of each text gives: _row, id, n_words, the base columns, ``hits`` (the numbers of the
-    template words of every block, distinct in a block) and ``blocks`` (those with at least ``fewest``)."""
+def words_of(text: Column) -> Column:
+    """All words, in order; ``text`` is in lower case."""
+    return F.filter(F.split(text, f"[{OUTSIDE}]+"), lambda w: w != "")
+
+
+def lowered(rows: DataFrame) -> DataFrame:
+    """``rows`` with small, ``t`` in lower case."""
     # the Kelvin sign is the only other character whose small letter is in a-z
-    small = F.lower(F.replace(F.col("t"), F.lit("\u212a"), F.lit("\ufffd")))
-    number = F.create_map(*[F.lit(x) for pair in zip(vocabulary, range(len(vocabulary))) for x in pair])
-    lines = F.transform(F.split("small", "\n"), lambda line: F.split(line, f"[{OUTSIDE}]+"))
-    known = F.transform("lines", lambda words: F.transform(
-        F.array_distinct(F.filter(words, lambda w: w.isin(list(vocabulary)))), lambda w: F.element_at(number, w)))
-    count = F.aggregate("lines", F.lit(0), lambda n, words: n + F.size(F.filter(words, lambda w: w != "")))
-    numbered = F.transform("known", lambda own, i: F.struct(i.alias("block"), F.array_sort(own).alias("own")))
-    read = rows.withColumn("small", small).withColumns({"lines": lines} | _split(phrases))
-    read = read.withColumns({"n_words": count.cast("long"), "known": known})
+    return rows.withColumn("small", F.lower(F.replace(F.col("t"), F.lit("\u212a"), F.lit("\ufffd"))))
+
+
+def facts_of(rows: DataFrame, phrases: Mapping[str, str], vocabulary: Sequence[str]) -> DataFrame:
+    """What one reading of each text gives: _row, id, n_words, the base columns, and ``hits`` (its template words)."""
+    read = lowered(rows).withColumns({"words": words_of(F.col("small"))} | _split(phrases))
+    read = read.withColumn("n_words", F.size("words").cast("long"))
     return read.select("_row", "id", "n_words", *[x.alias(name) for name, x in _base(phrases).items()],
-                       F.flatten("known").alias("hits"),
-                       F.filter(numbered, lambda x: F.size(x["own"]) >= fewest).alias("blocks"))
+                       F.array_intersect("words", F.array(*[F.lit(w) for w in vocabulary])).alias("hits"))
+
 
+def blocks_of(rows: DataFrame, prefixes: Mapping[str, Sequence[int]], rank: Mapping[str, int]) -> DataFrame:
+    """_row, length, run and own (the ranks of its template words, in order) of the runs around prefix words.
 
-def matches(facts: DataFrame, sets: Sequence[tuple[str, frozenset[str]]], vocabulary: Sequence[str],
+    ``prefixes``: the lengths of the templates that have the word as a prefix word.
+    """
+    lengths_of = F.create_map(*[x for w, sizes in prefixes.items() for x in (F.lit(w), F.array(*[F.lit(n) for n in sizes]))])
+    rank_of = F.create_map(*[F.lit(x) for w, r in rank.items() for x in (w, r)])
+    seeds = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("at"), F.element_at(lengths_of, w).alias("lengths"))),
+                     lambda x: x["lengths"].isNotNull())
+    runs = F.flatten(F.transform("seeds", lambda x: F.flatten(F.transform(x["lengths"], lambda n: F.filter(F.array(
+        F.struct(n.alias("length"), F.call_function("div", x["at"], n).alias("run")),
+        F.struct(n.alias("length"), (F.call_function("div", x["at"], n) - 1).alias("run"))), lambda r: r["run"] >= 0)))))
+    held = lowered(rows).select("_row", words_of(F.col("small")).alias("words")).where(
+        F.arrays_overlap("words", F.array(*[F.lit(w) for w in prefixes])))
+    found = held.withColumn("seeds", seeds).withColumn("runs", F.array_distinct(runs))
+    per_run = F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), r["run"].alias("run"),
+        F.slice("words", r["run"].cast("int") * r["length"] + 1, r["length"] * 2).alias("part")))
+    parts = found.select("_row", F.explode(per_run).alias("x")).select("_row", "x.length", "x.run", "x.part")
+    own = F.array_sort(F.array_distinct(F.filter(F.transform("part", lambda w: F.element_at(rank_of, w)), lambda x: x.isNotNull())))
+    return parts.select("_row", "length", "run", own.alias("own"))
+
+
+def matches(rows: DataFrame, facts: DataFrame, sets: Sequence[tuple[str, int, frozenset[str]]], vocabulary: Sequence[str],
             threshold: float) -> DataFrame:
-    """_row, block, label and containment of every block that meets a template."""
+    """_row, label and containment of every block that meets a template."""
     spark = facts.sparkSession
     counts = facts.select(F.explode("hits").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     often = {row["word"]: row["n"] for row in counts.collect()}  # a row per template word at most
-    rarest = sorted(range(len(vocabulary)), key=lambda i: (often.get(i, 0), vocabulary[i]))
-    rank = {vocabulary[i]: at for at, i in enumerate(rarest)}
-    index = []
-    for number, (label, words) in enumerate(sets):
+    rank = {w: at for at, w in enumerate(sorted(vocabulary, key=lambda w: (often.get(w, 0), w)))}
+    index, prefixes = [], {}
+    for number, (label, length, words) in enumerate(sets):
         need = needed(len(words), threshold)
-        ranks = sorted(rank[w] for w in words)
-        index += [(r, number, label, i, len(ranks), need, ranks) for i, r in enumerate(ranks[:len(ranks) - need + 1])]
-    prefixes = spark.createDataFrame(index, "rank int, template int, label string, i int, n int, need int, ranks array<int>")
-    ranks_of = F.array(*[F.lit(rank[w]) for w in vocabulary])
-    ordered = facts.select("_row", F.explode("blocks").alias("x")).select("_row", "x.block", F.array_sort(
-        F.transform("x.own", lambda w: F.element_at(ranks_of, w + 1))).alias("own"))
-    shared = ordered.select("_row", "block", "own", F.posexplode("own").alias("j", "rank")).join(F.broadcast(prefixes), "rank")
+        rarest = sorted(words, key=rank.__getitem__)
+        ranks = [rank[w] for w in rarest]
+        for i, w in enumerate(rarest[:len(words) - need + 1]):
+            index.append((ranks[i], length, number, label, i, len(words), need, ranks))
+            prefixes.setdefault(w, set()).add(length)
+    listed = spark.createDataFrame(index, "rank int, size int, template int, label string, i int, n int, need int, ranks array<int>")
+    blocks = blocks_of(rows, {w: sorted(x) for w, x in prefixes.items()}, rank)
+    shared = blocks.select("_row", "length", "run", "own", F.posexplode("own").alias("j", "rank")).withColumnRenamed("rank", "r").join(
+        F.broadcast(listed), (F.col("r") == F.col("rank")) & (F.col("length") == F.col("size")))
     left = F.least(F.col("n") - F.col("i"), F.size("own") - F.col("j"))
     found = shared.where((F.size("own") >= F.col("need")) & (left >= F.col("need"))).withColumn(
         "overlap", F.size(F.array_intersect("own", "ranks"))).where(F.col("overlap") >= F.col("need"))
-    return found.select("_row", "block", "label", (F.col("overlap") / F.col("n")).alias("containment")).distinct()
+    return found.select("_row", "label", (F.col("overlap") / F.col("n")).alias("containment")).distinct()
 
 
 def needed(size: int, threshold: float) -> int:
@@ -141,12 +180,11 @@ def license_scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, template
 
     score: the largest containment met; a base phrase counts 1.
     """
-    sets = [(label, frozenset(text.split())) for label, text in templates]
-    vocabulary = sorted(frozenset().union(*[words for _, words in sets]))
-    fewest = min(needed(len(words), threshold) for _, words in sets)
-    rows = with_row(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")))
-    facts = cut(facts_of(rows, phrases, vocabulary, fewest))
-    met = matches(facts, sets, vocabulary, threshold).groupBy("_row").agg(
+    sets = [(label, len(text.split()), frozenset(text.split())) for label, text in templates]
+    vocabulary = sorted(frozenset().union(*[words for *_, words in sets]))
+    rows = numbered(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t"))).withColumnRenamed(ROW, "_row")
+    facts = cut(facts_of(rows, phrases, vocabulary))
+    met = matches(rows, facts, sets, vocabulary, threshold).groupBy("_row").agg(
         F.collect_set("label").alias("met"), F.max("containment").alias("most"))
     all_labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("met", F.array().cast("array<string>")))))
     return facts.join(met, "_row", "left").select(
