@@ -17,8 +17,9 @@
    bars alone: others are anchors.
 
 Inside the article, text elements (paragraphs, headings, list items, quotes, cells) are content even if
-they recur, except at its end: a block among the last ``EDGE`` that follows at least ``needed`` different
-blocks in the host's pages is a notice, and goes while it is the last.
+they recur, except at its end: a block among the last ``EDGE`` that follows as many different blocks as
+``END_SHARE`` of the host's or section's articles (``END_PAGES`` at least) is a notice, and goes while it is
+the last.  A line that fewer articles end with is their own.
 
 Blocks end where a block element starts or ends and at ``br``; white space inside a block becomes
 one space, character references are decoded, and empty blocks go.
@@ -44,7 +45,7 @@ from tillroll.llm.url_filter import host_of, path_of
 
 MIN_PAGES, ROOT = 5, 1.5
 #: Share of the visible text that makes ``article`` elements the article, and blocks at its end that can be notices.
-LEAST, EDGE = 0.25, 3
+LEAST, EDGE, END_SHARE, END_PAGES = 0.25, 3, 0.5, 20
 #: Entries of all lists up to which they are broadcast; a shuffle joins more.
 BROADCAST_TEMPLATES = 500_000
 
@@ -100,6 +101,11 @@ def marked(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def end_key(block: str) -> int:
+    """A block's number as one at the article's end: below -1, where subtrees' are not."""
+    return -2 - (xxhash.xxh3_64_intdigest(block) >> 2)
+
+
 class Frame:
     """An open element: what its hash covers so far, and where its blocks start.
 
@@ -160,9 +166,9 @@ class Reader:
         #: (key, the block before it, which tells pages apart)
         self.edges: list[tuple[int, int]] = []
         if self.whole and len(blocks) > 1:
-            keys = [xxhash.xxh3_64_intdigest("end\x00" + x) >> 1 for x in blocks[-EDGE - 1:]]
+            keys = list(map(end_key, blocks[-EDGE - 1:]))
             self.edges = sorted(set(zip(keys[1:], keys)))
-            while end > 1 and xxhash.xxh3_64_intdigest("end\x00" + blocks[end - 1]) >> 1 in self.templates:
+            while end > 1 and end_key(blocks[end - 1]) in self.templates:
                 end -= 1
         self.blocks = self.ahead + blocks[:end]
 
@@ -291,9 +297,10 @@ def section_of(url: Column) -> Column:
     return F.regexp_extract(path_of(url), "^/([^/]+)/", 1)
 
 
-def needed(n: Column) -> Column:
+def needed(subtree: Column, n: Column) -> Column:
     """Articles that must hold a template, of a host's or section's n."""
-    return F.greatest(F.lit(MIN_PAGES).cast("double"), F.lit(ROOT) * F.sqrt(n))
+    at_end = F.greatest(F.lit(END_PAGES).cast("double"), n * END_SHARE)
+    return F.when(subtree < -1, at_end).otherwise(F.greatest(F.lit(MIN_PAGES).cast("double"), F.lit(ROOT) * F.sqrt(n)))
 
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -304,7 +311,7 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     for found, keys in ((of_host, ["host"]), (counts, ["host", "section"])):
         totals = found.where("subtree = -1").select(*keys, F.col("n").alias("articles"))
         often.append(found.where((F.col("subtree") != -1) & (F.col("n") >= MIN_PAGES)).join(totals, keys)
-                     .where(F.col("n") >= needed(F.col("articles"))).select(*keys, "subtree"))
+                     .where(F.col("n") >= needed(F.col("subtree"), F.col("articles"))).select(*keys, "subtree"))
     sections = counts.where("subtree = -1").select("host", "section")
     both = often[0].join(sections, "host").select("host", "section", "subtree").unionByName(often[1])
     return both.groupBy("host", "section").agg(F.collect_set("subtree").alias("templates"))
