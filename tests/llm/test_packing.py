@@ -76,3 +76,35 @@ def test_differencing_is_balanced_and_complete():
     sums = np.bincount(differencing([8, 7, 6, 5, 4], 2), weights=[8, 7, 6, 5, 4])
     assert sorted(sums) == [14, 16]
     assert differencing([], 3).tolist() == [] and windows_of([2000, 2000, 90, 7]).max() == 2
+
+
+def plain_differencing(lengths, windows):
+    """The textbook form: partitions as lists of (sum, items), merged by the largest spread."""
+    parts = [(sorted([(n, [i])] + [(0, [])] * (windows - 1), key=lambda x: -x[0]), i) for i, n in enumerate(lengths)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-(p[0][0][0] - p[0][-1][0]), p[1]))
+        (a, i), (b, j), *rest = parts
+        merged = [(x + y, left + right) for (x, left), (y, right) in zip(a, reversed(b))]
+        parts = [(sorted(merged, key=lambda x: -x[0]), min(i, j)), *rest]
+    return sorted(n for n, _ in parts[0][0]), sorted(i for _, items in parts[0][0] for i in items)
+
+
+def test_differencing_agrees_with_a_plain_one():
+    rng = random.Random(12)
+    for _ in range(60):
+        lengths, windows = [rng.randrange(1, 60) for _ in range(rng.randrange(1, 40))], rng.randrange(1, 9)
+        sums, items = plain_differencing(lengths, windows)
+        found = differencing(lengths, windows)
+        assert items == list(range(len(lengths)))
+        assert sorted(np.bincount(found, weights=lengths, minlength=windows).astype(int).tolist()) == sums
+
+
+def test_another_tokenizer_gets_its_own_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = Tokenizer.from_file(path)
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").repartition(2)
+    by_doc = {}
+    for r in pack(docs, path).collect():
+        by_doc.setdefault(r.doc_id, []).append((r.start, r.ids))
+    for i, text in enumerate(TEXTS):
+        assert np.frombuffer(b"".join(x for _, x in sorted(by_doc[i])), "<u4").tolist() == [*direct(other, text), 1]

@@ -1,8 +1,7 @@
 import numpy as np
-from pyspark.sql import functions as F
 
 from tillroll.llm import queries
-from tillroll.llm.sharding import jump, jump_shard, shard_rows, slots
+from tillroll.llm.sharding import jump, shard_rows
 
 
 def plain_jump(key, n):
@@ -30,16 +29,17 @@ def test_one_more_shard_takes_rows_only_into_itself(spark):
     assert len(sizes) == 8 and max(sizes) < 1.15 * min(sizes)
 
 
-def test_slots_are_gapless_with_repeats_nulls_and_ranges(spark):
-    rows = [(i % 50, "x") for i in range(500)] + [(7, "y")] * 300 + [(None, None)] * 3
-    df = spark.createDataFrame(rows, "doc_id long, slotted string").withColumn("shard", jump_shard(F.col("doc_id"), 4))
-    out = slots(df, "doc_id", "shard", 5).collect()
-    assert len(out) == len(rows)
-    for shard in range(4):
-        mine = sorted(r.slot for r in out if r.shard == shard)
-        assert mine == list(range(len(mine)))
-    assert {r.shard for r in out if r.doc_id is None} == {plain_jump(0, 4)}
+def test_empty_table_and_long_texts(spark):
     assert shard_rows(spark.createDataFrame([], "doc_id long, size long")).count() == 0
+    texts = ["x" * (1 << 20) if i % 10 == 0 else "short" for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = shard_rows(docs, shards=2, bytes_per_range=1 << 20)
+    rows = out.collect()
+    assert sorted((r.doc_id, len(r.text)) for r in rows) == [(i, len(t)) for i, t in enumerate(texts)]
+    for shard in (0, 1):
+        mine = [r.slot for r in rows if r.shard == shard]
+        assert sorted(mine) == list(range(len(mine)))
+    assert {r.shard for r in shard_rows(spark.createDataFrame([(None, "a")], "doc_id long, text string"), shards=4).collect()} == {plain_jump(0, 4)}
 
 
 def test_whole_documents_are_placed_with_hot_keys(spark):

@@ -14,7 +14,8 @@ then the first row (rows that agree in both are told apart by their place in the
 
 Defined cases: a null text counts as empty, and all empty or blank texts are equal; a null id
 loses against any other id of the same length and is a row of its own like any other; repeated
-rows are one group, of which one row stays; an empty table gives an empty result; columns other
+rows are one group, of which one row stays; texts of any length are compared whole, by digest; an empty
+table gives an empty result; columns other
 than id and text are ignored by ``exact_dedup`` and passed on by ``drop_exact_copies``.
 """
 

@@ -26,7 +26,8 @@ one space, character references are decoded, and empty blocks go.
 
 Defined cases: null or empty html gives an empty text; a null url counts as a host of its own;
 unclosed and stray tags are tolerated as browsers do; repeated rows are answered one by one; an
-empty table gives an empty result; other columns are passed on.
+empty table gives an empty result; pages of any length and depth are read whole; columns named text or
+n_chars give way to the new ones, other columns are passed on.
 """
 
 from __future__ import annotations

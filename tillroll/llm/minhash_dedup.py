@@ -22,7 +22,8 @@ member comes from a partial aggregate, and the joins back are ones whose skew Sp
 Defined cases: null and blank texts have an empty set, link with nothing and stay; a text with
 fewer words than a shingle is one shingle; a null id never names a component that has another id;
 repeated rows are exact copies (all rows with the component's id are ``kept``;
-``drop_near_copies`` keeps one row); an empty table gives an empty result.
+``drop_near_copies`` keeps one row); texts of any length are read whole; an empty table gives an empty
+result; other columns, of whatever name, are ignored, and passed on by ``drop_near_copies``.
 """
 
 from __future__ import annotations

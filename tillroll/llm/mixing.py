@@ -14,7 +14,7 @@ shuffle whose skew Spark splits.
 Defined cases: null is a source of its own; a null text has size 1 like an empty one (size: code
 points plus 1, so no rate is infinite); equal ids get equal numbers of copies, each row its own;
 sources without a stated weight share what the stated ones leave, equally; an empty table gives
-an empty result; other columns are passed on.
+an empty result; texts of any length move whole; other columns, of whatever name, are passed on.
 """
 
 from __future__ import annotations

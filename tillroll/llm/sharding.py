@@ -6,15 +6,12 @@ one more shard, a row either keeps its shard or moves into the new one.
 ``jump_shard`` is a column function for any table.  ``shard_rows`` gives whole documents, laid out
 by shard and slot: each shard is cut into ranges by a hash of the row's number, the documents are
 shuffled once to their ranges, each range is numbered on its own, and the sums of the earlier ranges
-are added.  A key that repeats a million times is spread over its shard's ranges.
-
-``slots`` does the same for slim rows that are not whole documents: it numbers the rows of every shard
-without a gap: equal rows are counted first, the distinct ones are cut into ranges by a hash of
-the key, each range is numbered on its own, and the sums of the earlier ranges are added.  So no
-task holds a whole shard, and a key that repeats a million times is one row until the end.
+are added.  A key that repeats a million times is spread over its shard's ranges.  There are enough
+ranges that each holds about ``ROWS`` rows and ``BYTES`` of text at most.
 
 Defined cases: a null key goes where key 0 goes; equal keys share a shard; repeated rows get a
-slot each; an empty table gives an empty result.
+slot each; a text of any length is placed whole; an empty table gives an empty result; columns named as
+the new ones give way to them.
 """
 
 from __future__ import annotations
@@ -31,6 +28,9 @@ from tillroll.llm.support import OWN, ROW, numbered
 MULTIPLIER, STEPS = np.uint64(2862933555777941757), float(1 << 31)
 
 
+ROWS, BYTES = 20_000, 32 << 20
+
+
 def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     """The shard, from 0, of each unsigned 64-bit key."""
     state, place = keys.astype(np.uint64), np.zeros(len(keys), dtype=np.int64)
@@ -54,34 +54,17 @@ def jump_shard(key: Column, shards: int) -> Column:
     return place(F.coalesce(key.cast("long"), F.lit(0).cast("long")))
 
 
-def slots(df: DataFrame, key: str, shard: str, n_ranges: int) -> DataFrame:
-    """``df`` (slim rows) with ``slot`` (in place of a column with this name): a number from 0 without
-    gaps inside each shard."""
-    names = [c for c in df.columns if c != "slot"]
-    n, part, before, s, r, m, start, i, first = (f"{OWN}{x}" for x in (
-        "n", "range", "before", "s", "r", "m", "start", "i", "first"))
-    zero = F.lit(0).cast("long")
-    counted = (df.groupBy(*names).agg(F.count(F.lit(1)).alias(n))
-               .withColumn(part, F.pmod(F.xxhash64(key), F.lit(n_ranges))))
-    inside = W.partitionBy(shard, part).orderBy(*names).rowsBetween(W.unboundedPreceding, -1)
-    numbered = counted.withColumn(before, F.coalesce(F.sum(n).over(inside), zero))
-    earlier = W.partitionBy(s).orderBy(r).rowsBetween(W.unboundedPreceding, -1)
-    starts = (counted.groupBy(F.col(shard).alias(s), F.col(part).alias(r)).agg(F.sum(n).alias(m))
-              .select(s, r, F.coalesce(F.sum(m).over(earlier), zero).alias(start)))
-    joined = numbered.join(starts, (F.col(shard) == F.col(s)) & (F.col(part) == F.col(r)))
-    return joined.select(*names, F.explode(F.sequence(zero, F.col(n) - 1)).alias(i),
-                         (F.col(start) + F.col(before)).alias(first)).select(
-        *names, (F.col(first) + F.col(i)).alias("slot"))
-
-
-def shard_rows(docs: DataFrame, key: str = "doc_id", shards: int = 8, rows_per_range: int = 20_000) -> DataFrame:
+def shard_rows(docs: DataFrame, key: str = "doc_id", shards: int = 8, rows_per_range: int = ROWS,
+               bytes_per_range: int = BYTES) -> DataFrame:
     """``docs`` with all their columns, and shard, grown_shard (with one shard more) and slot (from 0, without
     gaps inside each shard) in place of columns with these names; laid out by shard and slot."""
     part, s, r, m, start = (f"{OWN}{x}" for x in ("range", "s", "r", "m", "start"))
     new = ("shard", "grown_shard", "slot")
     names = [c for c in docs.columns if c not in new]
     rows = numbered(docs)  # read twice, with the same numbers
-    n_ranges = max(1, rows.count() // (rows_per_range * shards))
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in docs.schema if f.dataType.typeName() in ("string", "binary")]
+    size = rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(sum(texts, F.lit(0)).cast("long")).alias("bytes")).first()
+    n_ranges = max(1, size["rows"] // (rows_per_range * shards), (size["bytes"] or 0) // (bytes_per_range * shards))
     in_range = F.pmod(F.xxhash64(ROW), F.lit(n_ranges)).alias(part)
     shard = jump_shard(F.col(key), shards)
     sizes = rows.select(shard.alias(s), in_range.alias(r)).groupBy(s, r).agg(F.count(F.lit(1)).alias(m))
