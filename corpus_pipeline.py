@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tillroll.llm import exact_dedup, language_id, minhash_dedup, mixing, packing
 from tillroll.llm.queries import MIX_SEED, MIX_WEIGHTS, TOKENIZER
 from tillroll.llm.support import table
+from tillroll.sources.sinks import remove
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,11 +65,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written to the shared folder and read again."""
+    """All stages over ``documents``; each is written to the shared folder and read again.
+
+    A stage's table is deleted once the next one is written; the last one's stays, as the result reads it.
+    """
     folder = shared_folder(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, done = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if done:
+            remove(spark, done)
+        done = path
     return docs
