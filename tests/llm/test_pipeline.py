@@ -1,6 +1,8 @@
 """The pipeline's stages, each on its predecessor's output, against brute force."""
 
 import re
+from pathlib import Path
+from urllib.parse import urlsplit
 
 import corpus_pipeline as P
 import numpy as np
@@ -74,6 +76,9 @@ def test_stages_against_brute_force(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     out = P.run(spark, SF)
     assert {"doc_id", "ids", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+    # the tables of the earlier stages are gone
+    last = Path(urlsplit(out.inputFiles()[0]).path).parent
+    assert [x.name for x in last.parent.iterdir()] == [last.name] == ["4-packing"]
 
 
 def test_stages_take_empty_tables_nulls_and_more_columns(spark, tmp_path):
