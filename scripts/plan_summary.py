@@ -43,9 +43,10 @@ def main() -> None:
     print("# Physical plans of the registered jobs\n")
     print(f"Generated by `scripts/plan_summary.py` on `{sf_dir}`; static plans before adaptive re-planning,")
     print("so a shuffle join may still become a broadcast at run time when its side is small.")
-    print("Jobs with a scalar subquery (J14, J24, J40-J42, J53-J56) list the subquery's exchanges")
-    print("too; in the final adaptive plan they are `ReusedExchange`s of the main query's, so the input is")
-    print("not computed twice.\n")
+    print("Scalar subqueries list their exchanges too.  In jobs with a surrogate key (J14, J40-J42, J49 paths)")
+    print("splitters and offsets read the counted rows from their exchange in the final adaptive plan")
+    print("(`ReusedExchange`; `tests/test_keys.py` counts the rows evaluated).  A total over another column")
+    print("(J53-J56) is a scan of its own of that column.\n")
     print("| job | shuffles | by | broadcasts | joins | window |")
     print("|---|---|---|---|---|---|")
     for name, fn in QUERIES.items():

@@ -13,6 +13,7 @@ from tillroll.plans import ingredients as I
 from tillroll.plans import order_metrics as M
 from tillroll.plans import pricing as P
 
+# The expected rows below are the published answers to the published sample rows.
 PRICES = {"Meatlovers": 12}
 
 

@@ -179,10 +179,13 @@ def pair_periods(events: DataFrame, key: str, state: str, date: str, frm: object
     shift = -offset - 1
     down, up = (_block_pairs(per_day, key, width, shift + s).select("block", "pairs", (F.col("days") - F.col("pairs") * offset)
                                                                     .cast("decimal(38,0)").alias("days")) for s in (0, width - 1))
-    zero = F.lit(0).cast("bigint").alias("block")
-    both = [down.filter("block >= 0"), up.filter("block <= 0"),
-            down.filter("block < 0").select(zero, "pairs", F.col("pairs").alias("days")),
-            up.filter("block <= 0").select(zero, (-F.col("pairs")).alias("pairs"), (-F.col("pairs")).alias("days"))]
-    rows = both[0].unionByName(both[1]).unionByName(both[2]).unionByName(both[3])
+    zero, pairs = F.lit(0).cast("bigint"), F.col("pairs")
+
+    def row(block: Column, n: Column, days: Column) -> Column:
+        return F.struct(block.cast("bigint").alias("block"), n.cast("decimal(38,0)").alias("pairs"), days.cast("decimal(38,0)").alias("days"))
+
+    own = row(F.col("block"), pairs, F.col("days"))
+    rows = down.select(F.when(F.col("block") >= 0, own).otherwise(row(zero, pairs, pairs)).alias("x")).unionByName(
+        up.filter("block <= 0").select(F.explode(F.array(own, row(zero, -pairs, -pairs))).alias("x"))).select("x.*")
     return rows.groupBy(F.col("block").cast("bigint").alias("period")).agg(
         F.sum("pairs").cast("decimal(38,0)").alias("pairs"), F.sum("days").cast("decimal(38,0)").alias("days")).filter("pairs > 0")
