@@ -37,7 +37,7 @@ GROUP, GROUP_BYTES = 1024, 16 << 20
 #: Code points of text that are turned into ids at a time, about.
 TEXTS = 2_000_000
 #: Units whose ids a worker process remembers; their number is bounded, the answers are the same without.
-REMEMBERED = 700_000
+REMEMBERED = 450_000
 #: Fixed value: the tokenizer's units between white space, for texts that ``PLAIN`` matches, in lower case.
 LETTERS = "a-z\xdf-\xf6\xf8-\xff"
 UNIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
