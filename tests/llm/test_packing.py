@@ -108,3 +108,14 @@ def test_another_tokenizer_gets_its_own_ids(spark):
         by_doc.setdefault(r.doc_id, []).append((r.start, r.ids))
     for i, text in enumerate(TEXTS):
         assert np.frombuffer(b"".join(x for _, x in sorted(by_doc[i])), "<u4").tolist() == [*direct(other, text), 1]
+
+
+def test_windows_hold_the_capacity_and_are_few():
+    rng = random.Random(8)
+    for _ in range(12):
+        lengths = [rng.randrange(1, 513) for _ in range(rng.randrange(1, 900))]
+        found = windows_of(lengths)
+        sums = np.bincount(found, weights=lengths)
+        assert len(found) == len(lengths) and sums.max() <= 2048
+        least = -(-sum(lengths) // 2048)
+        assert least <= found.max() + 1 <= least + 1 + least // 32

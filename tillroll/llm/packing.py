@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,9 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel
 
 from tillroll.llm.support import small_batches
-from tillroll.llm.workers import Recent, kept
+from tillroll.llm.workers import Recent, collector_off, kept
 
 CAPACITY, END, PART = 2048, 1, 512
 GROUP, GROUP_BYTES = 1024, 16 << 20
@@ -40,7 +42,7 @@ TEXTS = 2_000_000
 REMEMBERED = 700_000
 #: Fixed value: the tokenizer's units between white space, for texts that ``PLAIN`` matches, in lower case.
 LETTERS = "a-z\xdf-\xf6\xf8-\xff"
-UNIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\s{LETTERS}0-9]+")
+UNIT = re.compile(rf"[{LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\s{LETTERS}0-9]+")
 #: Texts that the tokenizer's normalisation only puts into lower case: ASCII and U+00C0 to U+00FF.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xc0-\xff]*")
 ASCII_WORD, ODD = re.compile(r"[^\x20\x09-\x0D]+"), "\0"
@@ -59,17 +61,17 @@ class Units(Recent):
 
     The tokenizer drops white space and encodes each unit by itself, so a text's ids are the ids of
     its units in a row.  Texts of ASCII and Latin-1 letters and signs are cut into units here (see
-    ``UNIT``), and the units not met before are encoded together: a unit ends where a token closes
-    a word.  A word with any other character is a unit of its own, encoded by itself.  A tokenizer
-    that treats ``PROBES`` in another way gets whole texts instead.
+    ``UNIT``), and the units not met before go to the tokenizer's model, their characters spelled as
+    its bytes are.  A word with any other character is a unit of its own, encoded as a text.  A
+    tokenizer that treats ``PROBES`` in another way gets whole texts instead.
     """
 
     def __init__(self, path: str) -> None:
         super().__init__(REMEMBERED)
         self.tokenizer = Tokenizer.from_file(path)
-        names = self.tokenizer.get_vocab()
-        self.closes = np.zeros(max(names.values()) + 1, dtype=bool)
-        self.closes[[i for name, i in names.items() if name.endswith("</w>")]] = True
+        self.model = self.tokenizer.model
+        spelled = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {at: spelled(chr(at))[0][0] for at in range(0xc0, 0x100)}
         self.by_unit = True
         self.by_unit = all(self.ids([x])[0] == self.encode(x).tobytes() for x in PROBES)
 
@@ -78,14 +80,13 @@ class Units(Recent):
 
     def encoded(self, units: set[str]) -> Iterator[tuple[str, bytes]]:
         """Each unit with its ids."""
-        fresh = [unit for unit in units if unit[0] != ODD]
-        ids = self.encode(" ".join(fresh))
-        ends = np.flatnonzero(self.closes[ids]) + 1
-        if len(ends) == len(fresh):
-            data, ends = ids.tobytes(), (4 * ends).tolist()
-            yield from zip(fresh, (data[i:j] for i, j in zip([0, *ends[:-1]], ends)))
-        else:
-            yield from ((unit, self.encode(unit).tobytes()) for unit in fresh)
+        plain = [unit for unit in units if unit[0] != ODD]
+        ids, ends = array("I"), array("q", [0])
+        for unit in plain:
+            ids.extend([token.id for token in self.model.tokenize(unit if unit.isascii() else unit.translate(self.spelling))])
+            ends.append(4 * len(ids))
+        data = np.frombuffer(ids, dtype=np.uint32).astype("<u4").tobytes()
+        yield from zip(plain, (data[i:j] for i, j in zip(ends, ends[1:])))
         yield from ((unit, self.encode(unit[1:]).tobytes()) for unit in units if unit[0] == ODD)
 
     def learn(self, units: set[str]) -> None:
@@ -97,8 +98,14 @@ class Units(Recent):
         if not self.by_unit:
             return [self.encode(text or "").tobytes() for text in texts]
         found = [units_of(text or "") for text in texts]
-        self.learn(set().union(*found))
-        return [b"".join(map(self.__getitem__, units)) for units in found]
+        # one look at every unit, a second one only at those that were missing
+        known = [list(map(self.get, units)) for units in found]
+        gaps = [[at for at, ids in enumerate(one) if ids is None] for one in known]
+        self.learn({units[at] for units, missing in zip(found, gaps) for at in missing})
+        for units, one, missing in zip(found, known, gaps):
+            for at in missing:
+                one[at] = self[units[at]]
+        return [b"".join(one) for one in known]
 
 
 def units_of(text: str) -> list[str]:
@@ -125,7 +132,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             sizes = batch["t"].str.len().fillna(0).cumsum()
             for _, part in batch.groupby((sizes // TEXTS).astype("int64")):
                 rows = []
-                for row, known, doc, data in zip(part["_row"], part["_known"], part["doc_id"], units.ids(part["t"])):
+                with collector_off():
+                    ids = units.ids(part["t"])
+                for row, known, doc, data in zip(part["_row"], part["_known"], part["doc_id"], ids):
                     data += closing
                     whole = len(data) // most * most  # full windows, then smaller pieces
                     cuts = [*range(0, whole, most), *range(whole, len(data), 4 * part_size)]
@@ -176,13 +185,17 @@ def differencing(lengths: list[int], windows: int) -> np.ndarray:
 
 
 def windows_of(lengths: list[int], capacity: int = CAPACITY) -> np.ndarray:
-    """``differencing`` with the fewest windows, from the least possible on, that hold the capacity."""
-    n = max(1, -(-sum(lengths) // capacity))
+    """``differencing`` with the least possible number of windows, or, while one exceeds the capacity, with
+    as many more as the excess over the mean asks for."""
+    total = sum(lengths)
+    n = max(1, -(-total // capacity))
     while True:
         found = differencing(lengths, n)
-        if not len(found) or np.bincount(found, weights=lengths).max() <= capacity:
+        fullest = int(np.bincount(found, weights=lengths).max()) if len(found) else 0
+        if fullest <= capacity:
             return found
-        n += 1
+        room = capacity - (fullest - total // n)
+        n = max(n + 1, min(-(-total // room), n + n // 64) if room > 0 else 0)
 
 
 def place(batch: pd.DataFrame, capacity: int) -> pd.DataFrame:

@@ -7,9 +7,11 @@ process holds.  Whatever is kept must be bounded by its maker; a worker that sta
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
+from contextlib import contextmanager
 from itertools import filterfalse
 from typing import Any
 
@@ -25,6 +27,18 @@ def kept(key: Hashable, make: Callable[[], Any], version: Hashable = None) -> An
     return memory[key][1]
 
 
+@contextmanager
+def collector_off() -> Iterator[None]:
+    """No search for cycles meanwhile: lists of millions of strings hold none, and would be walked through each time."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 class Recent(dict):
     """A dictionary of at most ``most`` entries, besides those of one batch, that keeps what is in use.
 
