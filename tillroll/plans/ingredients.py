@@ -25,6 +25,8 @@ from ..operators.lists import ADDED, BASE, REMOVED
 ITEM_COLUMNS = ["order_item_id", "order_id", "customer_id"]
 # What an item's toppings and texts depend on.
 COMBINATION = ["pizza_id", "exclusions", "extras"]
+# Tasks per shuffle partition where every item becomes a row per topping.
+TOPPING_TASKS = 4
 
 
 def recipe_toppings(recipes: DataFrame) -> DataFrame:
@@ -113,12 +115,19 @@ def item_toppings_by_sets(items: DataFrame, recipes: DataFrame) -> DataFrame:
     """J41 as relations: (recipe rows of the items EXCEPT excluded) UNION ALL extras.
 
     The same rows as ``item_toppings``, as set algebra over one row per topping: all three kinds
-    of rows come from one reading of the items and meet in one aggregate; the array form
-    shuffles none."""
-    base = F.coalesce(split_list("toppings"), F.array(F.lit(None).cast("int")))
-    kinds = F.concat(tagged(base, BASE), tagged(split_list("exclusions"), REMOVED), tagged(split_list("extras"), ADDED))
-    rows = items.join(recipes.select("pizza_id", "toppings"), "pizza_id", "left").select("order_item_id", F.explode(kinds).alias("_t"))
-    return apply_tagged(rows.select("order_item_id", F.col("_t.id").alias("topping_id"), F.col("_t.tag").alias("_tag")))
+    of rows come from one reading of the items and meet in one aggregate.  An item is dealt to its
+    task, by its key, with its lists whole; they become rows there, so the aggregate finds an
+    item's rows together and none of them is shuffled.  The array form makes no such rows."""
+    r = recipes.select("pizza_id", split_list("toppings").alias("_base"))
+    base = F.coalesce(F.col("_base"), F.array(F.lit(None).cast("int")))
+    tasks = TOPPING_TASKS * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole = (items.join(r, "pizza_id", "left").select("order_item_id", base.alias("_base"), "exclusions", "extras")
+                  .repartition(tasks, "order_item_id")
+                  .select("order_item_id", "_base", split_list("exclusions").alias("_removed"), split_list("extras").alias("_added")))
+    rows = whole.select("order_item_id", F.size("_base").alias("_b"), F.size("_removed").alias("_r"),
+                        F.posexplode(F.concat("_base", "_removed", "_added")).alias("_at", "topping_id"))
+    tag = F.when(F.col("_at") < F.col("_b"), BASE).when(F.col("_at") < F.col("_b") + F.col("_r"), REMOVED).otherwise(ADDED)
+    return apply_tagged(rows.select("order_item_id", "topping_id", tag.alias("_tag")))
 
 
 def ingredient_lists(items: DataFrame, recipes: DataFrame, names: DataFrame,
