@@ -26,3 +26,11 @@ def test_no_topping_row_of_the_sets_is_shuffled(spark):
     assert sorted(map(repr, sets.collect())) == sorted(map(repr, arrays.collect()))
     assert sorted((r.order_item_id, r.topping_id) for r in sets.where("order_item_id < 3").collect()) == [
         (1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 2), (2, 3), (2, 7)]
+
+
+def test_ingredient_lists_are_put_together_in_the_row(spark):
+    got = I.ingredient_lists(*tables(spark))
+    # no aggregate over a combination's toppings, which Spark would sort
+    assert "listagg" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {r.order_item_id: r.ingredient_list for r in got.collect()} == {
+        1: "Ten: Édam, eggs", 2: "Ten: Cress, Dill, Édam, 2xeggs", 3: "Eleven: Édam", 4: None, 5: None, 6: "Thirteen: Figs"}

@@ -9,7 +9,7 @@ algebra is evaluated per item row with array functions --
 ``concat(array_except(recipe, exclusions), extras)``; ``array_except`` is distinct
 and null-safe exactly like SQL EXCEPT -- so nothing is shuffled per topping.
 An item's text depends on its pizza and its two lists alone, so texts are made once
-per distinct combination (a group bounded by one item's lists) and joined back.
+per distinct combination (a group bounded by one item's lists; for J42 in one row) and joined back.
 """
 
 from __future__ import annotations
@@ -137,23 +137,34 @@ def ingredient_lists(items: DataFrame, recipes: DataFrame, names: DataFrame,
     times.
 
     The kept recipe toppings are distinct, so a topping's quantity is computed in
-    the row: 1 if kept, plus its occurrences among the extras.  Only the distinct
-    toppings of each distinct combination are exploded.  Topping names are taken to
-    be unique per id (a dimension).  ``unkeyed``: as in ``order_item_text``.
+    the row: 1 if kept, plus its occurrences among the extras.  Names come to a recipe's
+    toppings once per recipe and to the extras, where there are some, once per combination;
+    a combination's list is put together in its row, so its toppings are not grouped again.
+    Topping names are taken to be unique per id (a dimension).  ``unkeyed``: as in
+    ``order_item_text``.
     """
-    changed = _changed_toppings(_combinations(items if unkeyed is None else unkeyed), recipes)
-    t = F.col("_t")
-    qty = (F.when(F.array_contains("_kept", t), 1).otherwise(0)
-           + F.size("_extras") - F.size(F.array_remove("_extras", t)))
-    rows = (changed.select(*COMBINATION, "_kept", "_extras", F.explode_outer(F.array_distinct("_toppings")).alias("_t"))
-                   .select(*COMBINATION, F.col("_t").alias("topping_id"), qty.alias("_q"))
-                   .join(toppings, "topping_id", "left"))
-    label = F.when(F.col("_q") > 1, F.concat(F.col("_q").cast("string"), F.lit("x"), F.col("topping_name"))) \
-             .otherwise(F.col("topping_name"))
-    rows = rows.select(*COMBINATION, "topping_name", label.alias("_label"), name_key("topping_name").alias("_k"))
-    lists = rows.groupBy(*COMBINATION).agg(ordered_concat("_label", "_k", "topping_name").alias("_list"))
+    entry = F.struct("topping_id", "topping_name")
+    named = (recipes.select("pizza_id", F.explode(F.array_distinct(split_list("toppings"))).alias("topping_id"))
+                    .join(toppings, "topping_id").where(F.col("topping_name").isNotNull())
+                    .groupBy("pizza_id").agg(F.collect_list(entry).alias("_base_names")))
+    # (an entry without a name stays out of the collected list)
+    added = (_combinations(items if unkeyed is None else unkeyed)
+             .select(*COMBINATION, F.explode_outer(F.array_distinct(split_list("extras"))).alias("_id"))
+             .join(toppings, F.col("_id") == F.col("topping_id"), "left").groupBy(*COMBINATION)
+             .agg(F.collect_list(F.when(F.col("topping_name").isNotNull(), entry)).alias("_added_names")))
+    changed = _changed_toppings(added, recipes.select("pizza_id", "toppings")).join(named, "pizza_id", "left")
+    kept = lambda e: F.coalesce(F.array_contains("_kept", e.topping_id), F.lit(False))
+    none = F.filter("_added_names", lambda e: F.lit(False))
+    entries = F.concat(F.filter(F.coalesce("_base_names", none), kept), F.filter("_added_names", lambda e: ~kept(e)))
+    qty = lambda e: (F.when(kept(e), 1).otherwise(0)
+                     + F.size("_extras") - F.size(F.array_remove("_extras", e.topping_id)))
+    label = lambda e: F.when(qty(e) > 1, F.concat(qty(e).cast("string"), F.lit("x"), e.topping_name)).otherwise(e.topping_name)
+    plain = F.transform(entries, lambda e: F.struct(name_key(e.topping_name).alias("k"), e.topping_name.alias("name"), e.topping_name.alias("label")))
+    counted = F.transform(entries, lambda e: F.struct(name_key(e.topping_name).alias("k"), e.topping_name.alias("name"), label(e).alias("label")))
+    lists = changed.select(*COMBINATION, F.sort_array(F.when(F.size("_extras") == 0, plain).otherwise(counted)).alias("_list"))
+    listed = F.when(F.size("_list") > 0, F.array_join(F.col("_list.label"), ", "))
     texts = lists.join(names, "pizza_id").select(
-        *COMBINATION, F.concat(F.col("pizza_name"), F.lit(": "), F.col("_list")).alias("ingredient_list"))
+        *COMBINATION, F.concat(F.col("pizza_name"), F.lit(": "), listed).alias("ingredient_list"))
     return _with_texts(items, texts, "ingredient_list")
 
 
