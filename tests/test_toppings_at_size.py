@@ -1,5 +1,7 @@
 """Toppings and their lists: what is shuffled and sorted, and rows with gaps."""
 
+from pyspark.sql import functions as F
+
 from tillroll.plans import ingredients as I
 
 ITEMS = [(1, 1, 1, 10, "", ""), (2, 1, 1, 10, "2, 9", "2, 2, 7"), (3, 2, 1, 11, "", "1"), (4, 2, 2, 12, "1", "8"),
@@ -34,3 +36,12 @@ def test_ingredient_lists_are_put_together_in_the_row(spark):
     assert "listagg" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
     assert {r.order_item_id: r.ingredient_list for r in got.collect()} == {
         1: "Ten: Édam, eggs", 2: "Ten: Cress, Dill, Édam, 2xeggs", 3: "Eleven: Édam", 4: None, 5: None, 6: "Thirteen: Figs"}
+
+
+def test_an_item_without_exclusions_needs_no_set_difference(spark):
+    items, recipes, _, _ = tables(spark)
+    plan = I.item_toppings(items, recipes)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct(" in plan
+    got = I.item_toppings(items.where("exclusions = ''"), recipes).groupBy("order_item_id").agg(
+        F.sort_array(F.collect_list(F.coalesce("topping_id", F.lit(-1)))).alias("t")).collect()
+    assert {r.order_item_id: r.t for r in got} == {1: [1, 2, 3], 3: [1], 5: [-1]}

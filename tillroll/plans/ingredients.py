@@ -58,10 +58,12 @@ def _changed_toppings(items: DataFrame, recipes: DataFrame) -> DataFrame:
     ``_extras`` and ``_toppings`` = ``_kept`` ++ ``_extras``, the item's multiset.
     A pizza without a recipe contributes one NULL topping, as the left join of
     the relational form does."""
-    r = recipes.select("pizza_id", split_list("toppings").alias("_recipe"))
+    # a recipe is read and made distinct once per pizza, not per item
+    r = recipes.select("pizza_id", F.array_distinct(split_list("toppings")).alias("_recipe"))
     base = F.coalesce(F.col("_recipe"), F.array(F.lit(None).cast("int")))
+    excluded = split_list("exclusions")
     return (items.join(r, "pizza_id", "left")
-                 .withColumn("_kept", F.array_except(base, split_list("exclusions")))
+                 .withColumn("_kept", F.when(F.size(excluded) == 0, base).otherwise(F.array_except(base, excluded)))
                  .withColumn("_extras", split_list("extras"))
                  .withColumn("_toppings", F.concat("_kept", "_extras"))
                  .drop("_recipe"))
