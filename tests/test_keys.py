@@ -67,3 +67,10 @@ def test_mixed_types_and_nulls(spark):
     got = [r.k for r in surrogate_key(df, ["x", "y", "z"], "k", ranges=2).orderBy("x", "y", "z", "k").collect()]
     assert got == [1, 2, 3, 4, 5, 6]
     assert surrogate_key(df.limit(0), ["x"], "k").count() == 0
+
+
+def test_the_search_does_not_build_the_key_at_every_step(spark):
+    keyed = surrogate_key(spark.range(50).selectExpr("id % 7 AS v", "cast(id AS string) AS w"), ["v", "w"], "k")
+    plan = keyed._jdf.queryExecution().optimizedPlan().toString()
+    search = plan[plan.index("aggregate(["):]
+    assert "struct(" not in search[:search.index(" AS _b#")]

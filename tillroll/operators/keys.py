@@ -33,11 +33,12 @@ def _with_range(pieces: DataFrame, key: Column, ranges: int) -> DataFrame:
     """``pieces`` with _b, how many splitters are not above the key, by binary search."""
     # a sample may be larger than expected, twice at most
     steps = F.array(*[F.lit(1 << i) for i in reversed(range((2 * ranges).bit_length()))])
-    at = F.aggregate(steps, F.lit(0), lambda at, step: F.when(
-        F.get(F.col("_s"), at + step - 1) <= F.col("_key"), at + step).otherwise(at))
+    # the key is made once a row: inside the search it would be put together at every step
+    at = F.transform(F.array(key), lambda k: F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(F.col("_s"), at + step - 1) <= k, at + step).otherwise(at)))
     # never NULL, and stated so: a filter on it would search again
-    found = F.coalesce(at, F.lit(0))
-    return pieces.withColumn("_s", _splitters(pieces, key, ranges)).withColumn("_key", key).withColumn("_b", found).drop("_s", "_key")
+    found = F.coalesce(F.get(at, F.lit(0)), F.lit(0))
+    return pieces.withColumn("_s", _splitters(pieces, key, ranges)).withColumn("_b", found).drop("_s")
 
 
 def surrogate_key(df: DataFrame, order: Sequence[str], name: str, start: int = 1,
