@@ -105,7 +105,7 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text") ->
 def identify(docs: DataFrame, samples: list[tuple[str, bytes]], margin: float = MARGIN,
              text_col: str = "text") -> Column:
     """Struct column: lang_pred, score, rejected."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 250)
     shared = docs.sparkSession.sparkContext.broadcast(samples)
 
     @F.pandas_udf(ANSWER)

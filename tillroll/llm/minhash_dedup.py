@@ -47,7 +47,9 @@ LEAST, OF = 80, 100
 #: Elements listed as frequent in the exact join, and counters of the sketch that finds them.
 FREQUENT, TRACKED = 8192, 65536
 #: Words whose hashes a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+#: Rows that Python gets at a time: texts, or pairs with two sets each.
+BATCH = 250
 
 U = np.uint64
 #: Fixed values of the SplitMix64 generator: its increment, and shifts and factors of its mixing.
@@ -256,7 +258,7 @@ def cross_links(docs: DataFrame, nodes: DataFrame, words: int, text_col: str, le
 def near_groups(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS, least: int = LEAST,
                 of: int = OF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_row, id, n_shingles, component_id, keep_row (the row that stays) for every row of ``docs``."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, BATCH)
     docs = numbered(docs)  # read again for the sets, with the same numbers
     facts = cut(sketched(docs, words, bands, rows, id_col, text_col))
     classes = facts.where("set_key IS NOT NULL").groupBy("set_key").agg(
