@@ -25,7 +25,8 @@ def test_no_topping_row_of_the_sets_is_shuffled(spark):
     plan = sets._jdf.queryExecution().executedPlan().toString()
     # from the top to the first exchange: the rows are made and aggregated in one stage
     assert "posexplode" in plan.split("Exchange")[0]
-    assert sorted(map(repr, sets.collect())) == sorted(map(repr, arrays.collect()))
+    # the array form has an empty topping for a pizza without a recipe, the sets have none
+    assert sorted(map(repr, sets.collect())) == sorted(map(repr, arrays.where("topping_id IS NOT NULL").collect()))
     assert sorted((r.order_item_id, r.topping_id) for r in sets.where("order_item_id < 3").collect()) == [
         (1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 2), (2, 3), (2, 7)]
 

@@ -121,7 +121,8 @@ def item_toppings_by_sets(items: DataFrame, recipes: DataFrame) -> DataFrame:
     task, by its key, with its lists whole; they become rows there, so the aggregate finds an
     item's rows together and none of them is shuffled.  The array form makes no such rows."""
     r = recipes.select("pizza_id", split_list("toppings").alias("_base"))
-    base = F.coalesce(F.col("_base"), F.array(F.lit(None).cast("int")))
+    # a pizza without a recipe has no row of the base
+    base = F.coalesce(F.col("_base"), F.array().cast("array<int>"))
     tasks = TOPPING_TASKS * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = (items.join(r, "pizza_id", "left").select("order_item_id", base.alias("_base"), "exclusions", "extras")
                   .repartition(tasks, "order_item_id")
